@@ -14,10 +14,11 @@ def _null_like(df: DataFrame, c: str) -> Column:
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], lt: Column, rt: Column, payload: dict[str, Column],
          out: str = "hit", side: str = "prev", inclusive: bool = False, ltie: Column | None = None,
-         rtie: Column | None = None, rows: int | None = None) -> DataFrame:
+         rtie: Column | None = None, by_position: bool = False, rows: int | None = None) -> DataFrame:
     """Left rows plus ``out`` = payload struct of the closest right row before (or after) ``lt``.
 
-    ``inclusive`` also accepts an equal position. With ties given, positions compare as ``(time, tie)``.
+    ``inclusive`` also accepts an equal position. Positions are times; ``by_position`` compares ``(time, tie)``.
+    ``rtie`` orders right rows that share a time.
     The two inputs are merged in order and the last non-null payload is carried along; the sort key is split when hot.
     """
     zero = F.lit(0)
@@ -30,7 +31,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], lt: Column, rt: Col
     R = right.select(*lcols, rt.cast("double").alias("_t"), (rtie if rtie is not None else zero).cast("bigint").alias("_tie"),
                      F.lit(tr).alias("_side"), F.struct(*[v.alias(n) for n, v in payload.items()]).alias("_pay"))
     both = L.unionByName(R, allowMissingColumns=True)
-    o = Ordered(both, keys, "_t", ["_tie", "_side"], rows)
+    o = Ordered(both, keys, "_t", ["_tie", "_side"] if by_position else ["_side", "_tie"], rows)
     o = o.running({out: ("last", F.col("_pay"))}, reverse=side == "next")
     return o.df.filter(F.col("_row").isNotNull()).select("_row.*", F.col(out))
 
@@ -91,7 +92,7 @@ def nearest_k(left: DataFrame, right: DataFrame, keys: list[str], t: str, tie: s
     Each list runs from the closest row outwards. Items must carry ``t`` and ``tie`` if they are to be ranked later.
     """
     R = recent_lists(right, keys, t, [tie], item, k, k, rows)
-    at = dict(lt=F.col(t), rt=F.col(t), ltie=F.col(tie), rtie=F.col(tie), rows=rows)
+    at = dict(lt=F.col(t), rt=F.col(t), ltie=F.col(tie), rtie=F.col(tie), by_position=True, rows=rows)
     out = asof(left, R, keys, payload={"l": F.reverse("_back")}, out="_before", side="prev", **at)
     out = asof(out, R, keys, payload={"l": F.col("_ahead")}, out="_after", side="next", **at)
     none = {c: F.array().cast(out.select(f"{c}.l").schema[0].dataType) for c in ("_before", "_after")}
