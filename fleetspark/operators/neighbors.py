@@ -6,11 +6,11 @@ Candidates never include the row itself, and nothing joins all pairs of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof, mean_of, nearest_k, recent_lists
-from .ordered import Ordered, join_keys
+from .ordered import WHOLE, Ordered, join_keys
 
 HOUR = 3600.0
 MIN_WEIGHT = 1e-3  # smaller total weights give null
@@ -93,15 +93,21 @@ def ewm_states(df: DataFrame, keys: list[str], pos: str, tie: list[str], y: str,
         width = CELL_HALVES * h
         scale = F.pow(F.lit(2.0), (F.col(pos) - F.col("_cell") * width) / h)
         x = out.withColumn("_cell", F.floor(F.col(pos) / width))
-        group = [*keys, "_cell"]
-        o = Ordered(x, group, pos, tie, rows).running({"_ps": ("sum", F.col(y) * scale), "_pw": ("sum", scale)})
-        total = x.groupBy(*group).agg(F.sum(F.col(y) * scale).alias("_ts"), F.sum(scale).alias("_tw"))
-        from pyspark.sql import Window
-        w = Window.partitionBy(*keys).orderBy("_cell")
-        back = lambda c: sum((F.coalesce(F.sum(c).over(w.rangeBetween(-i, -i)), F.lit(0.0)) * 2.0 ** (-CELL_HALVES * i)
-                              for i in range(1, CELLS_BACK + 1)), F.lit(0.0))
-        carry = total.select(*group, back("_ts").alias("_cs"), back("_tw").alias("_cw"))
-        x = join_keys(o.result(), carry, group)
+        back = lambda c, w: sum((F.coalesce(F.sum(c).over(w.rangeBetween(-i, -i)), F.lit(0.0)) * 2.0 ** (-CELL_HALVES * i)
+                                 for i in range(1, CELLS_BACK + 1)), F.lit(0.0))
+        if rows == WHOLE:  # every key fits in one task: the earlier cells are a range frame of the same partition
+            run = Window.partitionBy(*keys, "_cell").orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, 0)
+            w = Window.partitionBy(*keys).orderBy("_cell")
+            x = x.withColumns({"_vs": F.col(y) * scale, "_vw": scale})
+            x = x.withColumns({"_ps": F.sum("_vs").over(run), "_pw": F.sum("_vw").over(run)})
+            x = x.withColumns({"_cs": back("_vs", w), "_cw": back("_vw", w)}).drop("_vs", "_vw")
+        else:
+            group = [*keys, "_cell"]
+            o = Ordered(x, group, pos, tie, rows).running({"_ps": ("sum", F.col(y) * scale), "_pw": ("sum", scale)})
+            total = x.groupBy(*group).agg(F.sum(F.col(y) * scale).alias("_ts"), F.sum(scale).alias("_tw"))
+            w = Window.partitionBy(*keys).orderBy("_cell")
+            carry = total.select(*group, back("_ts", w).alias("_cs"), back("_tw", w).alias("_cw"))
+            x = join_keys(o.result(), carry, group)
         out = x.withColumns({f"s_{name}": (F.col("_ps") + F.col("_cs")) / scale,
                              f"w_{name}": (F.col("_pw") + F.col("_cw")) / scale}).drop("_ps", "_pw", "_cs", "_cw", "_cell")
     return out
@@ -218,3 +224,63 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
     est = F.least(F.greatest((s2 * t0 - s1 * t1) / det, lo), hi)
     return x.withColumns({f"{prefix}est": F.when(ok, est), f"{prefix}slope": F.when(ok, (s0 * t1 - s1 * t0) / det)}).drop(
         "_s0", "_s1", "_s2", "_t0", "_t1", "_mn", "_mx", "_here")
+
+
+# -- nearest in state space ------------------------------------------------------------------------
+def _morton(cols: list[Column], bits: int = 16) -> Column:
+    """Interleave the bits of up to three small integers into one sortable code."""
+    out = F.lit(0).cast("bigint")
+    for b in range(bits):
+        for d, c in enumerate(cols):
+            out = out + F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint")), len(cols) * b + d)
+    return out
+
+
+def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, k: int,
+                    rows: int | None = None) -> DataFrame:
+    """Queries plus ``_state``: the ``k`` nearest candidates in Euclidean state space as (d, id, y), self excluded; exact.
+
+    1. Equal states are merged, so copies of one state never pair with each other.
+    2. Neighbours along a Morton curve give every point an upper bound on its k-th distance.
+    3. Points meet only in grid cells about as wide as their own bound (dense regions get fine grids), on the first
+       three state columns, and are then filtered by the full distance.
+    """
+    dims = state[:3]
+    spots = queries.select(*keys, *state).dropDuplicates()
+    ranked = Ordered(cands.select(*keys, *state, F.col(tie).alias("_id"), F.col(y).alias("_y")), [*keys, *state], "_id", rows=rows)
+    kept = ranked.running({"_r": ("count", F.lit(1))}).result().filter(F.col("_r") <= k + 1)
+    points = kept.groupBy(*keys, *state).agg(F.sort_array(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_y").alias("y")))).alias("_rows"))
+
+    ends = spots.unionByName(points.select(*keys, *state)).groupBy(*keys).agg(
+        *[f(c).alias(f"_{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def coded(df):
+        cells = [F.floor((F.col(c) - F.col(f"_lo_{c}")) * 65535 / F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1e-12))) for c in dims]
+        return join_keys(df, ends, keys).withColumn("_z", _morton(cells)).drop(*[f"_{n}_{c}" for c in dims for n in ("lo", "hi")])
+
+    Q, P = coded(spots).withColumn("_q", F.lit(0)), coded(points).withColumn("_q", F.lit(0))
+    item = {c: F.col(c) for c in state}
+    near = nearest_k(Q, P.select(*keys, *state, "_z", "_q"), keys, "_z", "_q", item, k, rows)
+    dist = lambda a, b: F.sqrt(sum(((a(c) - b(c)) * (a(c) - b(c)) for c in state), F.lit(0.0)))
+    ds = F.sort_array(F.transform(F.concat("_before", "_after"), lambda s: dist(lambda c: F.col(c), lambda c: s[c])))
+    near = near.withColumn("_rad", F.greatest(F.get(ds, F.lit(k - 1)), F.lit(1e-9))).drop("_before", "_after", "_q")
+    # Level: the power of two at or above the bound; no bound means the key holds fewer than k other points.
+    near = near.withColumn("_lev", F.ceil(F.log2("_rad")).cast("int"))
+    levels = near.groupBy(*keys).agg(F.collect_set("_lev").alias("_levels"), F.max(F.when(F.col("_rad").isNull(), 1)).alias("_few"))
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lev")))
+    grid = join_keys(points, levels, keys).withColumn("_lev", F.explode("_levels")).withColumn("_cell", F.array(*[cell(c) for c in dims]))
+    probe = near.filter("_rad is not null")
+    for c in dims:
+        probe = probe.withColumn(f"_g_{c}", F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)))
+    probe = probe.withColumn("_cell", F.array(*[f"_g_{c}" for c in dims])).select(*keys, *state, "_rad", "_lev", "_cell")
+    ren = {c: f"_p_{c}" for c in state}
+    hits = probe.join(grid.withColumnsRenamed(ren).select(*keys, "_lev", "_cell", "_rows", *ren.values()), [*keys, "_lev", "_cell"])
+    few = near.filter("_rad is null").select(*keys, *state, "_rad").join(
+        join_keys(points, levels.filter("_few = 1"), keys, "inner").withColumnsRenamed(ren).select(*keys, "_rows", *ren.values()), keys)
+    hits = hits.select(*few.columns).unionByName(few)
+    hits = hits.withColumn("_d", dist(lambda c: F.col(c), lambda c: F.col(f"_p_{c}"))).filter(
+        F.col("_rad").isNull() | (F.col("_d") <= F.col("_rad") * (1 + 1e-12) + 1e-12))
+    item = F.transform("_rows", lambda r: F.struct(F.col("_d").alias("d"), r["id"].alias("id"), r["y"].alias("y")))
+    best = hits.groupBy(*keys, *state).agg(F.slice(F.sort_array(F.flatten(F.collect_list(item))), 1, k + 1).alias("_state"))
+    out = join_keys(queries, best, [*keys, *state])
+    return out.withColumn("_state", F.slice(F.filter("_state", lambda s: s["id"] != F.col(tie)), 1, k))
