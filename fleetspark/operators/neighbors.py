@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .asof import asof, mean_of, nearest_k, recent_lists
 from .ordered import WHOLE, Ordered, join_keys
 
@@ -266,6 +267,7 @@ def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state
     near = near.withColumn("_rad", F.greatest(F.get(ds, F.lit(k - 1)), F.lit(1e-9))).drop("_before", "_after", "_q")
     # Level: the power of two at or above the bound; no bound means the key holds fewer than k other points.
     near = near.withColumn("_lev", F.ceil(F.log2("_rad")).cast("int"))
+    near = cut(near)  # three consumers
     levels = near.groupBy(*keys).agg(F.collect_set("_lev").alias("_levels"), F.max(F.when(F.col("_rad").isNull(), 1)).alias("_few"))
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lev")))
     grid = join_keys(points, levels, keys).withColumn("_lev", F.explode("_levels")).withColumn("_cell", F.array(*[cell(c) for c in dims]))
@@ -278,8 +280,9 @@ def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state
     few = near.filter("_rad is null").select(*keys, *state, "_rad").join(
         join_keys(points, levels.filter("_few = 1"), keys, "inner").withColumnsRenamed(ren).select(*keys, "_rows", *ren.values()), keys)
     hits = hits.select(*few.columns).unionByName(few)
-    hits = hits.withColumn("_d", dist(lambda c: F.col(c), lambda c: F.col(f"_p_{c}"))).filter(
-        F.col("_rad").isNull() | (F.col("_d") <= F.col("_rad") * (1 + 1e-12) + 1e-12))
+    # Distances equal to nine places are ties and go by id.
+    hits = hits.withColumn("_d", F.round(dist(lambda c: F.col(c), lambda c: F.col(f"_p_{c}")), 9)).filter(
+        F.col("_rad").isNull() | (F.col("_d") <= F.col("_rad") + 2e-9))
     item = F.transform("_rows", lambda r: F.struct(F.col("_d").alias("d"), r["id"].alias("id"), r["y"].alias("y")))
     best = hits.groupBy(*keys, *state).agg(F.slice(F.sort_array(F.flatten(F.collect_list(item))), 1, k + 1).alias("_state"))
     out = join_keys(queries, best, [*keys, *state])

@@ -105,8 +105,6 @@ def _(spark, sf):
     sd = df.filter("is_ref").agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in STATE])
     z = df.crossJoin(F.broadcast(sd)).withColumns({c: F.col(c) / F.col(f"_sd_{c}") for c in STATE})  # one row of scales
     out = N.state_neighbors(z, z.filter("is_ref"), ["regime"], STATE, "run_id", "y", 10, regime_rows(spark, sf))
-    near = F.sort_array(F.transform("_state", lambda s: F.struct(F.round(s["d"], 9).alias("d"), s["id"].alias("id"), s["y"].alias("y"))))
-    out = out.withColumn("_state", near)
     return out.select("run_id", F.get("_state", F.lit(0))["d"].alias("dist1"), F.get("_state", F.lit(0))["y"].alias("y1"),
                       N.mean_of(F.col("_state"), "y", 3).alias("y3"), N.mean_of(F.col("_state"), "y", 10).alias("y10"))
 
