@@ -18,7 +18,7 @@ from .run_queries import LIFE_SQL
 from .views import runs, sql, table, telemetry
 
 MEM_SQL = """mem AS (SELECT *, y*(0.9 + (run_id % 7)/35.0::DOUBLE) AS pa, y + ((run_id % 11) - 5)*4 AS pb, CASE WHEN run_id % 13 <> 0 THEN y*0.8 + 40 END AS pc,
-  (t_end - 2838240)/24.0::DOUBLE AS rel FROM {src})"""
+  t_end/3600 AS rel FROM {src})"""
 MEMBERS = ["pa", "pb", "pc"]
 
 
@@ -43,7 +43,7 @@ def _(spark, sf):
     return SC.error_metrics(mem(spark, sf), "y", "pc", "regime")
 
 
-PERIOD = {"all": "true", "after_warmup": "t_end >= 3000000", "dev": "t_end >= 3000000 AND t_end < 7000000", "deploy": "t_end >= 7000000"}
+PERIOD = {"all": "true", "after_warmup": "t_end >= 33500000", "dev": "t_end >= 33500000 AND t_end < 36000000", "deploy": "t_end >= 36000000"}
 
 
 @query("score_by_split_period_regime", sql("runs", f"""+{M}, l AS (""" + " UNION ALL ".join(
