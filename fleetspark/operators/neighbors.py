@@ -287,3 +287,39 @@ def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state
     best = hits.groupBy(*keys, *state).agg(F.slice(F.sort_array(F.flatten(F.collect_list(item))), 1, k + 1).alias("_state"))
     out = join_keys(queries, best, [*keys, *state])
     return out.withColumn("_state", F.slice(F.filter("_state", lambda s: s["id"] != F.col(tie)), 1, k))
+
+
+def weighted_state_regressor(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, scales: list[float],
+                             ks: list[int], rows: int | None = None) -> DataFrame:
+    """Distance-weighted nearest-state prediction with column scales and k chosen greedily by leave-one-out error per key.
+
+    Columns are rescaled one at a time, keeping a change only if it lowers the candidates' leave-one-out error.
+    """
+    std = cands.agg(*[F.greatest(F.stddev_samp(c), F.lit(1e-9)).alias(c) for c in state]).head()  # one row of scales
+    best = {c: 1.0 / float(std[c]) for c in state}
+
+    def predict(q, c, factor, k):
+        scaled = lambda df: df.withColumns({s: F.col(s) * F.lit(factor[s]) for s in state})
+        near = F.slice("_state", 1, k)
+        w = lambda s: 1.0 / (s["d"] + 1e-3)
+        num = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s) * s["y"])
+        den = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s))
+        x = state_neighbors(scaled(q), scaled(c), keys, state, tie, y, k, rows)
+        return x.withColumn("pred", F.when(F.size(near) > 0, num / den))
+
+    def loss(factor, k):
+        e = F.col("pred") - F.col(y)
+        return predict(cands, cands, factor, k).agg(F.avg(e * e)).head()[0]  # one number
+
+    k, score = ks[0], None
+    for trial in ks:
+        s = loss(best, trial)
+        if score is None or s < score:
+            k, score = trial, s
+    for c in state:
+        for f in scales:
+            trial = {**best, c: best[c] * f}
+            s = loss(trial, k)
+            if s < score:
+                best, score = trial, s
+    return predict(queries, cands, best, k).select(*keys, tie, y, "pred")
