@@ -176,12 +176,18 @@ def kernel_sums(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, y
         u = F.least(F.abs(d), F.lit(1.0))
         w = F.exp(-0.5 * d * d) if kind == "gauss" else F.pow(1 - u * u * u, F.lit(3.0))
         near = Q.join(P, [*keys, "_b"]).filter(F.abs(F.col(t) - F.col("_tc")) <= reach)
-        s = near.groupBy(*keys, t).agg(F.sum(w * F.col("_k")).alias("_sw"), F.sum(w * F.col("_y")).alias("_sy"))
+        # Candidates at the query's own time are kept apart, so taking out its own label loses no precision.
+        here = F.col("_tc") == F.col(t)
+        s = near.groupBy(*keys, t).agg(
+            F.sum(F.when(here, 0.0).otherwise(w * F.col("_k"))).alias("_sw"), F.sum(F.when(here, 0.0).otherwise(w * F.col("_y"))).alias("_sy"),
+            F.max(F.when(here, F.col("_k"))).alias("_hk"), F.max(F.when(here, F.col("_y"))).alias("_hy"))
         out = join_keys(out, s, [*keys, t])
-        mine = F.lit(0.0) if own is None else F.when(own, 1.0).otherwise(0.0)
-        sw = F.coalesce("_sw", F.lit(0.0)) - mine
-        sy = F.coalesce("_sy", F.lit(0.0)) - mine * F.coalesce(F.col(y), F.lit(0.0))
-        out = out.withColumns({f"n_{name}": sw, f"k_{name}": F.when(sw >= MIN_WEIGHT, sy / sw)}).drop("_sw", "_sy")
+        mine = F.lit(0) if own is None else F.when(own, 1).otherwise(0)
+        rest = F.coalesce("_hk", F.lit(0)) - mine
+        own_y = F.when(rest > 0, F.coalesce("_hy", F.lit(0.0)) - mine * F.coalesce(F.col(y), F.lit(0.0))).otherwise(0.0)
+        sw = F.coalesce("_sw", F.lit(0.0)) + rest
+        sy = F.coalesce("_sy", F.lit(0.0)) + own_y
+        out = out.withColumns({f"n_{name}": sw, f"k_{name}": F.when(sw >= MIN_WEIGHT, sy / sw)}).drop("_sw", "_sy", "_hk", "_hy")
     return out
 
 
@@ -209,13 +215,15 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
     near = Q.join(P, [*keys, "_b"]).filter(u < 1)
     at_self = F.col("_tc") == F.col(t)
     s = near.groupBy(*keys, t).agg(
-        F.sum(w * F.col("_k")).alias("_s0"), F.sum(w * d * F.col("_k")).alias("_s1"), F.sum(w * d * d * F.col("_k")).alias("_s2"),
-        F.sum(w * F.col("_y")).alias("_t0"), F.sum(w * d * F.col("_y")).alias("_t1"),
+        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_k"))).alias("_s0"), F.sum(w * d * F.col("_k")).alias("_s1"), F.sum(w * d * d * F.col("_k")).alias("_s2"),
+        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_y"))).alias("_t0"), F.sum(w * d * F.col("_y")).alias("_t1"),
         F.min(F.when(~at_self, F.get("_lo", F.lit(0)))).alias("_mn"), F.max(F.when(~at_self, F.get("_hi", F.lit(0)))).alias("_mx"),
-        F.max(F.when(at_self, F.struct("_lo", "_hi"))).alias("_here"))
+        F.max(F.when(at_self, F.struct("_lo", "_hi", "_k", "_y"))).alias("_here"))
     x = join_keys(queries, s, [*keys, t])
-    mine = F.when(own, 1.0).otherwise(0.0)
-    s0, t0 = F.col("_s0") - mine, F.col("_t0") - mine * F.coalesce(F.col(y), F.lit(0.0))
+    mine = F.when(own, 1).otherwise(0)
+    same = F.coalesce(F.col("_here._k"), F.lit(0)) - mine
+    s0 = F.col("_s0") + same
+    t0 = F.col("_t0") + F.when(same > 0, F.col("_here._y") - mine * F.coalesce(F.col(y), F.lit(0.0))).otherwise(0.0)
     s1, s2, t1 = F.col("_s1"), F.col("_s2"), F.col("_t1")
     # At the query's own time drop one copy of its label from the two extremes kept there.
     rest = lambda f: F.get(F.when(own & (F.get(f"_here.{f}", F.lit(0)) == F.col(y)), F.slice(f"_here.{f}", 2, 2)).otherwise(F.col(f"_here.{f}")), F.lit(0))
@@ -272,8 +280,16 @@ def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state
     cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lev")))
     grid = join_keys(points, levels, keys).withColumn("_lev", F.explode("_levels")).withColumn("_cell", F.array(*[cell(c) for c in dims]))
     probe = near.filter("_rad is not null")
+    # Keep only the cells the ball reaches: sum the squared gap between the point and the cell column by column.
+    side = F.pow(F.lit(2.0), F.col("_lev"))
+    probe = probe.withColumn("_gap", F.lit(0.0))
     for c in dims:
-        probe = probe.withColumn(f"_g_{c}", F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)))
+        at, low = F.col(c), cell(c) * side
+        options = F.array(F.struct((cell(c) - 1).alias("g"), (at - low).alias("d")), F.struct(cell(c).alias("g"), F.lit(0.0).alias("d")),
+                          F.struct((cell(c) + 1).alias("g"), (low + side - at).alias("d")))
+        probe = probe.withColumn("_o", F.explode(options)).withColumns({
+            f"_g_{c}": F.col("_o.g"), "_gap": F.col("_gap") + F.col("_o.d") * F.col("_o.d")})
+        probe = probe.filter(F.sqrt("_gap") <= F.col("_rad") + 1e-8).drop("_o")
     probe = probe.withColumn("_cell", F.array(*[f"_g_{c}" for c in dims])).select(*keys, *state, "_rad", "_lev", "_cell")
     ren = {c: f"_p_{c}" for c in state}
     hits = probe.join(grid.withColumnsRenamed(ren).select(*keys, "_lev", "_cell", "_rows", *ren.values()), [*keys, "_lev", "_cell"])

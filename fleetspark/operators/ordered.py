@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 CHUNK = "_chunk"
 CHUNK_ROWS_CONF = "fleetspark.chunkRows"
 DEFAULT_CHUNK_ROWS = 1_000_000
@@ -55,7 +57,7 @@ class Ordered:
         self.spark = df.sparkSession
         self.rows = rows or chunk_rows(self.spark)
         self.df = df if CHUNK in df.columns or rows == WHOLE else self._slice(df)
-        self.split = CHUNK in self.df.columns
+        self.split, self.stored = CHUNK in self.df.columns, False
 
     # -- slicing ---------------------------------------------------------------------------------
     def _slice(self, df: DataFrame) -> DataFrame:
@@ -67,25 +69,25 @@ class Ordered:
         levels: list[str] = []
         for level in range(MAX_LEVELS):
             group = self.keys + levels
-            stats = [F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1")]
-            stats += [F.min(tie).alias("_i0"), F.max(tie).alias("_i1")] if tie is not None else [
-                F.lit(0.0).alias("_i0"), F.lit(0.0).alias("_i1")]
+            stats = [F.count(F.lit(1)).alias("_slice_n"), F.min(t).alias("_slice_t0"), F.max(t).alias("_slice_t1")]
+            stats += [F.min(tie).alias("_slice_i0"), F.max(tie).alias("_slice_i1")] if tie is not None else [
+                F.lit(0.0).alias("_slice_i0"), F.lit(0.0).alias("_slice_i1")]
             limit = self.rows if level == 0 else 2 * self.rows
             hot = df.groupBy(*group).agg(*stats).filter(
-                (F.col("_n") > limit) & ((F.col("_t1") > F.col("_t0")) | (F.col("_i1") > F.col("_i0"))))
+                (F.col("_slice_n") > limit) & ((F.col("_slice_t1") > F.col("_slice_t0")) | (F.col("_slice_i1") > F.col("_slice_i0"))))
             found = hot.limit(HOT_GROUPS_LITERAL + 1).collect()
             if not found:
                 break
             if len(found) <= HOT_GROUPS_LITERAL:
                 hot = F.broadcast(self.spark.createDataFrame(found, hot.schema))
-            parts = F.ceil(F.col("_n") / self.rows)
-            by_t = (t - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-            pos = by_t if tie is None else F.when(F.col("_t1") > F.col("_t0"), by_t).otherwise(
-                (tie - F.col("_i0")) / (F.col("_i1") - F.col("_i0")))
+            parts = F.ceil(F.col("_slice_n") / self.rows)
+            by_t = (t - F.col("_slice_t0")) / (F.col("_slice_t1") - F.col("_slice_t0"))
+            pos = by_t if tie is None else F.when(F.col("_slice_t1") > F.col("_slice_t0"), by_t).otherwise(
+                (tie - F.col("_slice_i0")) / (F.col("_slice_i1") - F.col("_slice_i0")))
             name = f"_level{level}"
             df = join_keys(df, hot, group).withColumn(
                 name, F.coalesce(F.least(parts - 1, F.floor(pos * parts)), F.lit(-1)).cast("bigint")
-            ).drop("_n", "_t0", "_t1", "_i0", "_i1")
+            ).drop("_slice_n", "_slice_t0", "_slice_t1", "_slice_i0", "_slice_i1")
             levels.append(name)
         return df.withColumn(CHUNK, F.struct(*levels)).drop(*levels) if levels else df
 
@@ -105,7 +107,12 @@ class Ordered:
         """Same order and slices over a transformed frame (the slice column must survive)."""
         out = object.__new__(Ordered)
         out.__dict__.update(self.__dict__)
-        out.df = df
+        out.df, out.stored = df, False
+        return out
+
+    def _stored(self) -> "Ordered":
+        out = self.with_df(cut(self.df))
+        out.stored = True
         return out
 
     def running(self, specs: dict[str, tuple[str, Column]], reverse: bool = False, inclusive: bool = True) -> "Ordered":
@@ -129,6 +136,10 @@ class Ordered:
         if not self.split:
             df = self.df.withColumns(local)
             return self.with_df(self._unwrap(df, specs))
+        if not self.stored:
+            # The rows are read twice below (slices and their summary); without a stored stage a chain of
+            # scans would recompute its input exponentially often.
+            return self._stored().running(specs, reverse, inclusive)
         summary = self._carry(specs, reverse)
         df = join_keys(self.df.withColumns(local), summary, self.part)
         for name, (kind, _) in specs.items():

@@ -121,4 +121,4 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.neighbors import weighted_state_regressor
     df = runs(spark, sf)
-    return weighted_state_regressor(df, df.filter("is_ref"), ["regime"], ["usage", "pad", "film"], "run_id", "y", [0.5, 2.0], [5, 10], regime_rows(spark, sf))
+    return weighted_state_regressor(df, df.filter("is_ref"), ["regime"], ["usage", "pad"], "run_id", "y", [2.0], [5], regime_rows(spark, sf))

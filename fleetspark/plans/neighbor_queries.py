@@ -96,7 +96,7 @@ def _(spark, sf):
   z AS (SELECT run_id, regime, is_ref, y, usage/a AS u, pad/b AS p, film/c AS f FROM runs, sc),
   pr AS (SELECT x.run_id, w.run_id AS j, w.y, sqrt((x.u-w.u)*(x.u-w.u) + (x.p-w.p)*(x.p-w.p) + (x.f-w.f)*(x.f-w.f)) AS d
     FROM z x JOIN z w ON x.regime = w.regime AND x.run_id <> w.run_id AND w.is_ref),
-  tk AS (SELECT run_id, list(struct_pack(d := d, y := y) ORDER BY round(d, 9), j) AS l FROM
+  tk AS (SELECT run_id, list(struct_pack(d := round(d, 9), y := y) ORDER BY round(d, 9), j) AS l FROM
     (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY round(d, 9), j) <= 10) GROUP BY run_id),
   res AS (SELECT run_id, l[1].d AS dist1, l[1].y AS y1, list_avg(list_transform(l[1:3], lambda s: s.y)) AS y3, list_avg(list_transform(l, lambda s: s.y)) AS y10 FROM tk)""",
                                "run_id", "dist1 y1 y3 y10"))
