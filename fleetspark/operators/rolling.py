@@ -15,7 +15,7 @@ def rolling_stats(df: DataFrame, keys: list[str], t: str, tie: list[str], specs:
                   stats: tuple[str, ...] = ("mean", "std", "min", "max", "dev"), rows: int | None = None) -> DataFrame:
     """Add ``{col}_{stat}_{name}`` for every ``(col, name, width)``; nulls are skipped, one value is enough.
 
-    Sums use prefix sums of block-centred values; minima and maxima use prefix/suffix scans of blocks of ``width``.
+    Sums use prefix sums of values centred per block; minima and maxima use prefix/suffix scans of blocks of ``width``.
     Wide windows therefore cost O(rows), not O(rows * width).
     """
     widest = max(w for _, _, w in specs)
@@ -25,7 +25,9 @@ def rolling_stats(df: DataFrame, keys: list[str], t: str, tie: list[str], specs:
         if {"mean", "std", "sum", "count", "dev"} & set(stats):
             y = F.col(c) - F.col(f"_mid_{c}")
             prefix = f.window().rowsBetween(Window.unboundedPreceding, 0)
-            out = out.withColumn(f"_mid_{c}", F.avg(c).over(Window.partitionBy(*f.part)))
+            # Centre on the block's first value: close enough for precision, and never a value from the future.
+            whole = f.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            out = out.withColumn(f"_mid_{c}", F.first(c, ignorenulls=True).over(whole))
             out = out.withColumns({f"_p1_{c}": F.coalesce(F.sum(y).over(prefix), F.lit(0.0)),
                                    f"_p2_{c}": F.coalesce(F.sum(y * y).over(prefix), F.lit(0.0)),
                                    f"_p0_{c}": F.count(c).over(prefix)})
