@@ -30,16 +30,16 @@ def score_curve(df: DataFrame, keys: list[str], pos: str, score: str, weight: st
 def curve_summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the ROC curve, average precision and base rate; tied scores count as one step."""
     tp, fp, p, n = (F.col(c) for c in ("tp", "fp", "_p", "_n"))
-    area = F.sum(n * (tp + tp - p) / 2) / (F.max("P") * F.max("N"))
-    ap = F.sum(F.when(p > 0, p * tp / (tp + fp)).otherwise(0.0)) / F.max("P")
+    area = F.try_divide(F.sum(n * (tp + tp - p) / 2), F.max("P") * F.max("N"))
+    ap = F.try_divide(F.sum(F.when(p > 0, p * tp / (tp + fp)).otherwise(0.0)), F.max("P"))
     return curve.groupBy(*keys).agg(area.alias("auc"), ap.alias("ap"),
-                                    (F.max("P") / (F.max("P") + F.max("N"))).alias("base_rate"))
+                                    F.try_divide(F.max("P"), F.max("P") + F.max("N")).alias("base_rate"))
 
 
 def roc_points(curve: DataFrame, keys: list[str], points: int = ROC_POINTS) -> DataFrame:
     """ROC thinned to a grid of false-positive rates: the first point at or past each grid value, and the last one."""
-    fpr, tpr = F.col("fp") / F.col("N"), F.col("tp") / F.col("P")
-    before = (F.col("fp") - F.col("_n")) / F.col("N")
+    fpr, tpr = F.try_divide("fp", "N"), F.try_divide("tp", "P")
+    before = F.try_divide(F.col("fp") - F.col("_n"), F.col("N"))
     crosses = F.floor(fpr * (points - 1)) > F.floor(before * (points - 1))
     last = (F.col("fp") == F.col("N")) & (F.col("tp") == F.col("P"))
     return curve.filter(crosses | last).select(*keys, fpr.alias("fpr"), tpr.alias("tpr"))
@@ -52,7 +52,7 @@ def threshold_report(df: DataFrame, keys: list[str], score: str, weight: str, tt
     thr = weighted_quantile(df.filter(g >= far), keys, score, weight, 1 - fa_rate, "threshold")
     x = join_keys(df, thr, keys).withColumns({"_on": F.when(F.col(score) >= F.col("threshold"), 1.0).otherwise(0.0), "_g": g})
     w = F.col(weight)
-    share = lambda cond: F.sum(F.when(cond, w * F.col("_on"))) / F.sum(F.when(cond, w))
+    share = lambda cond: F.try_divide(F.sum(F.when(cond, w * F.col("_on"))), F.sum(F.when(cond, w)))
     aggs = [F.max("threshold").alias("threshold"), share(F.col("_g") < near).alias("recall")]
     for lo, hi in zip(leads[:-1], leads[1:]):
         aggs.append(share((F.col("_g") >= lo) & (F.col("_g") < hi)).alias(f"recall_{int(lo)}_{int(hi)}"))
@@ -65,8 +65,8 @@ def lead_profile(df: DataFrame, keys: list[str], ttf: str, weight: str, cols: li
     from ..functions.scalars import bin_right_open
     g, w = F.col(ttf), F.col(weight)
     is_far = g.isNull() | (g > far)
-    base = df.groupBy(*keys).agg(*[(F.sum(F.when(is_far & F.col(c).isNotNull(), w * F.col(c)))
-                                    / F.sum(F.when(is_far & F.col(c).isNotNull(), w))).alias(f"_b_{c}") for c in cols])
+    base = df.groupBy(*keys).agg(*[F.try_divide(F.sum(F.when(is_far & F.col(c).isNotNull(), w * F.col(c))),
+                                               F.sum(F.when(is_far & F.col(c).isNotNull(), w))).alias(f"_b_{c}") for c in cols])
     x = join_keys(df.withColumn("bin", bin_right_open(-g, edges)).filter("bin is not null"), base, keys)
     return x.groupBy(*keys, "bin").agg(*[F.avg(F.col(c) - F.col(f"_b_{c}")).alias(f"{c}_dev") for c in cols],
                                        F.count(F.lit(1)).alias("n"))

@@ -373,9 +373,9 @@ def trust_flags(df: DataFrame, active: str, age: str, n: str, members: list[str]
     """no_active, stale, disagree and cold flags from run activity, history age and count, and member spread."""
     have = F.filter(F.array(*members), lambda v: v.isNotNull())
     k = F.size(have)
-    mean = F.aggregate(have, F.lit(0.0), lambda a, v: a + v) / k
+    mean = F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, v: a + v), k)
     df = df.withColumn("_mean", mean)
-    var = F.aggregate(have, F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean"))) / k
+    var = F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, v: a + (v - F.col("_mean")) * (v - F.col("_mean"))), k)
     return df.withColumns({"no_active": ~F.coalesce(F.col(active) > 0, F.lit(False)), "stale": F.coalesce(F.col(age) > stale, F.lit(True)),
                            "disagree": F.coalesce((k > 1) & (F.sqrt(var) > disagree), F.lit(False)),
                            "cold": F.coalesce(F.col(n), F.lit(0)) < cold}).drop("_mean")

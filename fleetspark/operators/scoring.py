@@ -19,7 +19,7 @@ def tool_scores(df: DataFrame, keys: list[str], penalties: list[Column], weight:
     for p in penalties[1:]:
         total = total + p
     w = F.lit(1.0) if weight is None else weight
-    return df.groupBy(*keys).agg((F.sum(w * total) / (F.sum(w) * len(penalties))).alias(out))
+    return df.groupBy(*keys).agg(F.try_divide(F.sum(w * total), F.sum(w) * len(penalties)).alias(out))
 
 
 def model_vs_null(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]], weight: str) -> DataFrame:
@@ -31,7 +31,7 @@ def model_vs_null(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]],
             total = parts[0]
             for p in parts[1:]:
                 total = total + p
-            aggs.append((F.sum(F.col(weight) * total) / (F.sum(weight) * len(pairs))).alias(f"{name}_{tag}"))
+            aggs.append(F.try_divide(F.sum(F.col(weight) * total), F.sum(weight) * len(pairs)).alias(f"{name}_{tag}"))
     per_tool = df.groupBy(*keys).agg(*aggs)
     summed = per_tool.agg(*[F.sum(f"{n}_{t}").alias(f"{n}_{t}") for n in PENALTIES for t in ("model", "null")])
     return summed.select(F.explode(F.array(*[
@@ -53,7 +53,7 @@ def cost_matrix(df: DataFrame, ttf: str, weight: str, actions: DataFrame) -> Dat
     per_label = df.groupBy(ttf_class(ttf).alias("cls"), F.col(ttf).alias("_gt")).agg(F.sum(weight).alias("_w"))
     grid = per_label.crossJoin(F.broadcast(actions))  # actions: fixed grid, see action_table
     return grid.groupBy("cls", "a", "action").agg(
-        (F.sum(F.col("_w") * penalty_final("_gt", "action")) / F.sum("_w")).alias("cost"))
+        F.try_divide(F.sum(F.col("_w") * penalty_final("_gt", "action")), F.sum("_w")).alias("cost"))
 
 
 def cost_arrays(costs: DataFrame, classes: int) -> DataFrame:
@@ -108,7 +108,7 @@ def coverage(df: DataFrame, keys: list[str], y: str, pred: str, width: str) -> D
 
 
 def control_error(df: DataFrame, keys: list[str], y: str, forecast: str) -> DataFrame:
-    e = F.col(y) / F.col(forecast) - 1
+    e = F.try_divide(y, forecast) - 1
     share = lambda lim: F.avg(F.when(F.abs(e) <= lim, 1.0).otherwise(0.0))
     ok = df.filter(F.col(forecast).isNotNull())
     return ok.groupBy(*keys).agg((F.sqrt(F.avg(e * e)) * 100).alias("rms_pct"), share(0.02).alias("within_2pct"),

@@ -38,14 +38,14 @@ def within_life_slope(df: DataFrame, keys: list[str], life: str, x: str, y: str,
     g = df.groupBy(*keys, life).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(u, v).alias("_c"), F.var_pop(u).alias("_xx"), F.var_pop(v).alias("_yy"))
     s = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("lives"), F.sum(F.col("n") * F.col("_c")).alias("sxy"),
                              F.sum(F.col("n") * F.col("_xx")).alias("sxx"), F.sum(F.col("n") * F.col("_yy")).alias("syy"))
-    b = F.col("sxy") / F.col("sxx")
+    b = F.try_divide("sxy", "sxx")
     rss = F.col("syy") - b * F.col("sxy")
     # Residuals have mean zero, so their variance with df = lives + 1 removed is rss / (n - lives - 1).
-    return s.select(*keys, b.alias("slope"), F.sqrt(rss / (F.col("n") - F.col("lives") - 1) / F.col("sxx")).alias("se"), "n", "lives")
+    return s.select(*keys, b.alias("slope"), F.sqrt(F.try_divide(F.try_divide(rss, F.col("n") - F.col("lives") - 1), F.col("sxx"))).alias("se"), "n", "lives")
 
 
 def variation(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[(F.stddev_samp(c) / F.avg(c) * 100).alias(f"cv_{c}") for c in cols], F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys).agg(*[(F.try_divide(F.stddev_samp(c), F.avg(c)) * 100).alias(f"cv_{c}") for c in cols], F.count(F.lit(1)).alias("n"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
@@ -78,7 +78,7 @@ def before_after(df: DataFrame, events: DataFrame, keys: list[str], t: str, tie:
     vals = lambda c: F.transform(c, lambda s: s["y"])
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, q: a + q) / F.size(v)
     x = x.withColumns({"_vb": vals("_b.l"), "_va": vals("_a.l")}).withColumns({"before": mean(F.col("_vb")), "after": mean(F.col("_va"))})
-    var = lambda v, m: F.aggregate(v, F.lit(0.0), lambda a, q: a + (q - F.col(m)) * (q - F.col(m))) / (F.size(v) - 1)
+    var = lambda v, m: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, q: a + (q - F.col(m)) * (q - F.col(m))), F.size(v) - 1)
     x = x.withColumns({"_sb": var(F.col("_vb"), "before") / F.size("_vb"), "_sa": var(F.col("_va"), "after") / F.size("_va")})
     se2 = F.col("_sb") + F.col("_sa")
     ok = (F.size("_vb") > 1) & (F.size("_va") > 1) & (se2 > 0)

@@ -450,14 +450,14 @@ CURVE_SQL = """per AS (SELECT lang, score, sum(CASE WHEN pos THEN w ELSE 0 END)
     WINDOW c AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY lang))"""
 
 
-@query("roc_auc_and_average_precision", sql("scores", f"""+{CURVE_SQL}, res AS (SELECT lang, sum(n*(tp+tp-p)/2)/(max(tot_p)*max(tot_n)) AS auc,
-  sum(p*tp/(tp+fp))/max(tot_p) AS ap, max(tot_p)/(max(tot_p)+max(tot_n)) AS base_rate FROM cu GROUP BY lang)""", "lang", "auc ap base_rate"))
+@query("roc_auc_and_average_precision", sql("scores", f"""+{CURVE_SQL}, res AS (SELECT lang, sum(n*(tp+tp-p)/2)/nullif(max(tot_p)*max(tot_n), 0) AS auc,
+  sum(CASE WHEN p > 0 THEN p*tp/(tp+fp) ELSE 0 END)/nullif(max(tot_p), 0) AS ap, max(tot_p)/(max(tot_p)+max(tot_n)) AS base_rate FROM cu GROUP BY lang)""", "lang", "auc ap base_rate"))
 def _(spark, sf):
     return curve_summary(score_curve(scores(spark, sf), ["lang"], "pos", "score", "w"), ["lang"])
 
 
-@query("roc_curve_points", sql("scores", f"""+{CURVE_SQL}, res AS (SELECT lang, fp/tot_n AS fpr, tp/tot_p AS tpr FROM cu
-  WHERE floor(fp/tot_n*19) > floor((fp-n)/tot_n*19) OR (fp = tot_n AND tp = tot_p))""", "lang", "fpr tpr"))
+@query("roc_curve_points", sql("scores", f"""+{CURVE_SQL}, res AS (SELECT lang, fp/nullif(tot_n, 0) AS fpr, tp/nullif(tot_p, 0) AS tpr FROM cu
+  WHERE floor(fp/nullif(tot_n, 0)*19) > floor((fp-n)/nullif(tot_n, 0)*19) OR (fp = tot_n AND tp = tot_p))""", "lang", "fpr tpr"))
 def _(spark, sf):
     return roc_points(score_curve(scores(spark, sf), ["lang"], "pos", "score", "w"), ["lang"], 20)
 
