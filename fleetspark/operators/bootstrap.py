@@ -24,8 +24,8 @@ def resample(blocks: DataFrame, replicates: int, seed: str = "boot") -> DataFram
     Draws are generated as (replicate, slot) rows, counted per block before the join, and summed per replicate.
     """
     total = blocks.agg(F.count(F.lit(1)).alias("_m"))
-    reps = blocks.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    slots = blocks.select(F.col("k").alias("slot")).crossJoin(F.broadcast(reps)).crossJoin(F.broadcast(total))  # reps: the given number of rows
+    slots = blocks.select(F.col("k").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    slots = join_keys(slots, total, [])
     pick = slots.select("rep", F.floor(draw(seed, "rep", "slot") * F.col("_m")).alias("k"))
     counts = pick.groupBy("rep", "k").agg(F.count(F.lit(1)).alias("c"))
     x = join_keys(counts, blocks.select("k", "s_new", "s_old", "cnt"), ["k"], "inner")
