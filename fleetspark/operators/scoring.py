@@ -1,12 +1,13 @@
 """Tool scores, error metrics, cost matrices and penalty-minimising decisions."""
 
-from __future__ import annotations
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (ACTION_LAST, ACTION_STEP, best_action, penalty_final, penalty_first, penalty_second,
-                                 ttf_class)
+from ..functions.scalars import ACTION_LAST, ACTION_STEP, penalty_final, penalty_first, penalty_second, ttf_class
 from .ordered import join_keys
 
 PENALTIES = {"S1": penalty_first, "S2": penalty_second, "final": penalty_final}
@@ -67,9 +68,24 @@ def cost_arrays(costs: DataFrame, classes: int) -> DataFrame:
 
 
 def decide(df: DataFrame, proba: str, arrays: DataFrame, out: str = "answer") -> DataFrame:
-    """Answer with the least expected cost per row; the cost table is one row."""
-    return df.crossJoin(F.broadcast(arrays)).withColumn(
-        out, best_action(proba, F.col("costs"), F.col("actions"))).drop("costs", "actions")
+    """Answer with the least expected cost per row; the first of equal ones wins, null comes first.
+
+    The cost table has a fixed size (classes x actions), so it is read once and shipped with the function. One matrix
+    product per Arrow batch replaces thousands of interpreted array steps per row.
+    """
+    table = arrays.head()
+    costs, actions = np.array(table["costs"], float), np.array([np.nan if a is None else a for a in table["actions"]])
+
+    @F.pandas_udf("double")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in batches:
+            known = p.notna().to_numpy()
+            best = np.full(len(p), np.nan)
+            if known.any():
+                best[known] = actions[np.round(np.stack(p[known].to_numpy()) @ costs, 9).argmin(axis=1)]
+            yield pd.Series(best).astype(object).where(~np.isnan(best), None)
+
+    return df.withColumn(out, answer(F.col(proba)))
 
 
 def error_metrics(df: DataFrame, y: str, pred: str, group: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (TTF_EDGES, all_far, any_near, interp, penalty_final, penalty_first, penalty_second,
+from ..functions.scalars import (TTF_EDGES, all_far, any_near, best_action, interp, penalty_final, penalty_first, penalty_second,
                                  ttf_class)
 from ..operators.baseline import curve_residual, global_stats, response_curve, step_stats, step_zscores
 from ..operators.evaluate import (curve_summary, densest_window, downsample_max, lead_profile, risk, roc_points,
@@ -439,6 +439,17 @@ def _(spark, sf):
     return decide(rows, "proba", cost_arrays(costs, 13)).select("id", "answer")
 
 
+@query("decide_with_array_functions", sql("telemetry", """+c AS (SELECT * FROM (VALUES (0, 5.0::DOUBLE, 9.0::DOUBLE, 4.0::DOUBLE), (1, 7.0, 2.0, 6.0), (2, 1.0, 8.0, 3.0)) v(k, a, b, c)),
+  p AS (SELECT id, runnum/12.0::DOUBLE AS p0, (11 - runnum)/24.0::DOUBLE AS p1 FROM telemetry),
+  e AS (SELECT id, p0*5 + p1*7 + (1-p0-p1)*1 AS a, p0*9 + p1*2 + (1-p0-p1)*8 AS b, p0*4 + p1*6 + (1-p0-p1)*3 AS c FROM p),
+  res AS (SELECT id, CASE WHEN a <= b AND a <= c THEN NULL WHEN b <= c THEN 10.0 ELSE 20.0 END AS answer FROM e)""", "id", "answer"))
+def _(spark, sf):
+    arr = lambda vs: F.array(*[F.lit(v) if v is None else F.lit(float(v)) for v in vs])
+    p0, p1 = F.col("runnum") / F.lit(12.0), (11 - F.col("runnum")) / F.lit(24.0)
+    costs = F.array(arr([5, 9, 4]), arr([7, 2, 6]), arr([1, 8, 3]))
+    return telemetry(spark, sf).select("id", best_action(F.array(p0, p1, 1 - p0 - p1), costs, arr([None, 10, 20])).alias("answer"))
+
+
 @query("near_risk", sql("telemetry", f"+{PROBA_SQL}, res AS (SELECT id, list_sum(proba[1:9]) AS risk FROM pr)", "id", "risk"))
 def _(spark, sf):
     return telemetry(spark, sf).select("id", risk(proba_col()).alias("risk"))
