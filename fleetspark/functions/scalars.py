@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,20 +103,6 @@ def interp(x, xs: Column, ys: Column) -> Column:
                   F.when(i == 0, at(ys, F.lit(1))).when(i >= n, at(ys, n)).otherwise(inner))
 
 
-def resample(values: Column, points: int) -> Column:
-    """``points`` values linearly interpolated over the row index of an array; null under two values."""
-    n = F.size(values)
-
-    def at(i):
-        pos = i * (n - 1) / F.lit(float(points - 1))
-        k = F.floor(pos)
-        lo = F.element_at(values, (k + 1).cast("int"))
-        hi = F.element_at(values, F.least(k + 2, n).cast("int"))
-        return lo + (hi - lo) * (pos - k)
-
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
-
-
 def best_action(proba, costs: Column, actions: Column) -> Column:
     """Action with the least expected cost; ``costs`` holds one array over actions per class, the first minimum wins."""
     proba = col(proba)
@@ -129,10 +113,6 @@ def best_action(proba, costs: Column, actions: Column) -> Column:
     return F.element_at(actions, F.array_position(expected, F.array_min(expected)).cast("int"))
 
 
-def weighted_sum(values: list, weights: list) -> Column:
-    return reduce(lambda a, b: a + b, [col(v) * w for v, w in zip(values, weights)])
-
-
 def select_by(columns: list[str], prefixes=(), suffixes=(), exclude=()) -> list[str]:
     """Column names by prefix or suffix, minus an exclusion set; order is kept."""
     return [c for c in columns if c not in set(exclude)

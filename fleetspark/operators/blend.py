@@ -7,7 +7,6 @@ which Spark sums; the small non-negative solve then runs on one aggregated row p
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -12,7 +12,6 @@ from ..functions.scalars import bin_left_open
 from .asof import asof
 from .ordered import Ordered, join_keys
 from .quantiles import quantile_edges, quantiles
-from .sampling import ranked
 
 
 def wear_curve(df: DataFrame, keys: list[str], x: str, y: str, bins: int = 8, rows: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from .blend_queries import M, MEMBERS, members
 from .filter_queries import with_lives
 from .neighbor_queries import NOLAG, regime_rows
 from .registry import query
-from .telemetry_queries import TTFS, tool_rows, ttf
+from .telemetry_queries import tool_rows, ttf
 from .views import REGIMES, runs, sql
 
 X = ["s1", "s2", "recipe_step", "runnum"]
