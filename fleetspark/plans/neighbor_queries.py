@@ -84,7 +84,7 @@ def _(spark, sf):
 @query("out_of_fold_neighbors", sql("runs", f"""+{FOLD_SQL}, v AS (SELECT f AS view, fo.* FROM fo, range(0, 5) r(f)),
   pr AS (SELECT a.view, a.run_id, b.y, row_number() OVER (PARTITION BY a.view, a.run_id ORDER BY abs(a.t_start - b.t_start),
       CASE WHEN (b.t_start, b.run_id) < (a.t_start, a.run_id) THEN 0 ELSE 1 END, CASE WHEN (b.t_start, b.run_id) < (a.t_start, a.run_id) THEN -b.run_id ELSE b.run_id END) AS rk
-    FROM v a JOIN fo b ON a.regime = b.regime AND a.run_id <> b.run_id AND b.is_ref AND b.fold <> a.view AND abs(a.t_start - b.t_start) < 400000),
+    FROM v a JOIN fo b ON a.regime = b.regime AND a.run_id <> b.run_id AND b.is_ref AND b.fold <> a.view AND abs(a.t_start - b.t_start) < 1200000),
   res AS (SELECT view, run_id, avg(y) FILTER (rk <= 3) AS NB_time_3 FROM pr GROUP BY ALL)""", "run_id", "NB_time_3", "view"))
 def _(spark, sf):
     q, c = FO.outer_views(FO.kfold(runs(spark, sf), ["run_id"], 5), F.col("is_ref"), "fold", 5)
