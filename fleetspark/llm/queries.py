@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, shards
+from . import minhash, mixing, packing, repeats, shards
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -42,6 +42,18 @@ def interleaved_shards(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "position")
 
 
+@query("op5_minhash_components")
+def minhash_components(spark, sf):
+    return minhash.near_duplicates(documents(spark, sf))
+
+
+@query("op9_repeated_strings_removed")
+def repeated_strings_removed(spark, sf):
+    out = repeats.remove_repeats(documents(spark, sf), 50)
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_packed_sequences")
 def packed_sequences(spark, sf):
     out = packing.pack(documents(spark, sf), tokenizer_path(), 2048, with_ids=False)
