@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, repeats, shards
+from ..scratch import new_path
+from . import language, minhash, mixing, packing, repeats, resample, rules, secrets, shards, spotsigs
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +77,41 @@ WHERE (block - 1) * tokens + upto <= b""")
 def temperature_mix(spark, sf):
     out = mixing.mix(documents(spark, sf), max_repeats=2.0)
     return out.withColumns({"blocks": F.round("blocks", 6), "weight": F.round("weight", 6)})
+
+
+@query("op1_importance_resample")
+def importance_resample(spark, sf):
+    d = documents(spark, sf)
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0")
+    return resample.importance_resample(d, good).select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
+@query("op2_language")
+def language_id(spark, sf):
+    d = documents(spark, sf)
+    out = language.identify(d, language.train(d), carry=["doc_id"])
+    return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_spot_signatures")
+def spot_signatures(spark, sf):
+    out = spotsigs.compare_edited(documents(spark, sf))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+                      spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op7_risk_controlled_rules")
+def risk_controlled_rules(spark, sf):
+    out = rules.judge(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+@query("op8_blob_ledger_secrets")
+def blob_ledger_secrets(spark, sf):
+    out = secrets.scan(documents(spark, sf), new_path(spark, "ledger"))
+    kinds = F.array(*[F.lit(r[0]) for r in secrets.RULES])
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
+                      text(F.col("spans")).alias("spans"))
