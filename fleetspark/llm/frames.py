@@ -46,6 +46,7 @@ def rank_in_groups(df: DataFrame, group: str | None, uniform: str, ties: list[st
         sized = df.withColumn("_size", F.lit(df.count() if rows is None else rows).cast("long"))
     cells = F.ceil(F.col("_size") / F.lit(cell_rows))
     sized = sized.withColumn("_cell", F.least(F.floor(F.col(uniform) * cells), cells - 1).cast("long"))
+    sized = sized.repartition(*keys, "_cell")  # else the tasks of the join by group would also rank it
     sums = [F.count(F.lit(1)).alias("_c")] + ([F.sum(weight).alias("_w")] if weight else [])
     before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.groupBy(*keys, "_cell").agg(*sums)

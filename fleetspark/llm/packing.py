@@ -67,9 +67,11 @@ class WordIds:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words, self.pieces = {}, {}
+            self.words = {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
         known = self.words
-        new = {w for ws in split for w in ws if w not in known}
+        new = set().union(*split).difference(known)
         if new:
             self._learn(new)
         get = known.__getitem__
