@@ -1,8 +1,58 @@
 """From raw documents to packed training sequences: language, near-copies, secrets, mixture, packing."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetspark.llm import language, minhash, mixing, packing, secrets
+from fleetspark.llm.queries import tokenizer_path
+from fleetspark.scratch import cut, new_path
+
+#: A document goes if no language reaches this mean probability (or it has no letters); sources are repeated so many times at most.
+LEAST_SCORE, MAX_REPEATS = 0.4, 1.25
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; the network learns from the labels of the documents that are not held out."""
+    out = language.identify(docs, language.train(docs))
+    return out.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced; ``n_chars`` follows the text."""
+    out = secrets.redacted(docs, secrets.scan(docs, new_path(spark, "ledger")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; those of smaller sources again until the tempered weights are met."""
+    uses = mixing.mix(docs, max_repeats=MAX_REPEATS).groupBy(F.col("doc_id").alias("_id"))
+    uses = uses.agg(F.expr("count_if(block > 1) div count_if(block = 1)").cast("int").alias("_more")).filter("_more > 0")
+    both = docs.join(uses, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    times = F.sequence(F.lit(0), F.coalesce("_more", F.lit(0)))
+    return both.withColumn("_use", F.explode(times)).select(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their place in a sequence."""
+    out = packing.pack(docs, tokenizer_path(), 2048, with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language", keep_languages), ("near-duplicates", drop_near_copies), ("secrets", cover_secrets), ("mixture", mix_sources), ("packing", pack_sequences)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
