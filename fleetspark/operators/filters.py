@@ -1,22 +1,20 @@
-"""Order-dependent filters per key: EWMA levels, local-level smoothing, regression Kalman, gates and adaptive intervals.
+"""Order-dependent linear filters per key: EWMA levels and local-level smoothing.
 
-Linear filters are associative: the effect of a row is a small element (A, b, C, eta, J) and elements compose, as in
+They are associative: the effect of a row is a small element (A, b, C, eta, J) and elements compose, as in
 parallel Kalman smoothing (Sarkka and Garcia-Fernandez, 2021). A hot key is therefore scanned slice by slice in
-parallel and the slices are joined by composing one element per slice. Filters that are not associative hand their
-state from one slice to the next, so no task holds more than one slice of a key.
+parallel and the slices are joined by composing one element per slice.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, new_path
+from ..scratch import cut
 from .asof import asof
 from .ordered import CHUNK, Ordered, join_keys
 
@@ -221,153 +219,6 @@ def select_noise(queries: DataFrame, labels: DataFrame, keys: list[str], t: str,
     return mse.groupBy(*keys).agg(F.min(F.struct("mse", "qh", "qj")).alias("_b")).select(*keys, "_b.qh", "_b.qj", "_b.mse")
 
 
-# -- filters with hand-over ---------------------------------------------------------------------------
-def chain(df: DataFrame, keys: list[str], t: str, tie: list[str], make: Callable[[], object], schema: str,
-          rows: int | None = None) -> DataFrame:
-    """Run ``make().step(rows)`` over each key in order. A key that fits runs in one call; a longer one runs slice after
-    slice, each round handing the pickled state of every unfinished key to its next slice."""
-    o = Ordered(df, keys, t, tie, rows)
-    order = [t, *tie]
-    if not o.split:
-        return df.groupBy(*keys).applyInPandas(lambda pdf: make().step(pdf.sort_values(order)), schema)
-    spark = df.sparkSession
-    slices = o.df.select(*o.part).dropDuplicates()
-    ranks = slices.withColumn("_slice", F.row_number().over(Window.partitionBy(*keys).orderBy(CHUNK)))  # one row per slice
-    path = new_path(spark, "slices")
-    join_keys(o.df, ranks, o.part).drop(CHUNK).write.partitionBy("_slice").parquet(path)
-    table = spark.read.parquet(path)
-    n = ranks.agg(F.max("_slice")).head()[0]
-    out_path = new_path(spark, "chained")
-    full = f"{schema}, _state binary"
-    states = None
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blob = pdf["_in"].iloc[0]
-        job = pickle.loads(blob) if blob is not None else make()
-        res = job.step(pdf.drop(columns=["_in", "_slice"]).sort_values(order))
-        res["_state"] = [None] * (len(res) - 1) + [pickle.dumps(job)] if len(res) else []
-        return res
-
-    for i in range(1, n + 1):
-        part = table.filter(F.col("_slice") == i)
-        part = join_keys(part, states, keys) if states is not None else part.withColumn("_in", F.lit(None).cast("binary"))
-        part.groupBy(*keys).applyInPandas(run, full).write.parquet(f"{out_path}/round={i}")
-        states = spark.read.schema(full).parquet(f"{out_path}/round={i}").filter("_state is not null").select(*keys, F.col("_state").alias("_in"))
-    return spark.read.schema(full).option("recursiveFileLookup", "true").parquet(out_path).drop("_state")
-
-
-class Gate:
-    """Accept a label below three times the median of the last 200 accepted ones (1000 until ten are known); nulls are rejected."""
-
-    def __init__(self, y: str, cols: list[str], ratio: float = 3.0, limit: float = 1000.0):
-        self.y, self.cols, self.ratio, self.limit, self.kept = y, cols, ratio, limit, []
-
-    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = []
-        for v in pdf[self.y].to_numpy(float):
-            bound = self.ratio * float(np.median(self.kept)) if len(self.kept) >= 10 else self.limit
-            ok.append(bool(np.isfinite(v) and v < bound))
-            if ok[-1]:
-                self.kept = (self.kept + [v])[-200:]
-        return pdf[self.cols].assign(accepted=ok)
-
-
-class AdaptiveWidth:
-    """Interval width: the (1-alpha) quantile of the last 400 absolute errors; alpha moves by gamma*(target - miss)."""
-
-    def __init__(self, err: str, cols: list[str], target: float = 0.1, gamma: float = 0.01, window: int = 400, least: int = 20):
-        self.err, self.cols, self.target, self.gamma, self.window, self.least = err, cols, target, gamma, window, least
-        self.alpha, self.scores = target, []
-
-    def width(self) -> float:
-        if len(self.scores) < self.least:
-            return float("nan")
-        return float(np.quantile(self.scores, min(max(1 - self.alpha, 0.0), 1.0)))
-
-    def update(self, err: float, width: float) -> None:
-        if not np.isfinite(err):
-            return
-        if np.isfinite(width):
-            self.alpha += self.gamma * (self.target - float(err > width))
-        self.scores = (self.scores + [err])[-self.window:]
-
-    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        widths = []
-        for e in pdf[self.err].to_numpy(float):
-            widths.append(self.width())
-            self.update(e, widths[-1])
-        out = pdf[self.cols].copy()
-        out["width"] = pd.Series(widths, index=out.index).astype(object).where(np.isfinite(widths), None)
-        return out
-
-
-class RegressionKalman:
-    """y = level + slopes . z + noise with random-walk level and slopes; predicts each row before its label updates the state."""
-
-    def __init__(self, t: str, y: str, z: list[str], life: str, cols: list[str], q_level: float = 0.5, q_beta: float = 0.002,
-                 r: float = 4.0, reset_var: float = 0.0):
-        self.t, self.y, self.z, self.life, self.cols = t, y, z, life, cols
-        self.q_level, self.q_beta, self.r, self.reset_var, self.state = q_level, q_beta, r, reset_var, None
-
-    def moved(self, t, life):
-        m, P, t0, l0 = self.state
-        Q = np.diag([self.q_level] + [self.q_beta] * (len(m) - 1)) * max(t - t0, 0.0) / 3600.0
-        if life != l0:
-            Q[0, 0] += self.reset_var
-        return m, P + Q
-
-    def predict(self, t, z, life):
-        if self.state is None:
-            return np.nan, np.nan
-        m, P = self.moved(t, life)
-        h = np.r_[1.0, z]
-        return float(h @ m), float(h @ P @ h + self.r)
-
-    def observe(self, t, y, z, life):
-        k = 1 + len(z)
-        if self.state is None:
-            self.state = (np.r_[y, np.zeros(k - 1)], np.diag([25.0] + [4.0] * (k - 1)), t, life)
-            return
-        m, P = self.moved(t, life)
-        h = np.r_[1.0, z]
-        gain = P @ h / (h @ P @ h + self.r)
-        _, _, t0, l0 = self.state
-        self.state = (m + gain * (y - h @ m), P - np.outer(gain, h @ P), max(t0, t), max(l0, life))
-
-    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        pred, var = [], []
-        for t, y, life, z in zip(pdf[self.t].to_numpy(float), pdf[self.y].to_numpy(float), pdf[self.life].to_numpy(), pdf[self.z].to_numpy(float)):
-            a, b = self.predict(t, z, life)
-            pred.append(a), var.append(b)
-            if np.isfinite(y):
-                self.observe(t, y, z, life)
-        out = pdf[self.cols].copy()
-        for name, vals in (("pred", pred), ("pred_var", var)):
-            out[name] = pd.Series(vals, index=out.index).astype(object).where(np.isfinite(vals), None)
-        return out
-
-
-class AdaptiveSampler:
-    """Measure the most uncertain rows: threshold = quantile of the last 200 scores, its level steered to the budget."""
-
-    def __init__(self, score: str, u: str, cols: list[str], budget: float, hybrid: bool = False):
-        self.score, self.u, self.cols, self.budget, self.hybrid = score, u, cols, budget, hybrid
-        self.history, self.level, self.count = [], budget, 0
-
-    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        sub = self.budget / 2 if self.hybrid else self.budget
-        picks = []
-        for s, u in zip(pdf[self.score].to_numpy(float), pdf[self.u].to_numpy(float)):
-            take = bool(u < sub) if len(self.history) < 20 else bool(s >= np.quantile(self.history, 1 - self.level))
-            self.history = (self.history + [s])[-200:]
-            if self.hybrid:
-                take = take or self.count % max(int(round(2 / self.budget)), 1) == 0
-                self.count += 1
-            self.level = float(np.clip(self.level + 0.02 * (sub - take), 0.01, 0.99))
-            picks.append(take)
-        return pdf[self.cols].assign(chosen=picks)
-
-
 def trust_flags(df: DataFrame, active: str, age: str, n: str, members: list[str], stale: float = 8.0, disagree: float = 3.0,
                 cold: int = 30) -> DataFrame:
     """no_active, stale, disagree and cold flags from run activity, history age and count, and member spread."""

@@ -127,7 +127,10 @@ def screen_columns(train: DataFrame, cols: list[str], label: str, k: int) -> lis
 
 def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str, make: Callable[[], object], groups: list | None = None,
                 group: str | None = None, out: str = "pred") -> DataFrame:
-    """One model per listed group value, or a single one. ``make`` returns a Spark ML regressor."""
+    """One model per listed group value, or a single one. ``make`` returns a Spark ML regressor.
+
+    Test rows of a group that is not listed, or null, stay without a prediction.
+    """
     if groups is None:
         model = make().setParams(featuresCol="features", labelCol=label, predictionCol=out).fit(_assembled(train, cols))
         return _tidy(model.transform(_assembled(test, cols)), cols)
@@ -135,7 +138,8 @@ def fit_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str,
     x = parts[0]
     for p in parts[1:]:
         x = x.unionByName(p)
-    return x
+    rest = test.filter(F.coalesce(~F.col(group).isin(list(groups)), F.lit(True))).withColumn(out, F.lit(None).cast("double"))
+    return x.unionByName(rest, allowMissingColumns=True)
 
 
 def boosted(iters: int = 10, depth: int = 3, seed: int = SEED) -> Callable[[], object]:

@@ -38,7 +38,7 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], qs: dict[str, flo
     picked = ranked.groupBy(*group).agg(*aggs)
     wide = picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_col") == c, F.col(n))).alias(f"{c}_{n}") for c in cols for n in qs])
-    return wide
+    return join_keys(df.select(*keys).distinct(), wide, keys)  # a group without a value keeps its row, as above
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str = "wq",

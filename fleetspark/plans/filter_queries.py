@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw
 from ..operators import arrivals as A
 from ..operators import filters as FL
 from ..operators.runs import life_ids
 from ..operators.ordered import key_rows
 from .blend_queries import M, members
 from .neighbor_queries import NOLAG, block_sql, regime_rows
-from .registry import query
+from .registry import query, twin
 from .run_queries import LIFE_SQL
 from .views import runs, sql
 
@@ -29,7 +28,7 @@ def rec_sql(init, step, cols):
 
 
 def recursive(text):
-    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+    return twin(text.replace("WITH ", "WITH RECURSIVE ", 1), text.places)
 
 
 def with_lives(spark, sf):
@@ -110,32 +109,6 @@ def _(spark, sf):
     return x.select("run_id", "fwd", "level", F.log("level_var").alias("log_var"))
 
 
-@query("measurement_gate")
-def _(spark, sf):
-    df = labels(spark, sf).withColumn("ym", F.when(F.col("run_id") % 50 == 0, F.col("y") * 20).otherwise(F.col("y")))
-    return FL.chain(df, ["regime"], "t_end", ["run_id"], lambda: FL.Gate("ym", ["regime", "run_id"]), "regime string, run_id long, accepted boolean", regime_rows(spark, sf))
-
-
-@query("adaptive_interval_width")
-def _(spark, sf):
-    df = members(labels(spark, sf)).withColumn("err", F.abs(F.col("y") - F.col("pa")))
-    return FL.chain(df, ["regime"], "t_end", ["run_id"], lambda: FL.AdaptiveWidth("err", ["regime", "run_id"]), "regime string, run_id long, width double", regime_rows(spark, sf))
-
-
-@query("regression_kalman")
-def _(spark, sf):
-    df = with_lives(spark, sf).withColumns({"ym": F.when(F.col("measured"), F.col("y")), "z": F.col("usage") / 100 - 4})
-    return FL.chain(df, ["regime"], "t_end", ["run_id"], lambda: FL.RegressionKalman("t_end", "ym", ["z"], "life", ["regime", "run_id"], reset_var=9.0),
-                    "regime string, run_id long, pred double, pred_var double", regime_rows(spark, sf))
-
-
-@query("adaptive_measurement_policy")
-def _(spark, sf):
-    df = members(runs(spark, sf)).withColumns({"score": F.abs(F.col("pa") - F.col("pb")), "u": draw("policy", "run_id")})
-    return FL.chain(df, ["regime"], "t_end", ["run_id"], lambda: FL.AdaptiveSampler("score", "u", ["regime", "run_id"], 0.2, True),
-                    "regime string, run_id long, chosen boolean", regime_rows(spark, sf))
-
-
 @query("trust_flags", sql("runs", f"""+{M}, {block_sql('h', 'b.t_end <= a.t_end - 3600', 'P_', 'b.t_end DESC, b.run_id DESC', (15,))},
   res AS (SELECT m.run_id, NOT duration > 150 AS no_active, coalesce(P_age1 > 8, true) AS stale, CASE WHEN pc IS NULL THEN abs(pa - pb)/2 > 3
      ELSE sqrt((pa*pa + pb*pb + pc*pc)/3 - pow((pa + pb + pc)/3, 2)) > 3 END AS disagree, coalesce(P_n, 0) < 30 AS cold

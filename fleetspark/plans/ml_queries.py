@@ -96,7 +96,7 @@ def _(spark, sf):
 
 @query("greedy_member_selection")
 def _(spark, sf):
-    df = FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumn("pc", F.coalesce("pc", F.col("y"))).select("run_id", "regime", "fold", "y", *MEMBERS).cache()
+    df = FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumn("pc", F.coalesce("pc", (F.col("pa") + F.col("pb")) / 2)).select("run_id", "regime", "fold", "y", *MEMBERS).cache()
 
     def score(d, names):
         x = B.nested_blend(d, "fold", 3, ["regime"], names, "y")

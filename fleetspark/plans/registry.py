@@ -11,21 +11,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def rounded(c):
-    """About ten significant digits. The small offset moves exact halves off the rounding boundary."""
-    c = c.cast("double")
-    size = F.abs(c)
-    return (F.when(size < 1e4, F.round(c + 1.23e-8, 6)).when(size < 1e7, F.round(c + 1.23e-5, 3))
-            .when(size < 1e10, F.round(c + 0.0123, 0)).otherwise(F.round((c + 123.0) / 1e4, 0) * 1e4))
+#: Decimal places of every double that a query returns; a twin may name other ones for a column.
+PLACES = 6
+#: Added before rounding, the same everywhere: means of values with few decimals end in exact halves, which two engines may
+#: round either way after different last bits.
+NUDGE = 1.23e-8
 
 
-def checked(df: DataFrame) -> DataFrame:
-    """Doubles rounded and counts as bigint, so both engines print the same values."""
+class Twin(str):
+    """SQL text with the decimal places of the columns that need others than ``PLACES``."""
+
+    places: dict[str, int] = {}
+
+
+def twin(text: str, places: dict[str, int]) -> Twin:
+    out = Twin(text)
+    out.places = places
+    return out
+
+
+def checked(df: DataFrame, places: dict[str, int]) -> DataFrame:
+    """Doubles rounded to fixed places and counts as bigint, so both engines print the same values."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = rounded(c)
+            c = F.round(c.cast("double") + NUDGE, places.get(name, PLACES))
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         out.append(c.alias(name))
@@ -36,7 +47,7 @@ def query(name: str, oracle: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(name)
-        QUERIES[name] = lambda spark, sf: checked(fn(spark, sf))
+        QUERIES[name] = lambda spark, sf: checked(fn(spark, sf), getattr(oracle, "places", {}))
         if oracle is not None:
             ORACLES[name] = oracle
         return fn

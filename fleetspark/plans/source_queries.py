@@ -29,10 +29,10 @@ def csv_copy(spark, sf):
     return path
 
 
-def label_copy(spark, sf):
+def label_copy(spark, sf, tools="true"):
     path = new_path(spark, "ttf")
     named = F.concat(F.format_string("%05d", "tool"), F.lit("_DC_train"))
-    df = ttf(spark, sf).filter("tool % 10 <> 0").withColumns({"file": named, "time": F.col("t")})
+    df = ttf(spark, sf).filter(tools).withColumns({"file": named, "time": F.col("t")})
     df.select("file", "time", *TTFS).repartition("file").write.partitionBy("file").option("header", True).csv(path)
     return path
 
@@ -47,7 +47,7 @@ def _(spark, sf):
                                   F.count("s2").alias("n2"), F.count("s_absent").alias("n3"))
 
 
-@query("read_ttf_csv", sql("telemetry faults", f"+{TTF_SQL}, res AS (SELECT {TOOL}, count(*) AS n, sum(ttf_0) AS ttf_0, count(ttf_1) AS n1 FROM ttf WHERE tool % 10 <> 0 GROUP BY 1)", "tool", "ttf_0", "n n1"))
+@query("read_ttf_csv", sql("telemetry faults", f"+{TTF_SQL}, res AS (SELECT {TOOL}, count(*) AS n, sum(ttf_0) AS ttf_0, count(ttf_1) AS n1 FROM ttf GROUP BY 1)", "tool", "ttf_0", "n n1"))
 def _(spark, sf):
     df = TE.read_ttf(spark, label_copy(spark, sf), TTFS)
     return df.groupBy("tool").agg(F.count(F.lit(1)).alias("n"), F.sum("ttf_0").alias("ttf_0"), F.count("ttf_1").alias("n1"))
@@ -55,9 +55,20 @@ def _(spark, sf):
 
 @query("pair_sources", sql("telemetry", f"SELECT DISTINCT {TOOL}, tool % 10 <> 0 AS paired FROM telemetry", "tool paired"))
 def _(spark, sf):
-    a = TE.read_telemetry(spark, csv_copy(spark, sf), ["s1"])
-    paired, alone = TE.pair_sources(a, TE.read_ttf(spark, label_copy(spark, sf), TTFS))
-    return paired.withColumn("paired", F.lit(True)).unionByName(alone.withColumn("paired", F.lit(False)))
+    paired, alone = TE.pair_sources(spark, csv_copy(spark, sf), label_copy(spark, sf, "tool % 10 <> 0"))
+    return spark.createDataFrame([(t, True) for t in paired] + [(t, False) for t in alone], "tool string, paired boolean")
+
+
+@query("read_permuted_csv", sql("telemetry", f"""SELECT {TOOL}, count(*) AS n, sum(s1) AS s1, CASE WHEN tool % 3 < 2 THEN sum(s2) END AS s2, count(s2) FILTER (tool % 3 < 2) AS n2
+  FROM telemetry GROUP BY tool""", "tool", "s1 s2", "n n2"))
+def _(spark, sf):
+    """Files whose columns come in another order, or lack one."""
+    path = new_path(spark, "permuted")
+    df = telemetry(spark, sf).withColumns({"file": F.concat(F.format_string("%05d", "tool"), F.lit("_DC_train")), "time": F.col("t")})
+    for k, cols in enumerate((["time", "s1", "s2"], ["s2", "time", "s1"], ["s1", "time"])):
+        df.filter(F.col("tool") % 3 == k).select("file", *cols).repartition("file").write.mode("append").partitionBy("file").option("header", True).csv(path)
+    got = TE.read_telemetry(spark, path, ["s1", "s2"])
+    return got.groupBy("tool").agg(F.count(F.lit(1)).alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.count("s2").alias("n2"))
 
 
 @query("ingest_typed_rows", sql("telemetry", f"SELECT {TOOL}, CAST(trunc(t) AS BIGINT) AS time, CASE WHEN id % 7 = 0 THEN -1 ELSE recipe_step END AS stage, runnum FROM telemetry", "tool", "", "time stage runnum"))

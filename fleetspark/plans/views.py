@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .registry import NUDGE, PLACES, twin
+
 from ..functions.scalars import draw
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
@@ -120,12 +122,8 @@ SQL = {
 }
 
 
-ROUNDED = ("CASE WHEN abs({n}) < 1e4 THEN round(CAST({n} AS DOUBLE) + 1.23e-8, 6) WHEN abs({n}) < 1e7 THEN round(CAST({n} AS DOUBLE) + 1.23e-5, 3) "
-           "WHEN abs({n}) < 1e10 THEN round(CAST({n} AS DOUBLE) + 0.0123, 0) ELSE round((CAST({n} AS DOUBLE) + 123.0) / 1e4, 0) * 1e4 END AS {n}")
-
-
 def sql(names: str, body: str, keys: str = "", nums: str = "", ints: str = "") -> str:
-    """SQL text over the views; ``keys`` pass through, ``nums`` are rounded to 6 places, ``ints`` become BIGINT.
+    """SQL text over the views; ``keys`` pass through, ``nums`` are rounded to 6 places (``name:3``: to 3), ``ints`` become BIGINT.
 
     ``body`` is a query, or further CTEs followed by a query.
     """
@@ -137,9 +135,10 @@ def sql(names: str, body: str, keys: str = "", nums: str = "", ints: str = "") -
         source = "res"
     else:
         source = f"({body})"
+    places = {n: int(p) for n, _, p in (x.partition(":") for x in nums.split()) if p}
     if not (keys or nums or ints):
         select = "*"
     else:
-        select = ", ".join([*keys.split(), *[ROUNDED.format(n=n) for n in nums.split()],
+        select = ", ".join([*keys.split(), *[f"round(CAST({n} AS DOUBLE) + {NUDGE}, {int(p or PLACES)}) AS {n}" for n, _, p in (x.partition(":") for x in nums.split())],
                             *[f"CAST({n} AS BIGINT) AS {n}" for n in ints.split()]])
-    return f"{lead}{views}\nSELECT {select} FROM {source}"
+    return twin(f"{lead}{views}\nSELECT {select} FROM {source}", places)

@@ -6,14 +6,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ordered import join_keys
 from ..operators.runs import OUTLIER
+from .telemetry import read_by_name
 
 
 def read_runs(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """All splits' CSV files with a declared schema and a ``split`` column."""
-    parts = [spark.read.schema(schema).option("header", True).csv(p).withColumn("split", F.lit(s)) for s, p in paths.items()]
+    """All splits' CSV files, columns by name and cast to the declared schema, and a ``split`` column."""
+    kinds = StructType.fromDDL(schema)
+    parts = []
+    for split, path in paths.items():
+        raw = read_by_name(spark, path, [])
+        cols = [(F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds]
+        parts.append(raw.select(*cols, F.lit(split).alias("split")))
     return union_all(parts)
 
 

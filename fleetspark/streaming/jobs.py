@@ -20,12 +20,29 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None =
     return r.parquet(folder)
 
 
-def run_available(df: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None = None) -> tuple[StreamingQuery, str]:
-    """Process everything available and stop. Every micro-batch is written under its own number, so a retried one replaces itself."""
+class Feed:
+    """A folder that a file stream reads one file at a time, filled piece by piece."""
+
+    def __init__(self, spark: SparkSession, schema):
+        self.folder, self.schema, self.spark = new_path(spark, "feed"), schema, spark
+
+    def add(self, piece: DataFrame) -> None:
+        piece.select(*self.schema.names).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def stream(self) -> DataFrame:
+        return file_stream(self.spark, self.folder, self.schema, files_per_trigger=1)
+
+
+def run_available(df: DataFrame, mode: str, each: Callable[[DataFrame, int], None] | None = None, place: str | None = None) -> tuple[StreamingQuery, str]:
+    """Process everything available and stop. Every micro-batch is written under its own number, so a retried one replaces itself.
+
+    ``place`` (offsets and output) lets a later call go on where an earlier one stopped.
+    """
     spark = df.sparkSession
-    out = new_path(spark, "stream")
+    place = place or new_path(spark, "stream")
+    out = f"{place}/out"
     sink = each or (lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_path(spark, "offsets"))
+    q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{place}/offsets")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
@@ -33,15 +50,23 @@ def run_available(df: DataFrame, mode: str, each: Callable[[DataFrame, int], Non
     return q, out
 
 
-def results(df: DataFrame, mode: str) -> DataFrame:
-    """Output of a finished run: the latest complete table, or all appended batches."""
-    spark = df.sparkSession
-    _, out = run_available(df, mode)
-    got = spark.read.schema(df.schema.add("batch", "long")).parquet(out)
-    if mode == "complete":
-        last = got.agg(F.max("batch")).head()[0]  # one number
-        got = got.filter(F.col("batch") == last)
-    return got.drop("batch")
+def results(df: DataFrame, mode: str, place: str | None = None) -> DataFrame:
+    """Output of a finished run: all appended batches."""
+    _, out = run_available(df, mode, place=place)
+    return df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(out).drop("batch")
+
+
+def in_pieces(make: Callable[[DataFrame], DataFrame], feed: Feed, pieces: list[DataFrame], each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Feed the pieces as files, one micro-batch each, with a stop and restart half way; the appended output, or None with ``each``."""
+    place, half = new_path(feed.spark, "stream"), len(pieces) // 2
+    for part in (pieces[:half], pieces[half:]):
+        for p in part:
+            feed.add(p)
+        df = make(feed.stream())
+        _, out = run_available(df, "append", each, place)
+    if each:
+        return None
+    return feed.spark.read.schema(df.schema.add("batch", "long")).parquet(out).drop("batch")
 
 
 def as_timestamp(c: str) -> Column:
@@ -77,7 +102,9 @@ def delayed_label_join(preds: DataFrame, labels: DataFrame, key: str, pred_ts: s
     return p.join(l, cond, how).drop("_k")
 
 
-def progress(q: StreamingQuery, spark: SparkSession) -> DataFrame:
-    """Batch sizes and durations of a query's recent progress (at most a hundred records)."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0))) for p in q.recentProgress]
-    return spark.createDataFrame(rows, "batch long, input_rows long, trigger_ms long")
+def recorded(q: StreamingQuery, path: str) -> None:
+    """Append the progress records that a query still holds to a table; call it after each run, before records are dropped."""
+    rows = [(str(q.id), int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0))) for p in q.recentProgress]
+    schema = "query string, batch long, input_rows long, trigger_ms long"
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)

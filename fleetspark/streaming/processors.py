@@ -1,27 +1,26 @@
-"""Keyed stateful processors: time since an event, and the per-regime online estimator.
+"""Keyed stateful processors: time since an event, and what a regime knows from the labels that have arrived.
 
-State is one bounded pickled object per key, kept in the state store, so it survives executor loss with the checkpoint.
+State is one pickled dictionary per key in the state store, bounded by time horizons; it survives executor loss with the checkpoint.
 """
 
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.filters import AdaptiveSampler, AdaptiveWidth, Gate, RegressionKalman
-
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NO_EVENT = 1e7
 HOUR = 3600.0
+DAY = 24 * HOUR
 
 
 class Remembering(StatefulProcessor):
-    """Keeps one object per key; subclasses give ``fresh`` and ``work(key, rows, state) -> rows``."""
+    """Keeps one dictionary per key; subclasses give ``fresh`` and ``work(key, rows, state) -> rows``."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.slot = handle.getValueState("state", "blob binary")
@@ -37,129 +36,117 @@ class Remembering(StatefulProcessor):
 
 
 class SinceEvent(Remembering):
-    """Seconds since the last flagged row per key, the row itself included; rows are ordered by time inside a batch."""
+    """Seconds since the last flagged row per key, the row itself included, by event time.
+
+    Event times are kept up to ``lateness`` seconds behind the newest row, and the last one before that, so a row that arrives
+    in a later batch than its time still finds the event before it.
+    """
 
     schema = "tool long, id long, since double"
 
+    def __init__(self, lateness: float = DAY):
+        self.lateness = lateness
+
     def fresh(self, key):
-        return {"last": None}
+        return {"events": [], "newest": float("-inf")}
 
     def work(self, key, pdf, state):
-        pdf = pdf.sort_values(["t", "id"])
-        out = []
-        for t, flag in zip(pdf["t"], pdf["flag"]):
-            if flag and (state["last"] is None or t > state["last"]):
-                state["last"] = t
-            out.append(NO_EVENT if state["last"] is None or state["last"] > t else t - state["last"])
-        return pd.DataFrame({"tool": key[0], "id": pdf["id"].to_numpy(), "since": out})
-
-
-class OnlineState:
-    """What one regime remembers: accepted labels (recent ones, count, sum), level, Kalman state, gate and interval width."""
-
-    def __init__(self, lam: float, keep: int, policy: str, budget: float):
-        self.recent: list[tuple[float, float]] = []  # (process time, label) in process order
-        self.n, self.total, self.level, self.keep, self.lam = 0, 0.0, None, keep, lam
-        self.gate = Gate("y", [])
-        self.width = AdaptiveWidth("err", [])
-        self.kalman = RegressionKalman("t", "y", ["z"], "life", [])
-        self.issued: dict[int, tuple[float, float]] = {}
-        self.now = -np.inf
-        self.policy, self.seen = policy, 0
-        self.sampler = AdaptiveSampler("score", "u", [], budget, policy == "hybrid")
-        self.budget = budget
-
-    def accepts(self, y: float) -> bool:
-        bound = self.gate.ratio * float(np.median(self.gate.kept)) if len(self.gate.kept) >= 10 else self.gate.limit
-        ok = bool(np.isfinite(y) and y < bound)
-        if ok:
-            self.gate.kept = (self.gate.kept + [y])[-200:]
-        return ok
-
-    def learn(self, run, t, y, z, life) -> bool:
-        if not self.accepts(y):
-            self.issued.pop(run, None)
-            return False
-        self.n, self.total = self.n + 1, self.total + y
-        # Labels may arrive out of process order: keep the list sorted by process time.
-        self.recent = sorted([*self.recent, (t, y)])[-self.keep:]
-        self.level = y if self.level is None else self.lam * y + (1 - self.lam) * self.level
-        self.kalman.observe(t, y, np.array([z]), life)
-        pred, width = self.issued.pop(run, (np.nan, np.nan))
-        self.width.update(abs(y - pred) if np.isfinite(pred) else np.nan, width)
-        return True
-
-    def predict(self, run, p, z, life):
-        k, var = self.kalman.predict(p, np.array([z]), life)
-        have = [v for v in (self.level, k) if v is not None and np.isfinite(v)]
-        pred = float(np.mean(have)) if have else np.nan
-        width = self.width.width()
-        self.issued[run] = (pred, width)
-        return pred, width, (float(np.sqrt(var)) if np.isfinite(var) else np.nan)
-
-    def choose(self, u: float, sd: float) -> bool:
-        self.seen += 1
-        if self.policy == "all":
-            return True
-        if self.policy == "random":
-            return u < self.budget
-        if self.policy == "periodic":
-            return (self.seen - 1) % max(int(round(1 / self.budget)), 1) == 0
-        step = self.sampler.step(pd.DataFrame({"score": [sd if np.isfinite(sd) else 10.0], "u": [u]}))
-        return bool(step["chosen"].iloc[0])
-
-
-class OnlineRegime(Remembering):
-    """Labels update the regime's state, runs get a prediction from the labels that arrived strictly before them.
-
-    Input rows: run_id, kind (0 label, 1 run), at (arrival or prediction time), t (process end), y, z, life, u.
-    Labels older than ``lateness`` seconds against the newest time already served are reported and not learned.
+        events = state["events"]
+        for e in zip(pdf.loc[pdf["flag"], "t"], pdf.loc[pdf["flag"], "id"]):
+            insort(events, e)
+        since = []
+        for row in zip(pdf["t"], pdf["id"]):
+            k = bisect_right(events, row)
+            since.append(row[0] - events[k - 1][0] if k else NO_EVENT)
+        state["newest"] = max(state["newest"], pdf["t"].max())
+        old = bisect_right(events, (state["newest"] - self.lateness, float("inf")))
+        del events[:max(0, old - 1)]
+        return pd.DataFrame({"tool": key[0], "id": pdf["id"].to_numpy(), "since": since})
+
+
+class ArrivedLabels(Remembering):
+    """Labels join what a regime knows; runs get that knowledge as it was strictly before them, and an estimate.
+
+    Input rows: run_id, kind (0 label, 1 run), at (arrival or request time), t (process end), y, u. A label that arrives more than
+    ``lateness`` seconds behind the newest request is reported as late and not learned, and one of a run that the policy did not
+    choose is ignored. The estimate is the mean of known labels decayed over ``half_life`` hours of process time; its width is twice
+    the mean error of the estimates whose labels came within ``horizon`` seconds. Labels are kept for a day, or the last ten.
     """
 
-    schema = ("scenario string, regime string, run_id long, kind string, at double, pred double, width double, level double, mean double, n long, "
-              "age_h double, last1 double, mean3 double, chosen boolean")
+    schema = ("scenario string, regime string, run_id long, kind string, at double, pred double, width double, n long, mean double, last1 double, "
+              "mean3 double, mean10 double, n24 long, age_h double, chosen boolean")
+    least = 10
 
-    def __init__(self, lam: float = 0.3, keep: int = 200, lateness: float = 1e9, scenarios: dict[str, dict] | None = None):
-        self.lam, self.keep, self.lateness, self.scenarios = lam, keep, lateness, scenarios or {}
+    def __init__(self, half_life: float = 8.0, horizon: float = 7 * DAY, lateness: float = float("inf"), policies: dict[str, dict] | None = None):
+        self.half_life, self.horizon, self.lateness, self.policies = half_life, horizon, lateness, policies or {}
 
     def fresh(self, key):
-        conf = self.scenarios.get(key[0], {})
-        return OnlineState(self.lam, self.keep, conf.get("policy", "all"), conf.get("budget", 1.0))
+        return {"labels": [], "n": 0, "sum": 0.0, "decayed": [0.0, 0.0, None], "open": {}, "errors": [0, 0.0], "newest": float("-inf")}
+
+    def learn(self, s: dict, run, t: float, y: float) -> None:
+        insort(s["labels"], (t, y))
+        s["n"] += 1
+        s["sum"] += y
+        weight, total, top = s["decayed"]
+        if top is None or t >= top:
+            fade = 0.5 ** ((t - top) / HOUR / self.half_life) if top is not None else 0.0
+            s["decayed"] = [weight * fade + 1.0, total * fade + y, t]
+        else:
+            share = 0.5 ** ((top - t) / HOUR / self.half_life)
+            s["decayed"] = [weight + share, total + share * y, top]
+        guess = s["open"].pop(run, (None, None))[1]
+        if guess is not None:
+            s["errors"] = [s["errors"][0] + 1, s["errors"][1] + abs(y - guess)]
+
+    def wanted(self, policy: dict, u: float, age_h: float | None) -> bool:
+        """Every run; a hashed share; or that share and whatever comes long after the last known label."""
+        kind = policy.get("policy", "all")
+        if kind == "all" or u < policy["budget"]:
+            return True
+        return kind == "stale" and (age_h is None or age_h > policy["age_h"])
+
+    def describe(self, s: dict, at: float) -> dict:
+        y = [v for _, v in s["labels"]]
+        mean = lambda k: sum(y[-k:]) / len(y[-k:]) if y else None
+        weight, total, _ = s["decayed"]
+        return {"pred": total / weight if weight else None, "width": 2 * s["errors"][1] / s["errors"][0] if s["errors"][0] >= self.least else None,
+                "n": s["n"], "mean": s["sum"] / s["n"] if s["n"] else None, "last1": y[-1] if y else None, "mean3": mean(3), "mean10": mean(10),
+                "n24": len(y) - bisect_right(s["labels"], (at - DAY, float("-inf"))), "age_h": (at - s["labels"][-1][0]) / HOUR if y else None}
 
     def work(self, key, pdf, s):
+        policy, out = self.policies.get(key[0], {}), []
         # At an equal time the run goes first: a label counts only from strictly after its arrival.
         pdf = pdf.assign(_k=1 - pdf["kind"]).sort_values(["at", "_k", "run_id"])
-        out = []
-        for run, kind, at, t, y, z, life, u in pdf[["run_id", "kind", "at", "t", "y", "z", "life", "u"]].itertuples(index=False, name=None):
-            if kind == 0:
-                if at < s.now - self.lateness:
-                    out.append((run, "late", at, None, None, None, None, s.n, None, None, None, None))
-                elif not s.learn(run, t, y, z, life):
-                    out.append((run, "rejected", at, None, None, None, None, s.n, None, None, None, None))
-                continue
-            pred, width, sd = s.predict(run, at, z, life)
-            last = [v for _, v in s.recent[::-1]]
-            out.append((run, "run", at, pred, width, s.level, s.total / s.n if s.n else None, s.n,
-                        (at - s.recent[-1][0]) / HOUR if s.recent else None, last[0] if last else None,
-                        float(np.mean(last[:3])) if last else None, s.choose(u, sd)))
-            s.now = max(s.now, at)
-        cols = ["run_id", "kind", "at", "pred", "width", "level", "mean", "n", "age_h", "last1", "mean3", "chosen"]
-        res = pd.DataFrame(out, columns=cols)
-        for c in ("pred", "width", "level", "mean", "age_h", "last1", "mean3"):
-            v = res[c].astype(float)
-            res[c] = v.astype(object).where(v.notna(), None)
+        for run, kind, at, t, y, u in zip(*(pdf[c] for c in ("run_id", "kind", "at", "t", "y", "u"))):
+            if kind == 1:
+                row = self.describe(s, at)
+                row["chosen"] = self.wanted(policy, u, row["age_h"])
+                s["open"][run] = (at, row["pred"], row["chosen"])
+                s["newest"] = max(s["newest"], at)
+                out.append({"run_id": run, "kind": "run", "at": at, **row})
+            elif at < s["newest"] - self.lateness:
+                out.append({"run_id": run, "kind": "late", "at": at, "n": s["n"]})
+            elif s["open"].get(run, (0, None, True))[2]:
+                s["open"][run] = s["open"].get(run, (at, None, True))[:2]
+                self.learn(s, run, t, y)
+        s["open"] = {r: v for r, v in s["open"].items() if v[0] >= s["newest"] - self.horizon}
+        old = min(bisect_right(s["labels"], (s["newest"] - DAY, float("-inf"))), len(s["labels"]) - 10)
+        del s["labels"][:max(0, old)]
+        cols = ["run_id", "kind", "at", "pred", "width", "n", "mean", "last1", "mean3", "mean10", "n24", "age_h", "chosen"]
+        res = pd.DataFrame(out, columns=cols).astype(object)
+        res = res.where(res.notna(), None)
         res.insert(0, "regime", key[1])
         res.insert(0, "scenario", key[0])
         return res
 
 
-def since_event(stream: DataFrame) -> DataFrame:
+def since_event(stream: DataFrame, lateness: float = DAY) -> DataFrame:
     """Stream of (tool, id, t, flag) to (tool, id, since)."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return stream.groupBy("tool").transformWithStateInPandas(SinceEvent(), SinceEvent.schema, "Append", "None")
+    return stream.groupBy("tool").transformWithStateInPandas(SinceEvent(lateness), SinceEvent.schema, "Append", "None")
 
 
-def online_regimes(stream: DataFrame, **options) -> DataFrame:
-    """Stream of label and run rows keyed by (scenario, regime) to predictions; see :class:`OnlineRegime`."""
+def arrived_labels(stream: DataFrame, **options) -> DataFrame:
+    """Stream of label and run rows keyed by (scenario, regime) to what is known at each run; see :class:`ArrivedLabels`."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return stream.groupBy("scenario", "regime").transformWithStateInPandas(OnlineRegime(**options), OnlineRegime.schema, "Append", "None")
+    return stream.groupBy("scenario", "regime").transformWithStateInPandas(ArrivedLabels(**options), ArrivedLabels.schema, "Append", "None")
