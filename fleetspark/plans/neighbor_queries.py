@@ -225,7 +225,7 @@ def _(spark, sf):
     FROM runs a JOIN runs b ON a.regime = b.regime AND b.is_ref AND a.run_id <> b.run_id AND abs(a.t_start - b.t_start) < 21600),
   s AS (SELECT run_id, sum(w) s0, sum(w*d) s1, sum(w*d*d) s2, sum(w*y) t0, sum(w*d*y) t1, min(y) lo, max(y) hi FROM pr GROUP BY 1),
   res AS (SELECT run_id, CASE WHEN s0 >= 3e-3 AND s0*s2-s1*s1 > 1e-9 THEN least(greatest((s2*t0-s1*t1)/(s0*s2-s1*s1), lo), hi) END AS L_est,
-    CASE WHEN s0 >= 3e-3 AND s0*s2-s1*s1 > 1e-9 THEN (s0*t1-s1*t0)/(s0*s2-s1*s1) END AS L_slope FROM runs LEFT JOIN s USING (run_id))""", "run_id", "L_est L_slope"))
+    CASE WHEN s0 >= 3e-3 AND s0*s2-s1*s1 > 1e-9 THEN (s0*t1-s1*t0)/(s0*s2-s1*s1) END AS L_slope FROM runs LEFT JOIN s USING (run_id))""", "run_id", "L_est L_slope:2"))
 def _(spark, sf):
     df = runs(spark, sf)
     return N.local_line(df, df.filter("is_ref"), ["regime"], "t_start", "run_id", "y", 6.0, F.col("is_ref"), "L_").select("run_id", "L_est", "L_slope")

@@ -113,7 +113,7 @@ def _(spark, sf):
 @query("naive_answer_score", sql("telemetry faults", f"""+{TTF_SQL}, {LABELS_SQL}, {NAIVE_SQL},
   res AS (SELECT tool, count(*) AS n, """ + ", ".join(
     f"avg(({' + '.join(fn(f'ttf_{k}', f'ans_{k}') for k in FAULTS)}) / 3) AS {n}"
-    for n, fn in (("s1", pen1), ("s2", pen2), ("final", penf))) + " FROM ans GROUP BY tool)", "tool", "s1 s2 final", "n"))
+    for n, fn in (("s1", pen1), ("s2", pen2), ("final", penf))) + " FROM ans GROUP BY tool)", "tool", "s1 s2:0 final:0", "n"))
 def _(spark, sf):
     df = naive(labelled(spark, sf))
     mean = lambda fn: F.avg(sum((fn(f"ttf_{k}", f"ans_{k}") for k in FAULTS), F.lit(0.0)) / 3)
@@ -136,7 +136,7 @@ def _(spark, sf):
     for tag, a in (("model", "ans_{}"), ("null", "CAST(NULL AS DOUBLE)"))) + """ FROM ans GROUP BY tool),
   res AS (SELECT 'S1' AS penalty, sum(S1_model) AS model, sum(S1_null) AS all_null FROM per
    UNION ALL SELECT 'S2', sum(S2_model), sum(S2_null) FROM per UNION ALL SELECT 'final', sum(final_model), sum(final_null) FROM per)""",
-                                  "penalty", "model all_null"))
+                                  "penalty", "model:0 all_null:0"))
 def _(spark, sf):
     df = naive(labelled(spark, sf)).withColumn("n_samples", F.col("n_samples").cast("double"))
     return model_vs_null(df, ["tool"], [(f"ttf_{k}", f"ans_{k}") for k in FAULTS], "n_samples")
@@ -144,7 +144,7 @@ def _(spark, sf):
 
 @query("penalties", sql("telemetry faults", f"""+{TTF_SQL}, res AS (SELECT tool, id, {pen1('ttf_0', 'ttf_1')} AS p1,
   {pen2('ttf_0', 'ttf_1')} AS p2, {penf('ttf_0', 'ttf_1')} AS pf, {cls_sql('ttf_0')} AS cls FROM ttf)""",
-                        "tool id", "p1 p2 pf", "cls"))
+                        "tool id", "p1 p2:0 pf:0", "cls"))
 def _(spark, sf):
     return ttf(spark, sf).select("tool", "id", penalty_first("ttf_0", "ttf_1").alias("p1"),
                                  penalty_second("ttf_0", "ttf_1").alias("p2"), penalty_final("ttf_0", "ttf_1").alias("pf"),
@@ -413,7 +413,7 @@ COST_SQL = f"""{ACTIONS_SQL}, cost AS (SELECT cls, a, any_value(action) AS actio
   FROM (SELECT *, {cls_sql('ttf_0')} AS cls FROM smp), acts GROUP BY cls, a)"""
 
 
-@query("cost_matrix", sql("telemetry faults", f"+{SAMPLE_SQL}, {COST_SQL}, res AS (SELECT * FROM cost)", "", "action cost", "cls a"))
+@query("cost_matrix", sql("telemetry faults", f"+{SAMPLE_SQL}, {COST_SQL}, res AS (SELECT * FROM cost)", "", "action cost:0", "cls a"))
 def _(spark, sf):
     return cost_matrix(sample(spark, sf), "ttf_0", "weight", action_table(spark, 7200, 600))
 
