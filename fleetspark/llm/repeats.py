@@ -13,6 +13,8 @@ from ..scratch import cut, new_path
 
 #: Bytes of an anchor, text bytes of a batch, positions that are scanned at a time, shares of the keys for each shuffle partition.
 GRAM, BATCH_BYTES, CHUNK, SHARES = 20, 1 << 20, 1 << 20, 8
+#: Symbols of differing texts that are suffix-sorted together; one anchor's texts stay together.
+SYMBOLS = 500_000
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _A = 0x9E3779B97F4A7C15
@@ -174,6 +176,39 @@ def _blob(x, kind) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - first, count)
+
+
+def _meeting(key: np.ndarray, size: np.ndarray, most: int = SYMBOLS) -> Iterator[np.ndarray]:
+    """Indices of strings whose (sorted) key others share too, in portions of about ``most`` symbols that split no key."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[first, len(key)])
+    several = np.flatnonzero(count > 1)
+    if not len(several):
+        return
+    portion = np.cumsum(np.add.reduceat(size, first)[several]) // most
+    for group in np.split(several, np.flatnonzero(np.diff(portion)) + 1):
+        yield _ranges(first[group], count[group])
+
+
+def _partly_repeated(data: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int):
+    """(string, offset, size) of the stretches of different strings that one with a smaller owner holds too."""
+    n = size + 1
+    begin = np.cumsum(n) - n
+    string = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    inside = np.arange(int(n.sum())) - begin[string]
+    left = size[string] - inside
+    symbols = np.where(left > 0, data[np.minimum(at[string] + inside, len(data) - 1)].astype(np.int16) + 1, 0).astype(np.int16)
+    hit = repeated_windows(symbols, owner[string], left, length)
+    if not len(hit):
+        return hit, hit, hit
+    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (string[hit[1:]] != string[hit[:-1]])]
+    a, z = hit[new], hit[np.r_[new[1:], True]]
+    return string[a], inside[a], z - a + length
+
+
 def _packed(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """The documents in batches by a hash of their rows, stored so that a join by batch moves no text."""
     total = docs.agg(F.sum(F.octet_length(docs[text_col]) + 1)).first()[0] or 0
@@ -303,10 +338,10 @@ def _covered(table: DataFrame, keys: DataFrame, length: int, gram: int, parts: i
             head = np.r_[True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])]
             group = np.cumsum(head) - 1
             later = owner > owner[head][group]  # an earlier document of the batch has the same string
-            q, b, cols = [], [], [[], [], [], [], [], []]
+            q, b, cols = [], [], [[] for _ in range(7)]
             if later.any():
                 q.append(x.b % shares), b.append(x.b)
-                for c, v in zip(cols, (b"", b"", b"", b"", _blob(first[later], "<i8"), _blob(size[later], "<i4"))):
+                for c, v in zip(cols, (b"", b"", b"", b"", _blob(first[later], "<i8"), _blob(size[later], "<i4"), b"")):
                     c.append(v)
             heads, uses = np.flatnonzero(head), np.bincount(group[~later], minlength=int(head.sum()))
             starts, share = first[~later], (key[heads] >> _U(40)).astype(np.int64)
@@ -317,58 +352,41 @@ def _covered(table: DataFrame, keys: DataFrame, length: int, gram: int, parts: i
                 text = b"".join([x.text[i:i + n] for i, n in zip(first[mine].tolist(), size[mine].tolist())])
                 q.append(int(share[s])), b.append(x.b)
                 for c, v in zip(cols, (_blob(key[mine], "<u8"), _blob(owner[mine], "<i8"), text, _blob(uses[s:e], "<i4"),
-                                       _blob(starts[use_at[s]:use_at[e]], "<i8"), _blob(size[mine], "<i4"))):
+                                       _blob(starts[use_at[s]:use_at[e]], "<i8"), _blob(size[mine], "<i4"), _blob(digest[mine], "<u8"))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(b, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]],
-                                             names=["q", "b", "key", "owner", "text", "uses", "start", "size"])
+                                             names=["q", "b", "key", "owner", "text", "uses", "start", "size", "digest"])
 
     def meet(batches):
-        key, owner, text, uses, start, size, home = [], [], [], [], [], [], []
+        key, owner, text, uses, start, size, digest, home = ([] for _ in range(8))
         for batch, row in _each(batches):
-            b, k, o, t, u, s, z = (batch.column(n)[row].as_py() for n in ("b", "key", "owner", "text", "uses", "start", "size"))
+            b, k, o, t, u, s, z, d = (batch.column(n)[row].as_py() for n in ("b", "key", "owner", "text", "uses", "start", "size", "digest"))
             if not k:  # settled in the batch
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([s], pa.binary()), pa.array([z], pa.binary())], names=["b", "start", "size"])
                 continue
-            key.append(k), owner.append(o), text.append(t), uses.append(u), start.append(s), size.append(z)
+            key.append(k), owner.append(o), text.append(t), uses.append(u), start.append(s), size.append(z), digest.append(d)
             home.append(np.full(len(k) // 8, b))
         if not key:
             return
         key, owner, uses, start, size = _concat(key, "<u8"), _concat(owner, "<i8"), _concat(uses, "<i4").astype(np.int64), _concat(start, "<i8"), _concat(size, "<i4").astype(np.int64)
-        home, data = np.concatenate(home), np.frombuffer(b"".join(text), np.uint8)
+        digest, home, data = _concat(digest, "<u8"), np.concatenate(home), np.frombuffer(b"".join(text), np.uint8)
         at, use_at = np.cumsum(size) - size, np.cumsum(uses) - uses
-        by = np.lexsort((owner, digest := string_hashes(data, at, size), key))
+        by = np.lexsort((owner, digest, key))
         head = np.r_[True, (key[by][1:] != key[by][:-1]) | (digest[by][1:] != digest[by][:-1])]
         group, heads = np.cumsum(head) - 1, by[head]
         later = owner[by] > owner[heads][group]
         # runs: which string, where in it, how long
         runs = [(by[later], np.zeros(int(later.sum()), np.int64), size[by[later]])]
-        different = np.r_[True, key[heads][1:] != key[heads][:-1]]
-        per_key = np.diff(np.r_[np.flatnonzero(different), len(heads)])
-        open_ = heads[np.repeat(per_key > 1, per_key)]
-        if len(open_):
-            n = size[open_] + 1
-            begin = np.cumsum(n) - n
-            inside = np.arange(int(n.sum())) - np.repeat(begin, n)
-            from_ = np.minimum(inside + np.repeat(at[open_], n), len(data) - 1)
-            left = np.repeat(size[open_], n) - inside
-            symbols = np.where(left > 0, data[from_].astype(np.int16) + 1, 0).astype(np.int16)
-            string = np.repeat(np.arange(len(open_)), n)
-            hit = repeated_windows(symbols, owner[open_][string], left, length)
-            if len(hit):
-                new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (string[hit[1:]] != string[hit[:-1]])]
-                a, z = hit[new], hit[np.r_[new[1:], True]]
-                which = open_[string[a]]
-                # the same string elsewhere in the same document, or in one with the same id, loses the same bytes
-                members = np.bincount(group[~later], minlength=len(heads))
-                equal, first = by[~later], np.cumsum(members) - members
-                g = np.empty(len(key), np.int64)
-                g[heads] = np.arange(len(heads))
-                times = members[g[which]]
-                pick = np.repeat(first[g[which]], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                runs.append((equal[pick], np.repeat(inside[a], times), np.repeat(z - a + length, times)))
+        # the same string elsewhere in the same document, or in one with the same id, loses the same bytes
+        members = np.bincount(group[~later], minlength=len(heads))
+        equal, member_at = by[~later], np.cumsum(members) - members
+        for part in _meeting(key[heads], size[heads] + 1):
+            which, offset, run = _partly_repeated(data, at[heads[part]], size[heads[part]], owner[heads[part]], length)
+            times = members[part[which]]
+            runs.append((equal[_ranges(member_at[part[which]], times)], np.repeat(offset, times), np.repeat(run, times)))
         which, offset, run = map(np.concatenate, zip(*runs))
         times = uses[which]
-        pick = np.repeat(use_at[which], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        pick = _ranges(use_at[which], times)
         b, begin, run = np.repeat(home[which], times), start[pick] + np.repeat(offset, times), np.repeat(run, times)
         by = np.argsort(b, kind="stable")
         b, begin, run = b[by], begin[by].astype("<i8"), run[by].astype("<i4")
@@ -380,7 +398,7 @@ def _covered(table: DataFrame, keys: DataFrame, length: int, gram: int, parts: i
                                               pa.array([run[s:e].tobytes() for s, e in span], pa.binary())], names=["b", "start", "size"])
 
     lists = keys.groupBy("b").agg(F.collect_list("keys").alias("keys"))
-    sent = table.join(lists.hint("shuffle_hash"), "b").mapInArrow(emit, "q int, b long, key binary, owner binary, text binary, uses binary, start binary, size binary")
+    sent = table.join(lists.hint("shuffle_hash"), "b").mapInArrow(emit, "q int, b long, key binary, owner binary, text binary, uses binary, start binary, size binary, digest binary")
     return sent.repartition(parts, "q").mapInArrow(meet, "b long, start binary, size binary")
 
 
