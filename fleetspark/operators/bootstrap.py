@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
-from .ordered import join_keys
 from .quantiles import quantiles
 from .sampling import ranked
 
@@ -18,17 +19,20 @@ def block_sums(df: DataFrame, block: str, e_new: str, e_old: str) -> DataFrame:
     return r.withColumn("k", F.col("_r") - 1).drop("_r")
 
 
+#: P(X <= k) of a Poisson variable with mean 1, k = 0, 1, ...; further terms are below the draws' 32 bits.
+POISSON = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(13)]
+
+
 def resample(blocks: DataFrame, replicates: int, seed: str = "boot") -> DataFrame:
-    """One row per replicate: resampled mean errors. Each replicate draws as many blocks as there are, with replacement.
+    """One row per replicate: resampled mean errors.
 
-    Draws are generated as (replicate, slot) rows, counted per block before the join, and summed per replicate.
+    Each replicate uses each block a Poisson(1) number of times, drawn by a hash of both, so blocks are drawn where they lie. The
+    rows of the replicates are summed before the shuffle, which moves one row per replicate and task.
     """
-    total = blocks.agg(F.count(F.lit(1)).alias("_m"))
-    slots = blocks.select(F.col("k").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    slots = join_keys(slots, total, [])
-    pick = slots.select("rep", F.floor(draw(seed, "rep", "slot") * F.col("_m")).alias("k"))
-    counts = pick.groupBy("rep", "k").agg(F.count(F.lit(1)).alias("c"))
-    x = join_keys(counts, blocks.select("k", "s_new", "s_old", "cnt"), ["k"], "inner")
+    reps = blocks.select("k", "s_new", "s_old", "cnt", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    u = draw(seed, "rep", "k")
+    times = sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+    x = reps.withColumn("c", times)
     n = F.sum(F.col("c") * F.col("cnt"))
     return x.groupBy("rep").agg((F.sum(F.col("c") * F.col("s_new")) / n).alias("m_new"), (F.sum(F.col("c") * F.col("s_old")) / n).alias("m_old")) \
         .withColumn("delta", F.col("m_new") - F.col("m_old"))

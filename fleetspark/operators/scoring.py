@@ -40,21 +40,22 @@ def model_vs_null(df: DataFrame, keys: list[str], pairs: list[tuple[str, str]],
         for n in PENALTIES])).alias("r")).select("r.*")
 
 
-def action_table(spark, last: int = ACTION_LAST, step: int = ACTION_STEP) -> DataFrame:
-    """Answer candidates: position 0 is null, the rest a grid of seconds. A fixed few hundred rows."""
-    return spark.range(0, last // step + 2).select(
-        F.col("id").alias("a"), F.when(F.col("id") > 0, (F.col("id") - 1) * float(step)).alias("action"))
+def action_grid(last: int = ACTION_LAST, step: int = ACTION_STEP) -> list[float | None]:
+    """Answer candidates: null first, then a grid of seconds."""
+    return [None, *[float(t) for t in range(0, last + 1, step)]]
 
 
-def cost_matrix(df: DataFrame, ttf: str, weight: str, actions: DataFrame) -> DataFrame:
-    """Exact weighted mean penalty of every (true class, action).
+def cost_matrix(df: DataFrame, ttf: str, weight: str, actions: list[float | None]) -> DataFrame:
+    """Exact weighted mean penalty of every (true class, action): (``cls``, ``a``, ``action``, ``cost``).
 
-    Labels are first summed by value, so the grid multiplies distinct labels, not rows.
+    Labels are first summed by value. One aggregate then keeps a weighted sum per action of the fixed grid for each class, so no
+    row is multiplied and the shuffle moves one row per class and task.
     """
     per_label = df.groupBy(ttf_class(ttf).alias("cls"), F.col(ttf).alias("_gt")).agg(F.sum(weight).alias("_w"))
-    grid = per_label.crossJoin(F.broadcast(actions))  # actions: fixed grid, see action_table
-    return grid.groupBy("cls", "a", "action").agg(
-        F.try_divide(F.sum(F.col("_w") * penalty_final("_gt", "action")), F.sum("_w")).alias("cost"))
+    grid = [F.lit(a).cast("double") for a in actions]
+    sums = per_label.groupBy("cls").agg(F.sum("_w").alias("_total"), *[F.sum(F.col("_w") * penalty_final("_gt", a)).alias(f"_s{i}") for i, a in enumerate(grid)])
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("a"), a.alias("action"), F.col(f"_s{i}").alias("s")) for i, a in enumerate(grid)])
+    return sums.select("cls", "_total", F.explode(rows).alias("r")).select("cls", "r.a", "r.action", F.try_divide(F.col("r.s"), F.col("_total")).alias("cost"))
 
 
 def cost_arrays(costs: DataFrame, classes: int) -> DataFrame:

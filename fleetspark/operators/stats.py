@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,15 +143,17 @@ def profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: list[str], prof: DataFrame) -> DataFrame:
-    """Long table (i, j, corr) over pairs i < j with nulls replaced by the column mean, from one pass of product sums."""
-    stats = {r["column"]: (r["mean"], r["sd"]) for r in prof.collect()}  # one row per column
-    z = {c: (F.coalesce(F.col(c).cast("double"), F.lit(stats[c][0])) - F.lit(stats[c][0])) for c in cols}
-    named = df.select(*[z[c].alias(f"z{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    aggs = [F.corr(f"z{i}", f"z{j}").alias(f"c_{i}_{j}") for i, j in pairs]
-    row = named.agg(*aggs)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"c_{i}_{j}").alias("corr"))
-                                          for i, j in pairs])).alias("r")).select("r.*")
+    """Long table (a, b, corr) over pairs in column order with nulls replaced by the column mean.
+
+    The values are one vector column, centred first, so that one pass of sums of products gives the whole matrix; the driver sees
+    columns x columns numbers.
+    """
+    means = {r["column"]: r["mean"] for r in prof.collect()}  # one row per column
+    centred = df.select(*[(F.coalesce(F.col(c).cast("double"), F.lit(means[c])) - F.lit(means[c])).alias(f"z{i}") for i, c in enumerate(cols)])
+    vectors = VectorAssembler(inputCols=[f"z{i}" for i in range(len(cols))], outputCol="v").transform(centred).select("v")
+    matrix = Correlation.corr(vectors, "v").head()[0].toArray()
+    pairs = [(cols[i], cols[j], None if np.isnan(matrix[i, j]) else float(matrix[i, j])) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, corr double")
 
 
 def prune_columns(df: DataFrame, cols: list[str], base: list[str] = (), min_share: float = 0.05, max_corr: float = 0.98) -> list[str]:

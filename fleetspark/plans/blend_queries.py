@@ -230,10 +230,10 @@ def _(spark, sf):
 
 
 # -- bootstrap ----------------------------------------------------------------------------------------
-BOOT_SQL = f"""{M}, e AS (SELECT wafer % 200 AS blk, pow(pa - y, 2) AS en, pow(pb - y, 2) AS eo FROM mem),
+BOOT_SQL = f"""{M}, e AS (SELECT wafer AS blk, pow(pa - y, 2) AS en, pow(pb - y, 2) AS eo FROM mem),
   bl AS (SELECT row_number() OVER (ORDER BY blk) - 1 AS k, sum(en) AS sn, sum(eo) AS so, count(*) AS c FROM e GROUP BY blk),
-  dr AS (SELECT rep, floor(CAST('0x' || substr(md5(concat_ws('_', rep, k, 'boot')), 1, 8) AS BIGINT) / 4294967296.0 * (SELECT count(*) FROM bl)) AS k FROM bl, range(0, 200) r(rep)),
-  rp AS (SELECT rep, sum(sn)/sum(c) AS m_new, sum(so)/sum(c) AS m_old FROM dr JOIN bl USING (k) GROUP BY rep)"""
+  dr AS (SELECT bl.*, rep, len(list_filter({BS.POISSON}, lambda p: CAST('0x' || substr(md5(concat_ws('_', rep, k, 'boot')), 1, 8) AS BIGINT) / 4294967296.0 >= p)) AS w FROM bl, range(0, 200) r(rep)),
+  rp AS (SELECT rep, sum(w*sn)/sum(w*c) AS m_new, sum(w*so)/sum(w*c) AS m_old FROM dr GROUP BY rep)"""
 
 
 @query("bootstrap_replicates", sql("runs", f"+{BOOT_SQL}, res AS (SELECT rep, m_new, m_old, m_new - m_old AS delta FROM rp)", "rep", "m_new m_old delta"))
@@ -243,7 +243,7 @@ def _(spark, sf):
 
 def errors(spark, sf):
     sq = lambda p: (F.col(p) - F.col("y")) * (F.col(p) - F.col("y"))
-    return mem(spark, sf).select((F.col("wafer") % 200).alias("blk"), sq("pa").alias("en"), sq("pb").alias("eo"))
+    return mem(spark, sf).select(F.col("wafer").alias("blk"), sq("pa").alias("en"), sq("pb").alias("eo"))
 
 
 @query("paired_bootstrap", sql("runs", f"""+{BOOT_SQL}, res AS (SELECT (SELECT sum(c) FROM bl) AS n, (SELECT count(*) FROM bl) AS n_blocks, (SELECT sum(sn)/sum(c) FROM bl) AS mse,
@@ -330,7 +330,7 @@ def _(spark, sf):
 
 
 # -- column profiles --------------------------------------------------------------------------------------
-DIMS = 8
+DIMS = 64
 
 
 def vectors(spark, sf):
@@ -356,11 +356,18 @@ def _(spark, sf):
     return ST.correlations(df, VCOLS, ST.profile(df, VCOLS))
 
 
-@query("pruned_columns")
+PRUNE_SQL = (f"+{VEC_SQL}, f AS (SELECT {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in VCOLS)} FROM vx), hi AS ("
+             + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS i, {j} AS j, corr({a}, {b}) AS r FROM f" for i, a in enumerate(VCOLS) for j, b in list(enumerate(VCOLS))[i + 1:])
+             + "), pr AS (" + " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, count({c})/count(*) AS share, stddev_pop({c}) AS sd FROM vx" for i, c in enumerate(VCOLS))
+             + """), res AS (SELECT c AS "column", share FROM pr WHERE share >= 0.05 AND sd > 1e-9 AND c NOT IN (SELECT b FROM hi WHERE abs(r) > 0.98))""")
+
+
+@query("pruned_columns", sql("", PRUNE_SQL, '"column"', "share"))
 def _(spark, sf):
+    """No kept column of these vectors is a copy of a dropped one, so the twin needs no order."""
     df = vectors(spark, sf)
     kept = ST.prune_columns(df, VCOLS)
-    return df.agg(*[F.count(c).alias(c) for c in kept])
+    return ST.profile(df, kept).select("column", "share")
 
 
 @query("missing_patterns", sql("", f"+{VEC_SQL}, k AS (" + " UNION ALL ".join(

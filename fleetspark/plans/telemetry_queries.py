@@ -14,7 +14,7 @@ from ..operators.ordered import key_rows
 from ..operators.quantiles import weighted_quantile
 from ..operators.rolling import rolling_event_count, rolling_stats
 from ..operators.sampling import fault_matrix, fault_rates, thin, time_split, weighted_draw
-from ..operators.scoring import (action_table, cost_arrays, cost_matrix, decide, model_vs_null, tool_scores)
+from ..operators.scoring import (action_grid, cost_arrays, cost_matrix, decide, model_vs_null, tool_scores)
 from ..operators.windows import training_table, window_labels, window_stats
 from .registry import query
 from .views import FAULTS, faults, scores, sql, telemetry
@@ -408,14 +408,14 @@ def _(spark, sf):
 
 
 # -- costs and decisions ------------------------------------------------------------------------
-ACTIONS_SQL = "acts AS (SELECT a, CASE WHEN a > 0 THEN (a - 1) * 600.0 END AS action FROM range(0, 14) r(a))"
+ACTIONS_SQL = "acts AS (SELECT a, CASE WHEN a > 0 THEN (a - 1) * 20.0 END AS action FROM range(0, 362) r(a))"
 COST_SQL = f"""{ACTIONS_SQL}, cost AS (SELECT cls, a, any_value(action) AS action, sum(weight * {penf('ttf_0', 'action')}) / sum(weight) AS cost
   FROM (SELECT *, {cls_sql('ttf_0')} AS cls FROM smp), acts GROUP BY cls, a)"""
 
 
 @query("cost_matrix", sql("telemetry faults", f"+{SAMPLE_SQL}, {COST_SQL}, res AS (SELECT * FROM cost)", "", "action cost:0", "cls a"))
 def _(spark, sf):
-    return cost_matrix(sample(spark, sf), "ttf_0", "weight", action_table(spark, 7200, 600))
+    return cost_matrix(sample(spark, sf), "ttf_0", "weight", action_grid())
 
 
 def proba_col():
@@ -434,7 +434,7 @@ PROBA_SQL = """pr AS (SELECT *, list_transform(raw, lambda v: v / list_sum(raw))
   res AS (SELECT id, any_value(action) FILTER (rk = 1) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(e, 9), a) AS rk FROM ex)
   GROUP BY id)""", "id", "answer"))
 def _(spark, sf):
-    costs = cost_matrix(sample(spark, sf), "ttf_0", "weight", action_table(spark, 7200, 600))
+    costs = cost_matrix(sample(spark, sf), "ttf_0", "weight", action_grid())
     rows = telemetry(spark, sf).select("id", proba_col().alias("proba"))
     return decide(rows, "proba", cost_arrays(costs, 13)).select("id", "answer")
 

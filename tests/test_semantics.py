@@ -13,7 +13,7 @@ from fleetspark.operators.events import operating_state
 from fleetspark.operators.filters import Gate
 from fleetspark.operators.ordered import WHOLE
 from fleetspark.operators.rolling import rolling_stats
-from fleetspark.operators.scoring import action_table, cost_arrays, cost_matrix, decide
+from fleetspark.operators.scoring import action_grid, cost_arrays, cost_matrix, decide
 from fleetspark.operators.stats import _beta_tail
 from fleetspark.operators.windows import window_labels, window_stats
 
@@ -45,7 +45,7 @@ def test_window_stats_and_trend(spark):
 
 def test_decisions(spark):
     train = table(spark, [(1195.0 + i % 11, 1.0) for i in range(200)] + [(None, 1.0)] * 50, "ttf double, w double")
-    arrays = cost_arrays(cost_matrix(train, "ttf", "w", action_table(spark)), 13)
+    arrays = cost_arrays(cost_matrix(train, "ttf", "w", action_grid()), 13)
     sure = [0.0] * 13
     sure[6] = 1.0
     far = [0.0] * 12 + [1.0]
