@@ -14,6 +14,8 @@ from .asof import asof, mean_of, nearest_k, recent_lists
 from .ordered import WHOLE, Ordered, join_keys
 
 HOUR = 3600.0
+#: Order of the series in cell moments: with cells of half a width it is exact to rounding.
+MOMENTS = 18
 MIN_WEIGHT = 1e-3  # smaller total weights give null
 CELL_HALVES = 20  # half-lives per cell of the decayed prefix sums
 CELLS_BACK = 3  # earlier cells that still matter: 60 half-lives, below double precision
@@ -160,35 +162,64 @@ def kernel_sums(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, y
                 own: Column | None = None) -> DataFrame:
     """``k_{name}`` and ``n_{name}``: kernel mean and total weight of candidates around each query, self removed.
 
-    Candidates are first summed per distinct time and queries reduced to distinct times, then matched on time buckets
-    as wide as the kernel's reach. Work is bounded by the time resolution, not by how many rows share a time.
+    Candidates are first summed per distinct time and queries reduced to distinct times. For the Gaussian kernel the candidates of a
+    cell of half a width become moments about its centre; a query then meets some 36 cells, however many candidates they
+    hold, and the series of exp(r e) in the moments is exact to rounding. The tricube kernel is matched on time buckets.
     kernels: name -> ("gauss", width in hours) or ("tricube", half-width in hours). ``own`` marks queries that are candidates.
     """
     points = cands.groupBy(*keys, t).agg(F.sum(y).alias("_y"), F.count(F.lit(1)).alias("_k"))
     places = queries.select(*keys, t).dropDuplicates()
-    out = queries
+    at_own = points.select(*keys, t, F.col("_k").alias("_hk"), F.col("_y").alias("_hy"))
+    out = join_keys(queries, at_own, [*keys, t])
+    mine = F.lit(0) if own is None else F.when(own, 1).otherwise(0)
+    rest = F.coalesce("_hk", F.lit(0)) - mine
+    own_y = F.when(rest > 0, F.coalesce("_hy", F.lit(0.0)) - mine * F.coalesce(F.col(y), F.lit(0.0))).otherwise(0.0)
+    out = out.withColumns({"_rest": rest, "_own_y": own_y}).drop("_hk", "_hy")
     for name, (kind, h) in kernels.items():
-        reach = (GAUSS_REACH if kind == "gauss" else 1.0) * h * HOUR
-        b = lambda c: F.floor(F.col(c) / reach)
-        P = points.select(*keys, F.col(t).alias("_tc"), "_y", "_k", b(t).alias("_b"))
-        Q = places.withColumn("_b", F.explode(F.array(b(t) - 1, b(t), b(t) + 1)))
-        d = (F.col(t) - F.col("_tc")) / (h * HOUR)
-        u = F.least(F.abs(d), F.lit(1.0))
-        w = F.exp(-0.5 * d * d) if kind == "gauss" else F.pow(1 - u * u * u, F.lit(3.0))
-        near = Q.join(P, [*keys, "_b"]).filter(F.abs(F.col(t) - F.col("_tc")) <= reach)
-        # Candidates at the query's own time are kept apart, so taking out its own label loses no precision.
-        here = F.col("_tc") == F.col(t)
-        s = near.groupBy(*keys, t).agg(
-            F.sum(F.when(here, 0.0).otherwise(w * F.col("_k"))).alias("_sw"), F.sum(F.when(here, 0.0).otherwise(w * F.col("_y"))).alias("_sy"),
-            F.max(F.when(here, F.col("_k"))).alias("_hk"), F.max(F.when(here, F.col("_y"))).alias("_hy"))
+        s = (_gauss_sums if kind == "gauss" else _tricube_sums)(places, points, keys, t, h * HOUR)
         out = join_keys(out, s, [*keys, t])
-        mine = F.lit(0) if own is None else F.when(own, 1).otherwise(0)
-        rest = F.coalesce("_hk", F.lit(0)) - mine
-        own_y = F.when(rest > 0, F.coalesce("_hy", F.lit(0.0)) - mine * F.coalesce(F.col(y), F.lit(0.0))).otherwise(0.0)
-        sw = F.coalesce("_sw", F.lit(0.0)) + rest
-        sy = F.coalesce("_sy", F.lit(0.0)) + own_y
-        out = out.withColumns({f"n_{name}": sw, f"k_{name}": F.when(sw >= MIN_WEIGHT, sy / sw)}).drop("_sw", "_sy", "_hk", "_hy")
-    return out
+        # Candidates at the query's own time weigh 1 each: the sums leave them out, all but its own label come back.
+        sw = F.coalesce("_sw", F.lit(0.0)) + F.col("_rest")
+        sy = F.coalesce("_sy", F.lit(0.0)) + F.col("_own_y")
+        out = out.withColumns({f"n_{name}": sw, f"k_{name}": F.when(sw >= MIN_WEIGHT, sy / sw)}).drop("_sw", "_sy")
+    return out.drop("_rest", "_own_y")
+
+
+def _tricube_sums(places: DataFrame, points: DataFrame, keys: list[str], t: str, half: float) -> DataFrame:
+    """Weights and weighted labels of the candidates around each place, those at its own time left out."""
+    b = lambda c: F.floor(F.col(c) / half)
+    P = points.select(*keys, F.col(t).alias("_tc"), "_y", "_k", b(t).alias("_b"))
+    Q = places.withColumn("_b", F.explode(F.array(b(t) - 1, b(t), b(t) + 1)))
+    near = Q.join(P, [*keys, "_b"]).filter((F.abs(F.col(t) - F.col("_tc")) <= half) & (F.col("_tc") != F.col(t)))
+    u = F.abs(F.col(t) - F.col("_tc")) / half
+    w = F.pow(1 - u * u * u, F.lit(3.0))
+    return near.groupBy(*keys, t).agg(F.sum(w * F.col("_k")).alias("_sw"), F.sum(w * F.col("_y")).alias("_sy"))
+
+
+def _gauss_sums(places: DataFrame, points: DataFrame, keys: list[str], t: str, width: float) -> DataFrame:
+    """The same for exp(-d^2 / 2), d in widths, from moments of cells of half a width."""
+    cell = width / 2
+    e = (F.col(t) - (F.col("_b") + 0.5) * cell) / width
+    near = points.withColumn("_b", F.floor(F.col(t) / cell)).withColumns({"_e": e, "_g": F.exp(-0.5 * e * e)})
+    power = [F.lit(1.0)]
+    for _ in range(MOMENTS):
+        power.append(power[-1] * F.col("_e"))
+    # one array of products a row would be interpreted; sums of expressions stay compiled
+    cells = near.groupBy(*keys, "_b").agg(*[F.sum(F.col(c) * F.col("_g") * p).alias(f"_{c}{j}") for c in ("_k", "_y") for j, p in enumerate(power)])
+    reach = GAUSS_REACH * width
+    Q = places.withColumn("_b", F.explode(F.sequence(F.floor((F.col(t) - reach) / cell), F.floor((F.col(t) + reach) / cell))))
+    r = (F.col(t) - (F.col("_b") + 0.5) * cell) / width
+    met = Q.join(cells, [*keys, "_b"]).withColumn("_r", r)
+
+    def series(c: str) -> Column:
+        total = F.col(f"_{c}{MOMENTS}")
+        for j in range(MOMENTS - 1, -1, -1):
+            total = F.col(f"_{c}{j}") + total * F.col("_r") / float(j + 1)
+        return F.exp(-0.5 * F.col("_r") * F.col("_r")) * total
+    s = met.groupBy(*keys, t).agg(F.sum(series("_k")).alias("_sw"), F.sum(series("_y")).alias("_sy"))
+    here = points.select(*keys, t, F.col("_k").alias("_hk"), F.col("_y").alias("_hy"))
+    s = join_keys(s, here, [*keys, t])
+    return s.select(*keys, t, (F.col("_sw") - F.coalesce("_hk", F.lit(0))).alias("_sw"), (F.col("_sy") - F.coalesce("_hy", F.lit(0.0))).alias("_sy"))
 
 
 def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, tie: str, y: str, half: float, own: Column,
