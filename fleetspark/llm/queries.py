@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import new_path
-from . import language, minhash, mixing, packing, repeats, resample, rules, secrets, shards, spotsigs
+from . import language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spotsigs
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -35,7 +35,7 @@ _DRAW = "('0x' || substr(md5(concat_ws('|', '{seed}', {cols})), 1, 13))::BIGINT:
 _KEY = "CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END"
 
 
-@query("op3_interleaved_shards")
+@query("op3_interleaved_shards", oracles.shards(_DRAW.format(seed="shards", cols="doc_id::VARCHAR")))
 def interleaved_shards(spark, sf):
     d = documents(spark, sf)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -43,12 +43,12 @@ def interleaved_shards(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "position")
 
 
-@query("op5_minhash_components")
+@query("op5_minhash_components", oracles.MINHASH)
 def minhash_components(spark, sf):
     return minhash.near_duplicates(documents(spark, sf))
 
 
-@query("op9_repeated_strings_removed")
+@query("op9_repeated_strings_removed", oracles.REPEATS)
 def repeated_strings_removed(spark, sf):
     out = repeats.remove_repeats(documents(spark, sf), 50)
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -100,13 +100,13 @@ def spot_signatures(spark, sf):
                       spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-@query("op7_risk_controlled_rules")
+@query("op7_risk_controlled_rules", oracles.quality())
 def risk_controlled_rules(spark, sf):
     out = rules.judge(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
-@query("op8_blob_ledger_secrets")
+@query("op8_blob_ledger_secrets", oracles.secrets())
 def blob_ledger_secrets(spark, sf):
     out = secrets.scan(documents(spark, sf), new_path(spark, "ledger"))
     kinds = F.array(*[F.lit(r[0]) for r in secrets.RULES])
