@@ -9,6 +9,7 @@ A key that is small enough stays whole and costs one ordinary window.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,6 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 HOT_GROUPS_LITERAL = 20_000
 # Pass as ``rows`` when ``key_rows`` has already shown that every key fits in one slice.
 WHOLE = 0
-MAX_LEVELS = 5
 
 
 def chunk_rows(spark: SparkSession) -> int:
@@ -61,33 +61,31 @@ class Ordered:
 
     # -- slicing ---------------------------------------------------------------------------------
     def _slice(self, df: DataFrame) -> DataFrame:
-        t, tie = F.col(self.t).cast("double"), None
         numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}
         types = dict(df.dtypes)
-        if self.tie and types[self.tie[0]] in numeric:
-            tie = F.col(self.tie[0]).cast("double")
+        # the order's columns up to the first that cannot be cut by value
+        order = [self.t, *takewhile(lambda c: types[c] in numeric, self.tie)]
+        values = [F.col(c).cast("double") for c in order]
+        low, high = [f"_slice_lo{i}" for i in range(len(order))], [f"_slice_hi{i}" for i in range(len(order))]
         levels: list[str] = []
-        for level in range(MAX_LEVELS):
+        for level in count():
             group = self.keys + levels
-            stats = [F.count(F.lit(1)).alias("_slice_n"), F.min(t).alias("_slice_t0"), F.max(t).alias("_slice_t1")]
-            stats += [F.min(tie).alias("_slice_i0"), F.max(tie).alias("_slice_i1")] if tie is not None else [
-                F.lit(0.0).alias("_slice_i0"), F.lit(0.0).alias("_slice_i1")]
+            stats = [F.count(F.lit(1)).alias("_slice_n"), *[F.min(v).alias(a) for v, a in zip(values, low)], *[F.max(v).alias(b) for v, b in zip(values, high)]]
             limit = self.rows if level == 0 else 2 * self.rows
-            hot = df.groupBy(*group).agg(*stats).filter(
-                (F.col("_slice_n") > limit) & ((F.col("_slice_t1") > F.col("_slice_t0")) | (F.col("_slice_i1") > F.col("_slice_i0"))))
+            spread = reduce(lambda a, b: a | b, [F.col(b) > F.col(a) for a, b in zip(low, high)])
+            hot = df.groupBy(*group).agg(*stats).filter((F.col("_slice_n") > limit) & spread)
             found = hot.limit(HOT_GROUPS_LITERAL + 1).collect()
             if not found:
                 break
             if len(found) <= HOT_GROUPS_LITERAL:
                 hot = F.broadcast(self.spark.createDataFrame(found, hot.schema))
             parts = F.ceil(F.col("_slice_n") / self.rows)
-            by_t = (t - F.col("_slice_t0")) / (F.col("_slice_t1") - F.col("_slice_t0"))
-            pos = by_t if tie is None else F.when(F.col("_slice_t1") > F.col("_slice_t0"), by_t).otherwise(
-                (tie - F.col("_slice_i0")) / (F.col("_slice_i1") - F.col("_slice_i0")))
+            # rows are cut by the first column in which they still differ
+            pos = F.coalesce(*[F.when(F.col(b) > F.col(a), (v - F.col(a)) / (F.col(b) - F.col(a))) for v, a, b in zip(values, low, high)])
             name = f"_level{level}"
             df = join_keys(df, hot, group).withColumn(
                 name, F.coalesce(F.least(parts - 1, F.floor(pos * parts)), F.lit(-1)).cast("bigint")
-            ).drop("_slice_n", "_slice_t0", "_slice_t1", "_slice_i0", "_slice_i1")
+            ).drop("_slice_n", *low, *high)
             levels.append(name)
         return df.withColumn(CHUNK, F.struct(*levels)).drop(*levels) if levels else df
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.asof import asof, range_counts
-from fleetspark.operators.filters import AdaptiveWidth, chain, ewma_level, fixed_lag_smoother, local_level
+from fleetspark.operators.filters import ewma_level, fixed_lag_smoother, local_level
 from fleetspark.operators.neighbors import ewm_features
 from fleetspark.operators.ordered import WHOLE, Ordered
 from fleetspark.operators.quantiles import quantiles
@@ -104,10 +104,23 @@ def test_decayed_means_equal_brute_force(skewed):
                 assert want is None or abs(x[name] - want) < 1e-9
 
 
-def test_scans_and_chains_do_not_depend_on_slicing(skewed):
+def test_scans_do_not_depend_on_slicing(skewed):
     df = skewed.filter("v is not null")
     same(*[ewma_level(df, ["k"], "t", ["id"], "v", 0.3, rows=r) for r in (ROWS, WHOLE)])
     same(*[local_level(df, ["k"], "t", "id", "v", F.lit(0.2), F.lit(0.1), r) for r in (ROWS, WHOLE)])
     same(*[fixed_lag_smoother(df, df.filter("id % 2 = 0"), ["k"], "t", "id", "v", F.lit(0.2), F.lit(0.1), 400.0, r) for r in (ROWS, WHOLE)], tol=1e-7)
-    same(*[chain(df.withColumn("err", F.abs("v")), ["k"], "t", ["id"], lambda: AdaptiveWidth("err", ["k", "id"]), "k string, id long, width double", r)
-           for r in (ROWS, WHOLE)])
+
+
+def test_ties_are_cut_on_any_column(spark):
+    """All rows at one instant and equal in the first tie column still go to several slices."""
+    df = spark.range(400).select(F.lit("k").alias("k"), F.lit(5.0).alias("t"), F.lit(1).alias("a"), "id", (F.col("id") % 7).alias("v"))
+    o = Ordered(df, ["k"], "t", ["a", "id"], ROWS)
+    assert o.split and o.df.groupBy("_chunk").count().agg(F.max("count")).head()[0] <= 2 * ROWS
+    got = {r["id"]: r["s"] for r in o.running({"s": ("sum", F.col("v"))}).result().collect()}
+    assert got == {i: sum(j % 7 for j in range(i + 1)) for i in range(400)}
+
+
+def test_groups_without_values_keep_their_row(spark):
+    df = spark.createDataFrame([("a", 14.5), ("b", None)], "k string, v double")
+    for rows in (1, WHOLE):
+        assert sorted(tuple(r) for r in quantiles(df, ["k"], ["v"], {"m": 0.5}, rows).collect()) == [("a", 14.5), ("b", None)]

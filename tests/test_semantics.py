@@ -10,7 +10,6 @@ from fleetspark.operators import folds as FO
 from fleetspark.operators import neighbors as N
 from fleetspark.operators.bootstrap import paired_bootstrap
 from fleetspark.operators.events import operating_state
-from fleetspark.operators.filters import Gate
 from fleetspark.operators.ordered import WHOLE
 from fleetspark.operators.rolling import rolling_stats
 from fleetspark.operators.scoring import action_grid, cost_arrays, cost_matrix, decide
@@ -132,13 +131,6 @@ def test_bootstrap_of_equal_errors_is_zero(spark):
     assert (r.n, r.n_blocks, r.delta, r.delta_lo, r.delta_hi, r.p_delta_lt0) == (200, 20, 0.0, 0.0, 0.0, 0.0)
 
 
-def test_gate_rejects_gross_errors():
-    import pandas as pd
-    g = Gate("y", ["i"])
-    got = g.step(pd.DataFrame({"i": range(13), "y": [100.0] * 11 + [400.0, float("nan")]}))["accepted"].tolist()
-    assert got == [True] * 11 + [False, False]
-
-
 def test_student_tail():
     assert _beta_tail(10 / (10 + 2.228138852 ** 2), 5, 0.5) == pytest.approx(0.05, abs=1e-6)
 
