@@ -10,7 +10,7 @@ from fleetspark.llm.queries import tokenizer_path
 from fleetspark.scratch import cut, new_path
 
 #: A document goes if no language reaches this mean probability (or it has no letters); sources are repeated so many times at most.
-LEAST_SCORE, MAX_REPEATS = 0.4, 1.25
+LEAST_SCORE, MAX_REPEATS = 0.35, 1.25
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
