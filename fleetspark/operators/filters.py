@@ -54,17 +54,27 @@ def scan(df: DataFrame, keys: list[str], t: str, tie: list[str], prefix: str, re
     schema = o.df.schema
 
     def inside(batches):
-        # Rows arrive sorted by group and order; the accumulator restarts when the group changes.
-        group, acc = None, None
+        # Rows arrive sorted by group and order. Within a batch the groups are scanned together by doubling; the first group
+        # goes on from the last row of the batch before.
+        join = (lambda early, late: compose(late, early)) if inner_first else compose
+        last, carry = None, None
         for pdf in batches:
-            out = []
-            for key, *row in pdf[["_group", *cols]].itertuples(index=False, name=None):
-                if key != group:
-                    group, acc = key, tuple(row)
-                else:
-                    acc = compose(row, acc) if inner_first else compose(acc, row)
-                out.append(acc)
-            pdf[cols] = np.array(out).reshape(-1, len(cols))
+            n, group = len(pdf), pdf["_group"].to_numpy()
+            acc = [pdf[c].to_numpy(float).copy() for c in cols]
+            if n:
+                row = np.arange(n)
+                start = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], row, 0))
+                step = 1
+                while len(at := np.flatnonzero(row - step >= start)):
+                    for x, v in zip(acc, join([x[at - step] for x in acc], [x[at] for x in acc])):
+                        x[at] = v
+                    step *= 2
+                if last is not None and group[0] == last:
+                    at = np.flatnonzero(start == 0)
+                    for x, v in zip(acc, join(carry, [x[at] for x in acc])):
+                        x[at] = v
+                last, carry = group[-1], [x[-1] for x in acc]
+            pdf[cols] = np.column_stack(acc)
             yield pdf.drop(columns="_group")
 
     x = o.df.repartition(*part) if part else o.df.coalesce(1)  # without keys the input is one checked slice
