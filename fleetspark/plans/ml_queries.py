@@ -14,6 +14,7 @@ from ..operators.sampling import time_split
 from .blend_queries import M, MEMBERS, members
 from .filter_queries import with_lives
 from .neighbor_queries import NOLAG, regime_rows
+from ..scratch import cut
 from .registry import query
 from .telemetry_queries import tool_rows, ttf
 from .views import REGIMES, runs, sql
@@ -57,7 +58,7 @@ def history_table(spark, sf):
 
 @query("screened_member_per_regime")
 def _(spark, sf):
-    df = history_table(spark, sf).cache()
+    df = cut(history_table(spark, sf))
     train, test = df.filter("is_ref"), df.filter("NOT is_ref")
     cols = ml.screen_columns(train, HX, "y", 4)
     return ml.fit_predict(train, test, cols, "y", ml.boosted(5, 3), REGIMES, "regime").select("run_id", "regime", "pred")
@@ -65,7 +66,7 @@ def _(spark, sf):
 
 @query("variant_leaderboard")
 def _(spark, sf):
-    df = runs(spark, sf).cache()
+    df = cut(runs(spark, sf))
     train, test = df.filter("is_ref"), df.filter("NOT is_ref")
     variants = {"ridge": {"cols": ["usage", "pad", "film"], "make": ml.ridge(1.0)}, "ridge_regime": {"cols": ["usage", "pad"], "make": ml.ridge(1.0), "per_group": True},
                 "trees": {"cols": ["usage", "pad", "film"], "make": ml.boosted(5, 3)}}
@@ -80,13 +81,13 @@ def _(spark, sf):
 
 @query("clusters_and_components")
 def _(spark, sf):
-    from .blend_queries import vectors
-    return ml.clusters_and_components(vectors(spark, sf), ["vec_id"], [f"e{i}" for i in range(8)], 4, 3)
+    from .blend_queries import DIMS, vectors
+    return ml.clusters_and_components(vectors(spark, sf), ["vec_id"], [f"e{i}" for i in range(DIMS)], 4, 3)
 
 
 @query("meta_learner")
 def _(spark, sf):
-    df = FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumns({"stage_b": F.when(F.col("stage") == "B", 1.0).otherwise(0.0)}).cache()
+    df = cut(FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumns({"stage_b": F.when(F.col("stage") == "B", 1.0).otherwise(0.0)}))
     parts = [ml.fit_predict(df.filter(F.col("fold") != k), df.filter(F.col("fold") == k), [*MEMBERS, "stage_b"], "y", ml.ridge(0.1), out="meta") for k in range(3)]
     out = parts[0]
     for p in parts[1:]:
@@ -96,7 +97,7 @@ def _(spark, sf):
 
 @query("greedy_member_selection")
 def _(spark, sf):
-    df = FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumn("pc", F.coalesce("pc", (F.col("pa") + F.col("pb")) / 2)).select("run_id", "regime", "fold", "y", *MEMBERS).cache()
+    df = cut(FO.kfold(members(runs(spark, sf)), ["run_id"], 3).withColumn("pc", F.coalesce("pc", (F.col("pa") + F.col("pb")) / 2)).select("run_id", "regime", "fold", "y", *MEMBERS))
 
     def score(d, names):
         x = B.nested_blend(d, "fold", 3, ["regime"], names, "y")

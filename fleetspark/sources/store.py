@@ -6,9 +6,10 @@ import hashlib
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
 
 from ..operators.ordered import join_keys
 
@@ -17,14 +18,29 @@ def config_key(config: dict) -> str:
     return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+def input_state(df: DataFrame) -> list[tuple[str, int, int]]:
+    """Path, size and modification time of every file that a table reads."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(df.inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        state = place.getFileSystem(conf).getFileStatus(place)
+        out.append((f, state.getLen(), state.getModificationTime()))
+    return out
+
+
 def stored(spark: SparkSession, root: str, name: str, config: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse the table saved under this configuration, or build and save it."""
-    path = f"{root}/{name}/cfg={config_key(config)}"
+    """Reuse the table saved under this configuration and the state of its input files, or build and save it."""
+    df = build()
+    path = f"{root}/{name}/cfg={config_key({'config': config, 'inputs': input_state(df)})}"
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def metric_rows(df: DataFrame, dims: list[str], metrics: list[str]) -> DataFrame:
@@ -45,8 +61,10 @@ def prediction_export(df: DataFrame, keep: list[str], preds: list[str]) -> DataF
     return df.select(*keep, *[F.round(p, 3).alias(p) for p in preds])
 
 
-def write_predictions(df: DataFrame, path: str, by: str = "tool") -> None:
-    df.write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
+def write_predictions(df: DataFrame, path: str, by: str = "tool", time: str | None = None, slice_seconds: float = 86400.0) -> None:
+    """CSV partitioned by ``by``; a partition is written by as many tasks as it has time slices, not by all."""
+    slices = [F.floor(F.col(time) / slice_seconds)] if time else []
+    df.repartition(by, *slices).write.mode("overwrite").partitionBy(by).option("header", True).csv(path)
 
 
 def last_predictions(df: DataFrame, by: str, t: str, cols: list[str], order: list[str] = ()) -> DataFrame:
