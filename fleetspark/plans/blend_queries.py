@@ -12,6 +12,7 @@ from ..operators import scoring as SC
 from ..operators import stats as ST
 from ..operators.ordered import join_keys, key_rows
 from ..operators.runs import life_ids
+from ..scratch import cut
 from .neighbor_queries import DRAW, FOLD_SQL
 from .registry import query
 from .run_queries import LIFE_SQL
@@ -219,14 +220,21 @@ def _(spark, sf):
     return out.select("run_id", "blend")
 
 
-@query("arrival_rule_audit", sql("runs", "SELECT 0 AS early_training_rows, count(*) AS targets FROM runs", "", "", "early_training_rows targets"))
+@query("arrival_rule_audit", sql("runs", "SELECT 0 AS early_changed, true AS later_changed, count(*) AS targets FROM runs", "later_changed", "", "early_changed targets"))
 def _(spark, sf):
+    """The blend itself is run twice, the second time with every label changed that arrives after the middle of the stream.
+
+    No prediction whose weights were fitted by then may move; later ones must.
+    """
     df, t0 = walk(spark, sf)
-    k = B.refit_no("issue", STEP, t0)
-    due = F.greatest(F.ceil((F.col("ready") - t0) / STEP), F.lit(0))
-    # a row is first used at refit `due`; it breaks the rule if that refit precedes its ready time, or a target its refit
-    bad = (t0 + due * STEP < F.col("ready")) | (t0 + k * STEP >= F.col("issue"))
-    return df.agg(F.count(F.when(bad, 1)).alias("early_training_rows"), F.count(F.lit(1)).alias("targets"))
+    df = cut(df)
+    end = df.agg(F.max("issue")).head()[0]  # one number
+    middle = (t0 + end) / 2
+    changed = df.withColumn("y", F.when(F.col("arrive") > middle, F.col("y") * 3 + 500).otherwise(F.col("y")))
+    blend = lambda x: B.walk_forward_blend(x, ["regime"], ["pa", "pb"], "y", F.col("measured"), "ready", "issue", "arrive", STEP, t0, 40).select("run_id", "issue", "blend")
+    both = blend(df).join(blend(changed).select("run_id", F.col("blend").alias("other")), "run_id")
+    moved, early = ~F.col("blend").eqNullSafe(F.col("other")), F.col("issue") <= middle
+    return both.agg(F.count(F.when(moved & early, 1)).alias("early_changed"), (F.count(F.when(moved & ~early, 1)) > 0).alias("later_changed"), F.count(F.lit(1)).alias("targets"))
 
 
 # -- bootstrap ----------------------------------------------------------------------------------------
