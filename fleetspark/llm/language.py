@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from . import caches
 from .frames import draw
 
 #: Bytes read in one go (state starts anew), units a direction, windows computed together.
@@ -188,6 +189,7 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text", c
     model = spark.sparkContext.broadcast(network)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("language")
         net = model.value
         for batch in batches:
             text = batch.column(1)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from . import caches
 from .frames import draw, rank_in_groups
 
 #: Entries that a worker's word cache holds before it starts anew.
@@ -78,7 +79,7 @@ class WordIds:
         return [b"".join(map(get, ws)) for ws in split]
 
 
-_LOADED: dict[str, WordIds] = {}
+_LOADED: dict[str, WordIds] = caches.held("tokens", {})
 
 
 def word_ids(path: str) -> WordIds:
@@ -97,6 +98,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     kind = docs.schema[id_col].dataType
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("tokens")
         coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut, new_path
+from . import caches
 
 #: Bytes of an anchor, text bytes of a batch, positions that are scanned at a time, shares of the keys for each shuffle partition.
 GRAM, BATCH_BYTES, CHUNK, SHARES = 20, 1 << 20, 1 << 20, 8
@@ -32,7 +33,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = caches.held("powers", {})
 
 
 def _powers(a: int, n: int) -> np.ndarray:
@@ -270,6 +271,7 @@ def _shared_keys(table: DataFrame, length: int, gram: int, parts: int) -> DataFr
     shares = parts * SHARES
 
     def emit(batches):
+        caches.only("powers")
         for batch, row in _each(batches):
             x = _Batch(batch, row)
             found = list(anchors(x.data, x.end, length, gram, shares))
@@ -325,6 +327,7 @@ def _covered(table: DataFrame, keys: DataFrame, length: int, gram: int, parts: i
     shares = parts * SHARES
 
     def emit(batches):
+        caches.only("powers")
         for batch, row in _each(batches):
             x = _Batch(batch, row)
             wanted = np.unique(_concat(batch.column("keys")[row].as_py(), _U))

@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
+
 # Kind, version, pattern, group that is measured, its least length. Kinds are listed in the order of the result.
 RULES = [
     ("assign", 1, r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -70,6 +72,7 @@ def scan(versions: DataFrame, ledger: str, rules: list[tuple] = RULES, path_col:
     by_name = {rule_id(r): r for r in rules}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("secrets")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             blob, rule, spans = [], [], []
