@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
-from .frames import let
+from .frames import group_key, let
 
 # Common words of four languages that chains start at.
 ANCHORS = """
@@ -73,29 +73,34 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id``, ``text``, ``next``): each document with the text of the next one by id, after the last the first.
+    """(``id``, ``text``, ``head``, ``next_sigs``) by ascending id, after the last the first: each document with the signatures of the
+    next one and as many of its first code points as half the document's own.
 
-    The order is found on ids and text hashes only: sorted by range, stored, then each range hands over its first row. Two
-    texts meet in one join on a unique key. Null ids come first; equal ids are ordered by hash; rows equal in id and text
-    are one document in this order.
+    The order is found on ids, text hashes and lengths only: sorted by range, stored, then each range hands on its last row. Texts
+    are moved by id once, for both roles; what then goes to the document before is cut to what it needs. Null ids come
+    first; equal ids are ordered by hash; rows equal in id and text are one document in this order.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    keys = base.select("id", "h").repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h").withColumn("part", F.spark_partition_id())
-    keys = cut(keys)
-    once = keys.dropDuplicates(["id", "h"]) if (repeated := keys.groupBy("id", "h").count().filter("count > 1").limit(1).count()) else keys
-    inside = Window.partitionBy("part").orderBy("id", "h")
-    row = F.struct("id", "h")
-    firsts = once.groupBy("part").agg(F.min(row).alias("first"))
+    base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    base = base.select(group_key(F.col("id")).alias("k"), F.xxhash64("text").alias("h"), "id", "text")
+    keys = base.select("id", "h", "k", F.length("text").alias("n")).repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h")
+    keys = cut(keys.withColumn("part", F.spark_partition_id()))
+    repeated = keys.groupBy("k", "h").count().filter("count > 1").limit(1).count()
+    once = keys.dropDuplicates(["k", "h"]) if repeated else keys
+    row = F.struct("id", "h", "k", "n")
+    lasts = once.groupBy("part").agg(F.max(row).alias("last"))
     order = Window.orderBy("part")
-    heads = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("head"))
-    after = once.withColumn("to", F.lead(row).over(inside)).join(heads, "part").select("id", "h", F.coalesce("to", "head").alias("to"))
-    after = after.select(F.col("id").alias("i"), F.col("h").alias("g"), F.col("to.id").alias("ni"), F.col("to.h").alias("nh"))
-    others = base.select(F.col("id").alias("ri"), F.col("h").alias("rh"), F.col("text").alias("next"))
+    tails = lasts.select("part", F.coalesce(F.lag("last").over(order), F.last("last").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("tail"))
+    before = once.withColumn("prev", F.lag(row).over(Window.partitionBy("part").orderBy("id", "h"))).join(tails, "part")
+    before = before.select("k", "h", F.coalesce("prev", "tail").alias("prev")).select("k", "h", F.col("prev.k").alias("pk"), F.col("prev.h").alias("ph"), F.col("prev.n").alias("pn"))
+    nexts = base.join(before, ["k", "h"])
     if repeated:
-        others = others.dropDuplicates(["ri", "rh"])
-    linked = after.join(others, F.col("ni").eqNullSafe(F.col("ri")) & (F.col("nh") == F.col("rh"))).select("i", "g", "next")
-    return base.join(linked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))).select("id", "text", "next")
+        nexts = nexts.dropDuplicates(["k", "h"])
+    half = F.floor(F.col("pn") / F.lit(2)).cast("int")
+    nexts = nexts.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.substring(F.col("text"), F.lit(1), half).alias("head"), signatures(F.col("text")).alias("next_sigs"))
+    # the id comes back from the key, so both roles move the same columns and share one exchange
+    id_ = F.when(F.col("k") != "n", F.substring("k", 2, 2**31 - 1).cast(docs.schema[id_col].dataType))
+    return base.join(nexts, ["k", "h"]).select(id_.alias("id"), "text", "head", "next_sigs")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,9 +112,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = with_next(docs, id_col, text_col)
     n = F.length("text")
     half = F.floor(n / F.lit(2)).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    out = both.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("sigs"), signatures(edited).alias("edited_sigs"),
-                      signatures(F.col("next")).alias("next_sigs"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.col("head"))
+    out = both.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), signatures(F.col("text")).alias("sigs"), signatures(edited).alias("edited_sigs"), "next_sigs")
     return out.select(F.col("id").alias(id_col), "n_chars", "edited", "sigs", "edited_sigs", likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
                       likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
