@@ -6,29 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from . import caches
 from .components import components
 
-WORDS = 5
-#: Collections of sub-keys: ``LEFT`` of two minima each, ``RIGHT`` of one; a table key is a pair of one of each.
-LEFT, RIGHT = 14, 8
-#: Further sub-keys (two minima each) that refine keys under which too many unlike documents meet.
-REFINE, LEVELS = 12, 3
-MINIMA = 2 * LEFT + RIGHT + 2 * REFINE
-#: Pairs with fewer equal minima among all than this are no candidates; at a likeness of 0.75 that has odds below 1e-11.
-AGREE = MINIMA * 3 // 8
-#: A key is refined when its pairs across components exceed so many for each member.
-PAIRS_PER_MEMBER = 64
+SHINGLE = 5
+#: Collections of sub-keys: ``LEFT`` of three minima each, ``RIGHT`` of two; a table key is a pair of one of each.
+LEFT, RIGHT = 22, 14
+MINIMA = 3 * LEFT + 2 * RIGHT
+#: Minima of which a byte is kept to judge pairs, and how many bytes must agree; a likeness of 0.75 fails with odds below 1e-9.
+SKETCH, AGREE = 60, 22
+#: Ids up to this many are sent to all tasks instead of moving the texts to them.
+FEW_IDS = 100_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240501)
 _FACTOR = _RNG.integers(1, 2**63, MINIMA, dtype=_U)[:, None] * _U(2) + _U(1)
 _SHIFT = _RNG.integers(0, 2**63, MINIMA, dtype=_U)[:, None]
-_ROLL = _RNG.integers(1, 2**63, WORDS, dtype=_U) | _U(1)
+_ROLL = _RNG.integers(1, 2**63, SHINGLE, dtype=_U) | _U(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,19 +35,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
     """The set of 64-bit shingle hashes of each text, ascending.
 
@@ -57,18 +42,18 @@ def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
     """
     words = [(t or b"").lower().split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(map(_WORDS.__getitem__, (w for ws in words for w in ws)), _U, int(counts.sum()))
+    flat = np.fromiter(map(caches.WORDS.__getitem__, (w for ws in words for w in ws)), _U, int(counts.sum()))
     rolled = np.zeros(0, _U)
-    if len(flat) >= WORDS:
-        n = len(flat) - WORDS + 1
+    if len(flat) >= SHINGLE:
+        n = len(flat) - SHINGLE + 1
         rolled = flat[:n] * _ROLL[0]
-        for k in range(1, WORDS):
+        for k in range(1, SHINGLE):
             rolled = rolled + flat[k:n + k] * _ROLL[k]
         rolled = _mix(rolled)
     out, at = [], 0
     for m in counts.tolist():
-        if m >= WORDS:
-            out.append(np.unique(rolled[at:at + m - WORDS + 1]))
+        if m >= SHINGLE:
+            out.append(np.unique(rolled[at:at + m - SHINGLE + 1]))
         elif m:
             h = np.array([m], _U)
             for x in flat[at:at + m]:
@@ -99,22 +84,40 @@ def _texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple
             yield part.column(0), part.column(1).to_pylist()
 
 
+def _subkeys(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the left collection, 32-bit ones of the right one."""
+    def joined(x: np.ndarray) -> np.ndarray:
+        h = np.arange(len(x)).astype(_U)
+        for column in x.T:
+            h = _mix(h * _ROLL[0] + column)
+        return h
+    left, rest = low[:3 * LEFT].reshape(-1, 3), low[3 * LEFT:].reshape(-1, 2)
+    return joined(left).view(np.int64), (joined(rest) >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n`` (set size), ``print`` (16 bytes of the set), ``minima`` (null for an empty set)."""
+    """``id``, ``n`` (set size), ``print`` (16 bytes of the set), and for sets that are not empty ``left`` and ``fine`` (sub-keys) and ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("words")
         for ids, texts in _texts(batches):
             sets = shingles(texts)
-            low = [_minima(s).view(np.int64) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()),
-                                              pa.array(low, pa.list_(pa.int64()))], names=["id", "n", "print", "minima"])
+            left, fine, sketch = [], [], []
+            for s in sets:
+                low = _minima(s) if len(s) else None
+                keys = _subkeys(low) if len(s) else (None, None)
+                left.append(keys[0]), fine.append(keys[1])
+                sketch.append((_mix(low[:SKETCH]) >> _U(56)).astype(np.uint8).view(np.int8) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), pa.array(left, pa.list_(pa.int64())),
+                                              pa.array(fine, pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int8()))], names=["id", "n", "print", "left", "fine", "sketch"])
 
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    return cols.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, print binary, minima array<long>")
+    return cols.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, print binary, left array<long>, fine array<int>, sketch array<tinyint>")
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("words")
         for _, texts in _texts(batches):
             sets = shingles(texts)
             yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
@@ -130,30 +133,57 @@ def _scatter(c: Column) -> Column:
     return c.bitwiseXOR(F.shiftleft(c, 17))
 
 
-def _keys(classes: DataFrame) -> DataFrame:
-    """(key, node): each sub-key of the one collection with each of the other."""
-    def sub(i: int) -> Column:
-        return F.xxhash64(F.lit(i), F.get("minima", F.lit(2 * i)), F.get("minima", F.lit(2 * i + 1)))
+def _tables(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node) of the tables: each left sub-key (``key``) with each right sub-key."""
+    subs = F.array(*[F.xxhash64(F.col("key"), F.lit(i), F.get("fine", F.lit(i))) for i in range(RIGHT)])
+    return rows.join(classes.select("node", "fine"), "node").select(F.explode(subs).alias("key"), "node")
 
-    left = F.array(*[sub(i) for i in range(LEFT)])
-    right = F.array(*[F.xxhash64(F.lit(-1 - j), F.get("minima", F.lit(2 * LEFT + j))) for j in range(RIGHT)])
-    pairs = F.flatten(F.transform(left, lambda a: F.transform(F.col("_r"), lambda b: F.xxhash64(a, b))))
-    return classes.withColumn("_r", right).select(F.explode(pairs).alias("key"), "node")
 
+def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, node, root) of the keys under which classes of different components meet."""
+    placed = met.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    return placed.join(open_, "key")
 
-def _refined(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Members of crowded keys under finer ones: the key with each of the further sub-keys."""
-    first = 2 * LEFT + RIGHT
-    subs = F.array(*[F.xxhash64(F.col("key"), F.lit(level), F.get("minima", F.lit(first + 2 * ((i * (level + 1)) % REFINE))),
-                                F.get("minima", F.lit(first + 2 * ((i + level) % REFINE) + 1))) for i in range(REFINE)])
-    return rows.join(classes.select("node", "minima"), "node").select(F.explode(subs).alias("key"), "node")
+
+def _sharing_rare(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components that could be linked, without forming the pairs of a group.
+
+    Sets that share three quarters of either share one of the rarest shingles of both: of n, the first n - ceil(3 n / 4) + 1 in the
+    order of how many of ``sets`` hold them. Heavily edited copies have only their own edits among these. Under each shingle the
+    component with most sets is not joined with itself.
+    """
+    rows = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
+    held = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("node").orderBy("df", "s")
+    rare = rows.join(held, "s").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 0.75) + 1).filter("df > 1")
+    rare = cut(rare.select("s", "node", "n", "r").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    most = rare.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    fewer = rare.join(most, "s").filter("root <> main").select("s", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("r").alias("rr"))
+    # linked sets of these sizes share so many; both then have a common one among their first n - needed + 1
+    needed = F.ceil((F.col("n") + F.col("nx")) * 3 / 7)
+    pairs = fewer.join(rare, "s").filter((F.col("rx") != F.col("root")) & (F.col("r") <= F.col("n") - needed + 1) & (F.col("rr") <= F.col("nx") - needed + 1))
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs of each class with the pivot of each of its keys, sizes permitting.
+
+    The pivot of a key is the class whose keys are shared most: among edited copies the one with the fewest edits, to which all that
+    can be linked at all are close.
+    """
+    weight = met.groupBy("node").agg(F.sum("c").alias("w"))
+    rows = met.join(weight, "node")
+    pivots = rows.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("p"))
+    close = (F.col("node") != F.col("p.node")) & (4 * F.least("n", "p.n") >= 3 * F.greatest("n", "p.n"))
+    return rows.join(pivots, "key").filter(close).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose sizes and minima allow a likeness of 0.75."""
-    sides = [classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("minima").alias(f"m{s}")) for s in "ab"]
+    sides = [classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
-    same = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda t: t))
+    same = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda t: t))
     return both.filter((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (same >= AGREE)).select("a", "b")
 
 
@@ -170,53 +200,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked when 100 * |A and B| >= 75 * |A or B| for their sets of distinct five-word shingles (the whole
     sequence where there are fewer words); ``component_id`` is the smallest id reachable and ``kept`` says that it is the own.
 
-    Equal sets are one class from the start. Each class computes 60 minima (24 of them for refining), from which 14 and 8 sub-keys give 112 table keys, where
-    112 separate bands of three would need 336 minima; a link at 0.75 shares no key with odds of 2e-5. Under each key every class
-    is compared with the smallest one; classes that are then still in different components are compared with each other, and
-    where that would be many pairs, the key is first refined by further minima. Every link is confirmed on the full sets, and
-    only classes that have a plausible partner have their sets made, from the whole texts.
+    Equal sets are one class from the start. Each class computes two collections of sub-keys, 22 of three minima and 14 of two, whose
+    pairs are the keys of 308 tables: 94 minima where separate bands of five would take 1,540. A link at 0.75 meets in no table with
+    odds of 2e-5. Left sub-keys that one class alone has are dropped, as no table of theirs is shared. Under each other one, all
+    classes are compared with the most shared one. Only where classes of different components are then left, the
+    tables are formed; the classes that meet there across components are compared if they share a rare shingle, which
+    linked ones must. So a group of thousands of copies gives a few comparisons for each, never all pairs. Every link is
+    confirmed on full sets, made from the whole texts of those classes only that have a plausible partner.
 
     Null or empty texts have an empty set, are linked with nothing and kept. Null ids take part: a component's id is the smallest
     non-null one. Rows with equal ids are separate documents with the same id. An empty table gives an empty one.
     """
     rows = cut(signatures(docs, id_col, text_col))
-    classes = rows.filter("n > 0").groupBy("print").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.any_value("minima").alias("minima"))
+    kept = [F.any_value(c).alias(c) for c in ("n", "left", "fine", "sketch")]
+    classes = rows.filter("n > 0").groupBy("print").agg(F.min("id").alias("id"), *kept)
     classes = cut(classes.withColumn("node", _scatter(F.monotonically_increasing_id())))
-    keyed = _keys(classes)
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
+    keyed = classes.select(F.explode("left").alias("key"), "node", "n")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key", "c")
     met = cut(keyed.join(shared, "key"))
-    stars = cut(_plausible(met.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), classes))
-
-    def across(rows: DataFrame, level: int) -> DataFrame:
-        """Plausible pairs of different components that meet under a key."""
-        placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        load = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        load = load.select("key", (F.col("cc").cast("double") + PAIRS_PER_MEMBER * F.col("c") < F.col("c").cast("double") * F.col("c")).alias("crowded"))
-        placed = cut(placed.join(load, "key"))
-        fine = placed if level == LEVELS else placed.filter("NOT crowded")
-        other = fine.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = fine.join(other, "key").filter((F.col("root") < F.col("rb"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = _plausible(pairs, classes)
-        crowded = placed.filter("crowded").select("key", "node")
-        if level == LEVELS or crowded.isEmpty():
-            return pairs
-        finer = cut(_refined(crowded, classes, level))
-        again = finer.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").select("key")
-        return pairs.unionByName(across(finer.join(again, "key"), level + 1)).distinct()
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = classes.join(nodes, "node").select("node", "print", "id")
-        texts = docs.join(wanted.select(F.col("id").alias("_id")).distinct(), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    stars = cut(_plausible(_stars(met), classes))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(classes.join(nodes, "node").select("node", "print", "id"))
+        ids = wanted.select(F.col("id").alias("_id")).distinct()
+        ids = F.broadcast(ids) if wanted.count() <= FEW_IDS else ids
+        texts = docs.join(ids, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
         made = _sets(texts, id_col, text_col).dropDuplicates(["print"])
         return cut(made.join(wanted.select("node", "print"), "print").select("node", "set"))
 
-    links = cut(_confirmed(stars, sets_of(stars)))
+    links = cut(_confirmed(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     roots = components(links)
-    rest = cut(across(met.select("key", "node"), 0).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(_confirmed(rest, sets_of(rest)))
+    left = _apart(met, roots)
+    tables = cut(_apart(_tables(left, classes), roots).select("node").distinct())
+    if not tables.isEmpty():
+        sets = sets_of(tables)
+        rest = cut(_plausible(_sharing_rare(sets, roots), classes).join(stars, ["a", "b"], "left_anti"))
+        links = links.unionByName(_confirmed(rest, sets))
         roots = components(links)
     named = classes.select("print", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("id").alias("component_id"))

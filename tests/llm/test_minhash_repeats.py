@@ -49,11 +49,10 @@ def test_components_against_brute_force(frame, awkward):
     assert sorted((tuple(r) for r in got), key=repr) == brute_components([(r[0], r[1]) for r in rows])
 
 
-def test_crowded_keys_are_refined(frame, monkeypatch):
-    """With almost no room for pairs every shared key goes through all levels; the result is the same."""
-    monkeypatch.setattr(minhash, "PAIRS_PER_MEMBER", 0)
-    base = prose(51, 120)
-    rows = [(i, edited(base, i, 0.01 * (i % 7))) for i in range(50)] + [(100 + i, edited(prose(52, 120), i, 0.03)) for i in range(20)]
+def test_copies_that_no_star_links(frame):
+    """Two families and heavy edits: links between copies of which neither is close to the smallest one."""
+    rows = [(i, edited(prose(51, 120), i, 0.01 * (i % 7))) for i in range(60)] + [(100 + i, edited(prose(52, 120), i % 10, 0.05)) for i in range(40)]
+    rows += [(200 + i, edited(edited(prose(51, 120), 900 + i // 3, 0.08), i, 0.005)) for i in range(60)]
     got = minhash.near_duplicates(frame(rows)).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_components([(r[0], r[1]) for r in rows])
 
