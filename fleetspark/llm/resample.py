@@ -11,30 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from . import caches
 
 #: Buckets of hashed words and word pairs; counts travel in slices.
 BUCKETS, SLICE = 1 << 16, 1 << 10
 #: Added to every count, share of the documents that is drawn.
 SMOOTHING, SHARE = 1.0, 0.8
+#: Target ids up to this many are sent to all tasks instead of moving the texts to them.
+FEW_IDS = 100_000
 _U = np.uint64
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
 def buckets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each word and each pair of neighbouring words, and the text it belongs to. A-Z become lower case."""
     words = [(t or b"").lower().split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter(map(_WORDS.__getitem__, (w for ws in words for w in ws)), _U, int(counts.sum()))
+    flat = np.fromiter(map(caches.WORDS.__getitem__, (w for ws in words for w in ws)), _U, int(counts.sum()))
     owner = np.repeat(np.arange(len(texts)), counts)
     pairs = flat[:-1] * _U(0x9E3779B97F4A7C15) + flat[1:] * _U(0xC2B2AE3D27D4EB4F) if len(flat) else flat
     same = owner[:-1] == owner[1:] if len(flat) else np.zeros(0, bool)
@@ -49,11 +41,13 @@ def models(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     ``target``: ids of the target documents. Every task adds up its own rows; slices of its counts are added up by slice, so
     no task or driver holds more than the fixed number of buckets.
     """
-    ids = target.select(F.col(id_col).alias("_t")).filter("_t IS NOT NULL").distinct()
+    ids = cut(target.select(F.col(id_col).alias("_t")).filter("_t IS NOT NULL").distinct())
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text")).select(F.col("text"), "id")
     wanted = rows.join(ids.withColumnRenamed("_t", "id"), "id", "left_semi").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("words")
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
@@ -84,6 +78,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.only("words")
         for whole in batches:
             for s in range(0, whole.num_rows, 512):
                 batch = whole.slice(s, 512)
