@@ -26,6 +26,16 @@ def group_key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), c.cast("string")))
 
 
+def text_mark(c: Column) -> Column:
+    """16 bytes that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(c.cast("binary"), F.lit(b""))))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of all columns but maps, which have no order."""
+    return F.xxhash64(*[df[f"`{f.name}`"] for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
 def utf8_size(c: Column) -> Column:
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from . import caches
 from .components import components
+from .frames import row_hash, text_mark
 
 SHINGLE = 5
 #: Collections of sub-keys: ``LEFT`` of three minima each, ``RIGHT`` of two; a table key is a pair of one of each.
@@ -245,6 +246,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns: of each component the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Of each component one row, with all its columns: the smallest id, null ids last.
+
+    Rows of that id in one component are told apart by a hash of the text, then of the other columns; rows equal in all of them
+    are interchangeable. Rows with an empty set are linked with nothing, so all of them stay.
+    """
+    key = F.struct(docs[f"`{id_col}`"].isNull().alias("none"), docs[f"`{id_col}`"].alias("id"), text_mark(docs[f"`{text_col}`"]).alias("mark"))
+    verdicts = near_duplicates(docs.select(key.alias("_key"), docs[f"`{text_col}`"].alias("_text")), "_key", "_text")
+    copies = (F.max("n_shingles") > 0) & (F.count(F.lit(1)) > 1)
+    kept = cut(verdicts.filter("kept").groupBy(F.col("_key").alias("_kept")).agg(copies.alias("_copies")))
+    out = docs.join(kept.filter("NOT _copies"), key == F.col("_kept"), "left_semi")
+    copied = kept.filter("_copies").select("_kept")
+    count = copied.count()
+    if count:
+        copied = F.broadcast(copied) if count <= FEW_IDS else copied
+        columns = [docs[f"`{c}`"] for c in docs.columns]
+        first = docs.join(copied, key == F.col("_kept")).groupBy("_kept").agg(F.min_by(F.struct(*columns), row_hash(docs)).alias("_row"))
+        out = out.unionByName(first.select("_row.*"))
+    return out

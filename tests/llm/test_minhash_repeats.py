@@ -63,6 +63,25 @@ def test_kept_documents_keep_their_columns(frame):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
+def test_one_row_of_each_component_stays(frame):
+    """Repeated rows, an id with several texts and null ids beside an empty text."""
+    near, other, lone = prose(70, 60), prose(71, 60), prose(72, 60)
+    rows = [(1, other, "en", "a")] * 4 + [(3, near, "en", "a"), (7, near + " tail", "en", "a"), (7, lone, "en", "b")]
+    rows += [(9, prose(73, 60), "en", s) for s in "cab"] + [(8, prose(74, 60), "en", "a"), (8, prose(74, 60) + " tail", "en", "a")]
+    rows += [(None, near, None, "a"), (None, prose(75, 60), None, "a"), (None, prose(75, 60), None, "a"), (None, prose(75, 60) + " x", None, "a")]
+    rows += [(None, None, None, None), (None, "", None, None), (None, "", None, None), (2, " ", "en", "a"), (2, " ", "en", "a")]
+    df = frame(rows)
+    out = minhash.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    first = lambda *texts: sum(got.count((d, t)) for d, t in texts)
+    assert [got.count(x) for x in ((1, other), (3, near), (7, near + " tail"), (7, lone), (9, prose(73, 60)), (None, near))] == [1, 1, 0, 1, 1, 0]
+    assert first((8, prose(74, 60)), (8, prose(74, 60) + " tail")) == 1 and first((None, prose(75, 60)), (None, prose(75, 60) + " x")) == 1
+    assert (got.count((None, None)), got.count((None, "")), got.count((2, " ")), len(got)) == (1, 2, 2, 11)
+    again = minhash.drop_near_duplicates(df.repartition(5)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, out.collect()))
+
+
 def test_no_documents(frame, spark):
     assert minhash.near_duplicates(frame([(1, "x")]).limit(0)).count() == 0
     assert repeats.remove_repeats(frame([(1, "x")]).limit(0)).count() == 0
