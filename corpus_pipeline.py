@@ -14,9 +14,16 @@ LEAST_SCORE, MAX_REPEATS = 0.35, 1.25
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; the network learns from the labels of the documents that are not held out."""
-    out = language.identify(docs, language.train(docs))
-    return out.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Documents in a known language; the network learns from the labels of the documents that are not held out.
+
+    Where there are no such labels there is no network, and every document that has a letter stays.
+    """
+    network = language.train(docs)
+    if network is None:
+        return docs.filter(language.has_letters(docs["text"]))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs["text"])
+    out = language.identify(rows, network, carry=["doc"])
+    return out.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

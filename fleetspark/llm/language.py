@@ -148,6 +148,10 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents: int = SAMPLE_DOCUMENTS,
           windows: int = SAMPLE_WINDOWS, seed: str = "language") -> Network | None:
     """A network for all labels that occur outside the held-out part, or None if there are none.
@@ -184,7 +188,7 @@ def identify(docs: DataFrame, network: Network | None, text_col: str = "text", c
     """
     spark = docs.sparkSession
     keep = [c for c in (carry if carry is not None else docs.columns) if c.lower() not in ("lang_pred", "score")]
-    letters = F.coalesce(docs[f"`{text_col}`"].rlike(r"\p{L}"), F.lit(False))
+    letters = has_letters(docs[f"`{text_col}`"])
     work = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), F.when(letters, docs[f"`{text_col}`"].cast("binary")).alias("text"))
     model = spark.sparkContext.broadcast(network)
 

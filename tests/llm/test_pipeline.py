@@ -12,6 +12,7 @@ import corpus_pipeline as cp
 from fleetspark.llm import language, secrets
 from fleetspark.llm.queries import tokenizer_path
 
+from .conftest import prose
 from .test_minhash_repeats import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +89,16 @@ def test_stages_on_awkward_rows(spark, frame, awkward):
             docs = out
     ids = {r["doc_id"] for r in out.collect()}
     assert {4, 6, 7}.intersection(ids) and 7 in ids and None in ids
+
+
+def test_language_stage_without_labels(spark, frame):
+    """Nothing to learn from: documents with a letter stay."""
+    docs = frame([(i, t, None, "a") for i, t in enumerate([prose(80, 40), prose(81, 40), "12 34", "", None])])
+    assert sorted(r["doc_id"] for r in cp.keep_languages(spark, docs, SF).collect()) == [0, 1]
+
+
+def test_language_stage_returns_the_documents_own_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", "doc_id * 2 AS score", "concat('x', doc_id) AS lang_pred")
+    out = cp.keep_languages(spark, docs, SF).collect()
+    assert out and all(r["score"] == 2 * r["doc_id"] and r["lang_pred"] == f"x{r['doc_id']}" for r in out)
