@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspark.llm import language, minhash, mixing, packing, secrets
+from fleetspark.llm.frames import row_hash, text_mark
 from fleetspark.llm.queries import tokenizer_path
 from fleetspark.scratch import cut, new_path
 
@@ -40,12 +41,26 @@ def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; those of smaller sources again until the tempered weights are met."""
-    uses = mixing.mix(docs, max_repeats=MAX_REPEATS).groupBy(F.col("doc_id").alias("_id"))
-    uses = uses.agg(F.expr("count_if(block > 1) div count_if(block = 1)").cast("int").alias("_more")).filter("_more > 0")
-    both = docs.join(uses, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    """Every document at least once; those of smaller sources again until the tempered weights are met.
+
+    Uses are counted for rows that agree in all columns. Each row is used as often as the count divides; what is left over goes
+    to one of them.
+    """
+    mark = F.struct(text_mark(docs["text"]), row_hash(docs))
+    uses = mixing.mix(docs, max_repeats=MAX_REPEATS, carry={"_mark": mark}).groupBy(F.col("doc_id").alias("_id"), "_mark")
+    uses = uses.agg(F.count_if(F.col("block") == 1).alias("_rows"), F.count(F.lit(1)).alias("_uses"))
+    uses = uses.select("_id", "_mark", F.expr("_uses div _rows - 1").cast("int").alias("_more"), F.expr("_uses % _rows").cast("int").alias("_over"))
+    uses = cut(uses.filter("_more > 0 OR _over > 0"))
+    same, columns = docs["doc_id"].eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), [docs[f"`{c}`"] for c in docs.columns]
     times = F.sequence(F.lit(0), F.coalesce("_more", F.lit(0)))
-    return both.withColumn("_use", F.explode(times)).select(*[docs[f"`{c}`"] for c in docs.columns])
+    out = docs.join(uses, same, "left").withColumn("_use", F.explode(times)).select(*columns)
+    over = uses.filter("_over > 0")
+    count = over.count()
+    if count:
+        over = F.broadcast(over) if count <= minhash.FEW_IDS else over
+        one = docs.join(over, same).groupBy("_id", "_mark").agg(F.any_value(F.struct(*columns)).alias("_row"), F.max("_over").alias("_over"))
+        out = out.unionByName(one.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_over")))).select("_row.*"))
+    return out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,7 +74,8 @@ def temperature(sources: DataFrame, max_repeats: float | None = None, target_ent
 
 
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None,
-        seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+        seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per use of a document: id, ``source``, ``n_tokens``, ``block`` (from 1), ``slot`` (place in the block, from 0),
     ``blocks`` (uses of the source, a fraction), ``weight`` of the source.
 
@@ -83,10 +84,12 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     tokens fit the rest. See ``temperature`` for the weights.
 
     Null sources are a source of their own; null or empty texts weigh one token; null and equal ids take part, rows equal in
-    id, source and tokens are interchangeable. An empty table gives an empty one. Columns only, no Python on the executors.
+    id, source and tokens are interchangeable. ``carry`` adds columns of the document by name; they break these ties. An empty
+    table gives an empty one. Columns only, no Python on the executors.
     """
+    carry = carry or {}
     rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), group_key(docs[source_col]).alias("_s"),
-                           (n_words(docs[text_col]) + 1).alias("n_tokens")))
+                           (n_words(docs[text_col]) + 1).alias("n_tokens"), *[c.alias(n) for n, c in carry.items()]))
     sources = cut(rows.groupBy("_s").agg(F.sum("n_tokens").alias("tokens")))
     exponent, spent = temperature(sources, max_repeats, target_entropy, budget)
     raw = F.pow(F.col("tokens").cast("double"), F.lit(exponent))
@@ -96,7 +99,7 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     uses = uses.withColumn("block", F.explode(F.expr("CASE WHEN _last > 0 THEN sequence(1, _last) ELSE array() END")))
     uses = uses.withColumn("_g", F.concat_ws("|", F.col("block").cast("string"), "_s"))
     uses = uses.withColumn("_u", draw(seed, F.col("block"), F.col("id")))
-    ranked = rank_in_groups(uses, "_g", "_u", ["id", "n_tokens"], weight="n_tokens")
+    ranked = rank_in_groups(uses, "_g", "_u", ["id", "n_tokens", *carry], weight="n_tokens")
     fits = (F.col("block") - 1) * F.col("tokens") + F.col("_upto") <= F.col("_b")
     return ranked.filter(fits).select(F.col("id").alias(id_col), "source", "n_tokens", F.col("block").cast("long").alias("block"),
-                                      F.col("_rank").alias("slot"), (F.col("_b") / F.col("tokens")).alias("blocks"), "weight")
+                                      F.col("_rank").alias("slot"), (F.col("_b") / F.col("tokens")).alias("blocks"), "weight", *carry)

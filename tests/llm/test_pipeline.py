@@ -9,7 +9,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from fleetspark.llm import language, secrets
+from fleetspark.llm import language, mixing, secrets
 from fleetspark.llm.queries import tokenizer_path
 
 from .conftest import prose
@@ -102,3 +102,16 @@ def test_language_stage_returns_the_documents_own_columns(spark):
     docs = docs.selectExpr("*", "doc_id * 2 AS score", "concat('x', doc_id) AS lang_pred")
     out = cp.keep_languages(spark, docs, SF).collect()
     assert out and all(r["score"] == 2 * r["doc_id"] and r["lang_pred"] == f"x{r['doc_id']}" for r in out)
+
+
+def test_mixture_takes_effect_for_repeated_and_null_ids(spark, frame):
+    """Uses of (id, source, tokens) are those that the mixture decided."""
+    rows = [(i, prose(100 + i, 80), "en", "big") for i in range(12)] + [(50, prose(90, 10), "en", "big")] * 2
+    rows += [(None, prose(130 + i, 20 + i), "en", "small") for i in range(7)] + [(50, prose(91, 9 + i), "en", "small") for i in range(4)]
+    rows += [(60, prose(92, 8), "en", "small")] * 3 + [(None, prose(93, 8), "en", None)] * 5
+    docs = frame(rows)
+    want = collections.Counter((r["doc_id"], r["source"], r["n_tokens"]) for r in mixing.mix(docs, max_repeats=cp.MAX_REPEATS).collect())
+    out = cp.mix_sources(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["source"], len(r["text"].split()) + 1) for r in out.collect())
+    assert got == want and max(want.values()) > 1 and set(got) == {(r[0], r[3], len(r[1].split()) + 1) for r in rows}
