@@ -88,13 +88,19 @@ def fit_class_probabilities(train: DataFrame, test: DataFrame, cols: list[str],
 
 def fit_regressor_by_folds(train: DataFrame, test: DataFrame, cols: list[str], label: str, fold: str, cap: float,
                            grid: dict[str, list] | None = None, out: str = "pred") -> DataFrame:
-    """Boosted regressor on a capped label, parameters chosen over whole-tool folds, predictions clipped to [0, cap]."""
+    """Boosted regressor on a capped label, parameters chosen over whole-tool folds, predictions clipped to [0, cap].
+
+    Without any label the predictions are null.
+    """
     data = _assembled(train.filter(F.col(label).isNotNull()).withColumns({label: F.least(F.col(label), F.lit(float(cap))), fold: F.col(fold).cast("int")}), cols)
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=10, maxDepth=3, seed=SEED, predictionCol=out)
     pg = ParamGridBuilder()
     for name, values in (grid or {"maxDepth": [2, 3]}).items():
         pg = pg.addGrid(getattr(gbt, name), values)
-    k = data.agg(F.max(fold)).head()[0] + 1  # one number
+    last = data.agg(F.max(fold)).head()[0]  # one number
+    if last is None:
+        return test.withColumn(out, F.lit(None).cast("double"))
+    k = last + 1
     cv = CrossValidator(estimator=gbt, estimatorParamMaps=pg.build(), numFolds=k, foldCol=fold, seed=SEED,
                         evaluator=RegressionEvaluator(labelCol=label, predictionCol=out, metricName="mae"))
     x = cv.fit(data).transform(_assembled(test, cols))

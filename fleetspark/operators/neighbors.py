@@ -337,36 +337,44 @@ def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state
 
 
 def weighted_state_regressor(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, scales: list[float],
-                             ks: list[int], rows: int | None = None) -> DataFrame:
-    """Distance-weighted nearest-state prediction with column scales and k chosen greedily by leave-one-out error per key.
+                             ks: list[int], rows: int | None = None, passes: int = 2) -> DataFrame:
+    """Distance-weighted nearest-state prediction with column scales and k chosen greedily by leave-one-out error over all keys.
 
-    Columns are rescaled one at a time, keeping a change only if it lowers the candidates' leave-one-out error.
+    Columns start at one deviation and the second of ``ks``. In each pass every column in turn takes the scale with the least
+    leave-one-out error of the candidates, then k does; a change must lower the error. All scales of a column and all k are scored in
+    one job, under the scale's number as a further key.
     """
     std = cands.agg(*[F.greatest(F.stddev_samp(c), F.lit(1e-9)).alias(c) for c in state]).head()  # one row of scales
-    best = {c: 1.0 / float(std[c]) for c in state}
 
-    def predict(q, c, factor, k):
-        scaled = lambda df: df.withColumns({s: F.col(s) * F.lit(factor[s]) for s in state})
+    def scaled(df: DataFrame, factors: list[dict[str, float]]) -> DataFrame:
+        trials = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(f[c] / float(std[c])).alias(c) for c in state]) for i, f in enumerate(factors)])
+        x = df.withColumn("_f", F.explode(trials))
+        return x.withColumns({c: F.col(c) * F.col(f"_f.{c}") for c in state} | {"_trial": F.col("_f.i")}).drop("_f")
+
+    def neighbors(df: DataFrame, factors: list[dict[str, float]], k: int) -> DataFrame:
+        spread = sorted(state, key=lambda c: -min(f[c] for f in factors))  # cells are cut on the first columns, so not on flat ones
+        return state_neighbors(scaled(df, factors), scaled(cands, factors), [*keys, "_trial"], spread, tie, y, k, rows)
+
+    def predicted(k: int) -> Column:
         near = F.slice("_state", 1, k)
         w = lambda s: 1.0 / (s["d"] + 1e-3)
         num = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s) * s["y"])
         den = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s))
-        x = state_neighbors(scaled(q), scaled(c), keys, state, tie, y, k, rows)
-        return x.withColumn("pred", F.when(F.size(near) > 0, num / den))
-
-    def loss(factor, k):
-        e = F.col("pred") - F.col(y)
-        return predict(cands, cands, factor, k).agg(F.avg(e * e)).head()[0]  # one number
-
-    k, score = ks[0], None
-    for trial in ks:
-        s = loss(best, trial)
-        if score is None or s < score:
-            k, score = trial, s
-    for c in state:
-        for f in scales:
-            trial = {**best, c: best[c] * f}
-            s = loss(trial, k)
-            if s < score:
-                best, score = trial, s
-    return predict(queries, cands, best, k).select(*keys, tie, y, "pred")
+        return F.when(F.size(near) > 0, num / den)
+
+    def losses(factors: list[dict[str, float]]) -> list[dict[int, float]]:
+        e = {k: predicted(k) - F.col(y) for k in ks}
+        per = neighbors(cands, factors, max(ks)).groupBy("_trial").agg(*[F.avg(e[k] * e[k]).alias(f"k{k}") for k in ks]).collect()  # one row a scale
+        found = {r["_trial"]: {k: r[f"k{k}"] if r[f"k{k}"] is not None else float("inf") for k in ks} for r in per}
+        return [found.get(i, dict.fromkeys(ks, float("inf"))) for i in range(len(factors))]
+
+    best, k, now = dict.fromkeys(state, 1.0), ks[min(1, len(ks) - 1)], None
+    for _ in range(passes):
+        for c in state:
+            trials = [best] * (now is None) + [{**best, c: float(s)} for s in scales if s != best[c]]
+            for trial, score in zip(trials, losses(trials) if trials else []):
+                if now is None or score[k] < now[k] - 1e-9:
+                    best, now = trial, score
+        for other in ks:
+            k = other if now[other] < now[k] - 1e-9 else k
+    return neighbors(queries, [best], k).select(*keys, tie, y, predicted(k).alias("pred"))

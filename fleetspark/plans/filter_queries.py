@@ -86,17 +86,21 @@ def _(spark, sf):
     return smooth(spark, sf).select("run_id", "fwd", "level", "level_var")
 
 
+# All noise ratios that are tried: variance an hour of pause, and a jump over a long one.
+QH_GRID, QJ_GRID = [0.003, 0.01, 0.03, 0.1, 0.3, 1.0], [0.0, 0.1, 0.3, 1.0, 3.0]
+
+
 @query("noise_ratio_selection")
 def _(spark, sf):
     df = labels(spark, sf)
-    return FL.select_noise(df.filter("t_end < 36000000"), df, ["regime"], "t_end", "run_id", "y", [0.05, 0.5], [0.0, 0.5], 18000.0, regime_rows(spark, sf))
+    return FL.select_noise(df.filter("t_end < 36000000"), df, ["regime"], "t_end", "run_id", "y", QH_GRID, QJ_GRID, 18000.0, regime_rows(spark, sf))
 
 
 @query("noise_ratio_likelihood")
 def _(spark, sf):
     r = regime_rows(spark, sf)
     keys = ["regime", "qh", "qj"]
-    f = FL.local_level(FL.noise_grid(labels(spark, sf), [0.05, 0.2, 1.0], [0.0, 0.5]), keys, "t_end", "run_id", "y", F.col("qh"), F.col("qj"), r)
+    f = FL.local_level(FL.noise_grid(labels(spark, sf), QH_GRID, QJ_GRID), keys, "t_end", "run_id", "y", F.col("qh"), F.col("qj"), r)
     ll = FL.likelihood(f, keys, "t_end", "run_id", "y", F.col("qh"), F.col("qj"), r)
     return ll.groupBy("regime").agg(F.max_by(F.struct("qh", "qj", "noise", "loglik", "n"), "loglik").alias("b")).select("regime", "b.*")
 

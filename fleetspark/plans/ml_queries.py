@@ -17,9 +17,12 @@ from .neighbor_queries import NOLAG, regime_rows
 from ..scratch import cut
 from .registry import query
 from .telemetry_queries import tool_rows, ttf
-from .views import REGIMES, runs, sql
+from .views import FAULTS, REGIMES, runs, sql
 
 X = ["s1", "s2", "recipe_step", "runnum"]
+TTF_GRID = {"maxDepth": [2, 3], "stepSize": [0.05, 0.1]}
+#: Column scales, neighbour counts and state columns of the nearest-state search.
+SCALES, KS, STATE = [0.0, 0.5, 1.0, 2.0, 4.0], [3, 5, 10], ["hours", "usage", "pad", "film", "duration"]
 
 
 def split_rows(spark, sf):
@@ -37,8 +40,10 @@ def _(spark, sf):
 @query("ttf_regressor_by_tool_folds")
 def _(spark, sf):
     train, val = split_rows(spark, sf)
-    train = FO.group_kfold(train, "tool", 3)
-    return ml.fit_regressor_by_folds(train, val, X, "ttf_0", "fold", 259200.0, {"maxDepth": [2]}).select("tool", "id", "pred")
+    train, out = cut(FO.group_kfold(train, "tool", 3)), cut(val)
+    for k in FAULTS:
+        out = ml.fit_regressor_by_folds(train, out, X, f"ttf_{k}", "fold", 259200.0, TTF_GRID, f"pred_{k}")
+    return out.select("tool", "id", *[f"pred_{k}" for k in FAULTS])
 
 
 @query("feature_importance")
@@ -121,5 +126,5 @@ def _(spark, sf):
 @query("weighted_state_regressor")
 def _(spark, sf):
     from ..operators.neighbors import weighted_state_regressor
-    df = runs(spark, sf)
-    return weighted_state_regressor(df, df.filter("is_ref"), ["regime"], ["usage", "pad"], "run_id", "y", [2.0], [5], regime_rows(spark, sf))
+    df = cut(runs(spark, sf).withColumn("hours", F.col("t_start") / 3600))
+    return weighted_state_regressor(df, df.filter("is_ref"), ["regime"], STATE, "run_id", "y", SCALES, KS, regime_rows(spark, sf))
