@@ -32,9 +32,16 @@ FROM t LEFT JOIN j USING (doc_id)"""
 
 
 
+_STEP = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+_BYTES = "SELECT i, 0 AS k, i AS c FROM range(0, 256) t(i) UNION ALL SELECT i, k + 1, " + _STEP.format(c="c") + " FROM byte WHERE k < 8"
+#: crc32 of the text of column ``key``, with the table ``crc`` joined in.
+_HEX = "hex(encode(key))"
+_CRC = (f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({_HEX}), 2), lambda i: ('0x' || ({_HEX})[i:i + 1])::BIGINT)), "
+        "lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1])), 4294967295)")
+
+
 def shards(draw: str) -> str:
-    step = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
-    rows = "SELECT i, 0 AS k, i AS c FROM range(0, 256) t(i) UNION ALL SELECT i, k + 1, " + step.format(c="c") + " FROM byte WHERE k < 8"
+    rows = _BYTES
     return f"""
 WITH RECURSIVE byte AS ({rows}),
 crc AS (SELECT list(c ORDER BY i) AS tab FROM byte WHERE k = 8),
@@ -91,3 +98,43 @@ proven AS (SELECT s, rule, arg_min(cutoff, i) AS cutoff FROM tests WHERE k < {ru
 v AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {failed} AS failed FROM fl LEFT JOIN proven USING (s)
   GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed)
 SELECT *, NOT base_failed AND failed = '' AS kept FROM v"""
+
+
+def conversations() -> str:
+    """Cells are strings: six digits of cost, then the audit, so that ``least`` takes the cheapest and of these the ASCII-least."""
+    add = lambda cell, cost, letter: f"lpad((left({cell}, 6)::INT + {cost})::VARCHAR, 6, '0') || '{letter}' || substr({cell}, 7)"
+    legal = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    free = {0: 2, 1: 2, 2: 3, 3: 2}
+    plain = []
+    for state, following in legal.items():
+        keep = " ".join(f"WHEN ini = '{i}' THEN {add(f'c{n}', 'extra', 'K')}" for i, n in following.items())
+        plain.append(f"""least({add(f'c{state}', 4, 'D')}, CASE WHEN fault IN (1, 2) THEN '900000' {keep} ELSE '900000' END,
+  CASE WHEN fault IN (1, 2) THEN '900000' ELSE {add(f'c{free[state]}', '3 + extra', 'R')} END) AS p{state}""")
+    role = "CASE state WHEN 2 THEN 'assistant' ELSE 'user' END"
+    after = "CASE WHEN ini = 's' THEN 1 WHEN ini = 'u' THEN 2 ELSE 3 END"
+    return f"""
+WITH RECURSIVE byte AS ({_BYTES}), crc AS (SELECT list(c ORDER BY i) AS tab FROM byte WHERE k = 8),
+k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS h FROM k, crc),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 1 WHEN seen > 1 THEN 2
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d)),
+x AS (SELECT *, CASE fault WHEN 3 THEN 3 ELSE 0 END AS extra, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o),
+r AS (SELECT DISTINCT conv_id, n + 1 AS i, '000000' AS c0, '000006II' AS c1, '000003I' AS c2, '000000' AS c3 FROM x
+  UNION ALL SELECT conv_id, i, least(p0, {add(f"least(p2, {add('p3', 3, 'I')})", 3, 'I')}), least(p1, {add(f"least(p2, {add('p3', 3, 'I')})", 3, 'I')}),
+    least(p2, {add('p3', 3, 'I')}), least(p3, {add('p2', 3, 'I')})
+  FROM (SELECT x.conv_id, x.i, {', '.join(plain)} FROM r JOIN x ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.i = r.i - 1)),
+best AS (SELECT conv_id, left(c0, 6)::BIGINT AS cost, substr(c0, 7) AS audit FROM r WHERE i = 1),
+f AS (SELECT conv_id, audit, 1 AS spot, 1 AS i, 0 AS state, []::VARCHAR[] AS lines FROM best
+  UNION ALL SELECT f.conv_id, audit, spot + 1, CASE e WHEN 'I' THEN f.i ELSE f.i + 1 END,
+    CASE e WHEN 'D' THEN state WHEN 'K' THEN {after} ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END,
+    CASE e WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, {role} || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, {role} || ':' || text) END
+  FROM (SELECT *, substr(audit, spot, 1) AS e FROM f WHERE spot <= len(audit)) f LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM f.conv_id AND x.i = f.i),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND spot = len(f.audit) + 1"""

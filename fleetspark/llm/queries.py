@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_path
-from . import language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spotsigs
+from ..scratch import cut, new_path
+from . import conversations, language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spotsigs
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -115,3 +115,9 @@ def blob_ledger_secrets(spark, sf):
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return out.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
                       text(F.col("spans")).alias("spans"))
+
+
+@query("op12_dawg_conversation_repair", oracles.conversations())
+def dawg_conversation_repair(spark, sf):
+    turns = conversations.damage(spark.read.parquet(f"{sf}/conversations.parquet"), conversations.turn_key())
+    return conversations.digests(turns, cut(conversations.repair(turns))).drop("signature")
