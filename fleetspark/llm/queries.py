@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut, new_path
-from . import conversations, language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spotsigs
+from . import conversations, language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spelling, spotsigs
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -121,3 +121,8 @@ def blob_ledger_secrets(spark, sf):
 def dawg_conversation_repair(spark, sf):
     turns = conversations.damage(spark.read.parquet(f"{sf}/conversations.parquet"), conversations.turn_key())
     return conversations.digests(turns, cut(conversations.repair(turns))).drop("signature")
+
+
+@query("op11_letter_count_variants", oracles.SPELLING)
+def letter_count_variants(spark, sf):
+    return spelling.variants(documents(spark, sf))
