@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut, new_path
-from . import conversations, language, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spelling, spotsigs
+from . import conversations, language, lm, minhash, mixing, oracles, packing, repeats, resample, rules, secrets, shards, spelling, spotsigs
 from .frames import utf8_size
 
 QUERIES, ORACLES = {}, {}
@@ -126,3 +126,10 @@ def dawg_conversation_repair(spark, sf):
 @query("op11_letter_count_variants", oracles.SPELLING)
 def letter_count_variants(spark, sf):
     return spelling.variants(documents(spark, sf))
+
+
+@query("op13_pitman_yor_scores")
+def pitman_yor_scores(spark, sf):
+    d = documents(spark, sf)
+    out = lm.score(d, F.crc32(F.coalesce(d.doc_id.cast("string"), F.lit("")).cast("binary")) % 5 != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
