@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,8 @@ from ..scratch import cut
 from . import caches
 from .frames import draw, rank_in_groups
 
-#: Entries that a worker's word cache holds before it starts anew.
-CACHE_WORDS = 700_000
+#: Entries of a generation of a worker's caches; two generations are held.
+CACHE_WORDS, CACHE_PIECES = 90_000, 50_000
 #: Characters for which lower case and composed form are plain: no combining marks, no special cases.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-įı-ɏ]+")
 
@@ -37,7 +38,7 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(end_of_word)]] = True
-        self.words, self.pieces = {}, {}
+        self.words, self.pieces = Generations(CACHE_WORDS), Generations(CACHE_PIECES)
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Fill the cache for all these at once."""
@@ -48,7 +49,7 @@ class WordIds:
                 plain[c] = self.parts.findall(text.lower())
             else:
                 other.append((c, text))
-        new = list({p for ps in plain.values() for p in ps if p not in self.pieces})
+        new = self.pieces.missing({p for ps in plain.values() for p in ps})
         batches = [new[i:i + 50] for i in range(0, len(new), 50)]
         for batch, e in zip(batches, self.tokenizer.encode_batch_fast([" ".join(b) for b in batches], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -67,18 +68,41 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         split = [t.split() for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        known = self.words
-        new = set().union(*split).difference(known)
+        needed = set().union(*split)
+        if len(needed) > CACHE_WORDS and len(texts) > 1:
+            half = len(texts) // 2
+            return self.encode(texts[:half]) + self.encode(texts[half:])
+        new = self.words.missing(needed)
         if new:
             self._learn(new)
-        get = known.__getitem__
+        get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
 
+class Generations(dict):
+    """A cache that turns into the old generation when it is full; what is asked for again comes back from there."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that neither generation has; the others, and room for these, are in the new one afterwards."""
+        ask = keys.difference(self)
+        if len(self) + len(ask) > self.most:
+            self.old = dict(self)
+            super().clear()
+            ask = keys
+        back = ask & self.old.keys()
+        for k in back:
+            self[k] = self.old[k]
+        return list(ask - back)
+
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
+
 _LOADED: dict[str, WordIds] = caches.held("tokens", {})
 
 
@@ -89,8 +113,9 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
-    """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``ids`` (binary, little-endian unsigned 32-bit).
+              text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``, and with ``with_ids`` its ``ids`` (binary, little-endian
+    unsigned 32-bit).
 
     A document is its token ids and ``end_id``; only one longer than ``capacity`` is cut, into full pieces and a rest. Null and
     empty texts are the end id alone. Batches are small, so memory follows the longest text, not the table.
@@ -103,17 +128,20 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                row, piece, start, length, ids = [], [], [], [], []
+                row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, raw in enumerate(coder.encode([t or b"" for t in batch.column(1).to_pylist()])):
                     raw += end
                     for k, s in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[s:s + 4 * capacity]
-                        row.append(i), piece.append(k), start.append(s // 4), length.append(len(part) // 4), ids.append(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                                                  pa.array(length, pa.int64()), pa.array(ids, pa.binary())], names=["id", "piece", "start", "length", "ids"])
+                        row.append(i), piece.append(k), start.append(s // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                        if with_ids:
+                            ids.append(part)
+                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names=names)
 
+    names = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     cols = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
-    return cols.mapInArrow(pieces, f"id {kind.simpleString()}, piece int, start long, length long, ids binary")
+    return cols.mapInArrow(pieces, f"id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def minimum_slack(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -197,8 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     Sequences hold at most ``capacity`` tokens and are as full as the lengths allow. Null and empty texts are one end id;
     null ids, equal ids and repeated rows are packed row by row (among equal ones the places are interchangeable); an
-    empty table gives an empty one. ``with_ids=False`` leaves the ids in the stored stage and carries only their checksum.
+    empty table gives an empty one. ``with_ids=False`` makes only the checksums of the ids.
     """
-    stage = cut(tokenized(docs, tokenizer, capacity, end_id, id_col, text_col))
-    out = stage.select("id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else []))
-    return place(out, capacity).withColumnRenamed("id", id_col)
+    stage = cut(tokenized(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids))
+    return place(stage, capacity).withColumnRenamed("id", id_col)
