@@ -12,6 +12,12 @@ from fleetspark.scratch import cut, new_path
 
 #: A document goes if no language reaches this mean probability (or it has no letters); sources are repeated so many times at most.
 LEAST_SCORE, MAX_REPEATS = 0.35, 1.25
+#: Rows that a batch between Spark and Python holds: texts can be long, so fewer than Spark's ten thousand.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +25,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Where there are no such labels there is no network, and every document that has a letter stays.
     """
+    small_batches(spark)
     network = language.train(docs)
     if network is None:
         return docs.filter(language.has_letters(docs["text"]))
@@ -29,11 +36,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
+    small_batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced; ``n_chars`` follows the text."""
+    small_batches(spark)
     out = secrets.redacted(docs, secrets.scan(docs, new_path(spark, "ledger")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -65,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their place in a sequence."""
+    small_batches(spark)
     out = packing.pack(docs, tokenizer_path(), 2048, with_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
