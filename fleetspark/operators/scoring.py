@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ACTION_LAST, ACTION_STEP, penalty_final, penalty_first, penalty_second, ttf_class
@@ -48,14 +48,32 @@ def action_grid(last: int = ACTION_LAST, step: int = ACTION_STEP) -> list[float
 def cost_matrix(df: DataFrame, ttf: str, weight: str, actions: list[float | None]) -> DataFrame:
     """Exact weighted mean penalty of every (true class, action): (``cls``, ``a``, ``action``, ``cost``).
 
-    Labels are first summed by value. One aggregate then keeps a weighted sum per action of the fixed grid for each class, so no
-    row is multiplied and the shuffle moves one row per class and task.
+    The answers must be evenly spaced, null first. For a label g and an answer a the penalty is a square and exp(-g/1000)|g - a|, so moments
+    of the labels below and above a are all it takes. Labels are summed by class and cell of the grid, map-side first: one shuffle of at
+    most classes x cells rows; prefix sums over the cells then give the cost of every answer.
     """
-    per_label = df.groupBy(ttf_class(ttf).alias("cls"), F.col(ttf).alias("_gt")).agg(F.sum(weight).alias("_w"))
-    grid = [F.lit(a).cast("double") for a in actions]
-    sums = per_label.groupBy("cls").agg(F.sum("_w").alias("_total"), *[F.sum(F.col("_w") * penalty_final("_gt", a)).alias(f"_s{i}") for i, a in enumerate(grid)])
-    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("a"), a.alias("action"), F.col(f"_s{i}").alias("s")) for i, a in enumerate(grid)])
-    return sums.select("cls", "_total", F.explode(rows).alias("r")).select("cls", "r.a", "r.action", F.try_divide(F.col("r.s"), F.col("_total")).alias("cost"))
+    grid = [float(a) for a in actions if a is not None]
+    step = grid[1] - grid[0]
+    if actions[0] is not None or any(abs(a - grid[0] - i * step) > 1e-9 for i, a in enumerate(grid)):
+        raise ValueError("answers must be null and then evenly spaced")
+    n, g, w = len(grid), F.col(ttf), F.col(weight)
+    # Cell i holds labels from answer i to the next one; 0 those below all answers, the last those from the last answer on.
+    cell = F.when(g.isNotNull(), F.least(F.greatest(F.floor((g - grid[0]) / step) + 1, F.lit(0)), F.lit(n))).cast("int")
+    damp = w * F.exp(-g / 1000)
+    known = w * F.when(g.isNotNull(), 1.0).otherwise(0.0)
+    sums = {"w": w, "miss": w - known, "null": w * penalty_final(ttf, F.lit(None).cast("double")), "s0": known, "s1": known * g, "s2": known * g * g, "e0": damp, "e1": damp * g}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    cells = df.groupBy(ttf_class(ttf).alias("cls"), cell.alias("_c")).agg(*[zero(F.sum(c)).alias(f"_{k}") for k, c in sums.items()])
+    below = F.map_from_entries(F.collect_list(F.when(F.col("_c").isNotNull(), F.struct("_c", F.struct("_e0", "_e1").alias("e")))))
+    per = cells.groupBy("cls").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums], below.alias("_m"))  # at most as many cells as answers in one row
+    dense = per.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("_e", F.element_at("_m", F.col("a") - 1)).drop("_m")
+    upto = Window.partitionBy("cls").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    low0, low1 = F.sum(zero(F.col("_e._e0"))).over(upto), F.sum(zero(F.col("_e._e1"))).over(upto)
+    x = F.get(F.array(*[F.lit(v).cast("double") for v in actions]), F.col("a"))
+    first = x * (2 * low0 - F.col("_e0")) - (2 * low1 - F.col("_e1"))
+    second = 0.1 * (F.col("_s2") - 2 * x * F.col("_s1") + x * x * F.col("_s0"))
+    total = F.when(x.isNull(), F.col("_null")).otherwise((first + second) / 2 + F.col("_miss") * penalty_final(F.lit(None).cast("double"), x))
+    return dense.select("cls", F.col("a").cast("long").alias("a"), x.alias("action"), F.try_divide(total, F.col("_w")).alias("cost"))
 
 
 def cost_arrays(costs: DataFrame, classes: int) -> DataFrame:

@@ -238,10 +238,15 @@ def _(spark, sf):
 
 
 # -- bootstrap ----------------------------------------------------------------------------------------
+_SHIFT = "xor(z, z // {d}::UHUGEINT)"
+_ROUND = "((" + _SHIFT.format(d=2**30) + ") * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT"
 BOOT_SQL = f"""{M}, e AS (SELECT wafer AS blk, pow(pa - y, 2) AS en, pow(pb - y, 2) AS eo FROM mem),
-  bl AS (SELECT row_number() OVER (ORDER BY blk) - 1 AS k, sum(en) AS sn, sum(eo) AS so, count(*) AS c FROM e GROUP BY blk),
-  dr AS (SELECT bl.*, rep, len(list_filter({BS.POISSON}, lambda p: CAST('0x' || substr(md5(concat_ws('_', rep, k, 'boot')), 1, 8) AS BIGINT) / 4294967296.0 >= p)) AS w FROM bl, range(0, 200) r(rep)),
-  rp AS (SELECT rep, sum(w*sn)/sum(w*c) AS m_new, sum(w*so)/sum(w*c) AS m_old FROM dr GROUP BY rep)"""
+  bl AS MATERIALIZED (SELECT CAST('0x' || substr(md5(blk || '_boot'), 1, 16) AS UBIGINT)::UHUGEINT AS k, sum(en) AS sn, sum(eo) AS so, count(*) AS c FROM e GROUP BY blk),
+  z0 AS (SELECT bl.*, rep, xor(k, ((rep + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT) AS z FROM bl, range(0, 200) r(rep)),
+  z1 AS (SELECT * REPLACE ({_ROUND.format(m=BS.MIX[0])} AS z) FROM z0), z2 AS (SELECT * REPLACE ({_ROUND.format(m=BS.MIX[1])} AS z) FROM z1),
+  z3 AS (SELECT * REPLACE ({_SHIFT.format(d=2**31)} AS z) FROM z2),
+  dr AS (SELECT rep, sn, so, c, {' + '.join(f'(u >= {p!r})::INT' for p in BS.POISSON)} AS w FROM (SELECT *, (z // 2048::UHUGEINT)::BIGINT / 9007199254740992.0::DOUBLE AS u FROM z3)),
+  rp AS MATERIALIZED (SELECT rep, sum(w*sn)/sum(w*c) AS m_new, sum(w*so)/sum(w*c) AS m_old FROM dr GROUP BY rep)"""
 
 
 @query("bootstrap_replicates", sql("runs", f"+{BOOT_SQL}, res AS (SELECT rep, m_new, m_old, m_new - m_old AS delta FROM rp)", "rep", "m_new m_old delta"))
