@@ -17,7 +17,7 @@ from . import caches
 from .frames import draw, rank_in_groups
 
 #: Entries of a generation of a worker's caches; two generations are held.
-CACHE_WORDS, CACHE_PIECES = 160_000, 90_000
+CACHE_WORDS, CACHE_PIECES = 350_000, 200_000
 #: Characters for which lower case and composed form are plain: no combining marks, no special cases.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-įı-ɏ]+")
 
@@ -126,8 +126,8 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
         caches.only("tokens")
         coder, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, raw in enumerate(coder.encode([t or b"" for t in batch.column(1).to_pylist()])):
                     raw += end
