@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -107,6 +108,36 @@ def fit_regressor_by_folds(train: DataFrame, test: DataFrame, cols: list[str], l
     return _tidy(x.withColumn(out, F.least(F.greatest(F.col(out), F.lit(0.0)), F.lit(float(cap)))), cols)
 
 
+# -- saved models -----------------------------------------------------------------------------------------
+def fit_saved(train: DataFrame, cols: list[str], label: str, cap: float, path: str, out: str = "pred", iters: int = 10, depth: int = 3) -> list[str]:
+    """Fit a boosted regressor on a capped label and save it whole: medians for nulls, assembly, trees, clip to [0, cap].
+
+    Everything that scoring needs is in the saved pipeline, so a later session needs only its path. Columns that are null in all
+    labelled rows are left out; returns those used. Without any label nothing can be fitted.
+    """
+    data = train.filter(F.col(label).isNotNull()).withColumns({c: F.col(c).cast("double") for c in cols} | {label: F.least(F.col(label), F.lit(float(cap)))})
+    counts = data.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in cols]).head()  # one row of counts
+    live = [c for c in cols if counts[c] > 0]
+    if not counts["_n"] or not live:
+        raise ValueError(f"no labelled row for {label}")
+    filled = [f"{out}_in_{c}" for c in live]
+    keep = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{f}`" for c, f in zip(live, filled)) + " FROM __THIS__")
+    stages = [keep, Imputer(strategy="median", inputCols=filled, outputCols=[f"{f}_full" for f in filled]),
+              VectorAssembler(inputCols=[f"{f}_full" for f in filled], outputCol=f"{out}_features"),
+              GBTRegressor(featuresCol=f"{out}_features", labelCol=label, predictionCol=f"{out}_raw", maxIter=iters, maxDepth=depth, seed=SEED),
+              SQLTransformer(statement=f"SELECT *, least(greatest(`{out}_raw`, 0.0D), {float(cap)}D) AS `{out}` FROM __THIS__")]
+    Pipeline(stages=stages).fit(data).write().overwrite().save(path)
+    return live
+
+
+def score_saved(df: DataFrame, path: str) -> DataFrame:
+    """``df`` and the prediction of the pipeline saved at ``path``; nothing is fitted."""
+    model = PipelineModel.load(path)
+    out = model.stages[-2].getPredictionCol().removesuffix("_raw")
+    kept = [c for c in df.columns if c != out]
+    return model.transform(df.select(*[f"`{c}`" for c in kept])).select(*[f"`{c}`" for c in kept], out)
+
+
 def importances(train: DataFrame, cols: list[str], label: str, weight: str | None = None, share: float = 1.0, iters: int = 10) -> DataFrame:
     """Gain share per column of a short boosted classifier on a sample of the rows, largest first."""
     data = train if share >= 1 else train.sample(share, seed=SEED)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .asof import asof, mean_of, nearest_k, recent_lists
 from .ordered import WHOLE, Ordered, join_keys
+from .statesearch import state_neighbors
 
 HOUR = 3600.0
 #: Order of the series in cell moments: with cells of half a width it is exact to rounding.
@@ -267,75 +268,6 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
 
 
 # -- nearest in state space ------------------------------------------------------------------------
-def _morton(cols: list[Column], bits: int = 16) -> Column:
-    """Interleave the bits of up to three small integers into one sortable code."""
-    out = F.lit(0).cast("bigint")
-    for b in range(bits):
-        for d, c in enumerate(cols):
-            out = out + F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint")), len(cols) * b + d)
-    return out
-
-
-def state_neighbors(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, k: int,
-                    rows: int | None = None) -> DataFrame:
-    """Queries plus ``_state``: the ``k`` nearest candidates in Euclidean state space as (d, id, y), self excluded; exact.
-
-    1. Equal states are merged, so copies of one state never pair with each other.
-    2. Neighbours along a Morton curve give every point an upper bound on its k-th distance.
-    3. Points meet only in grid cells about as wide as their own bound (dense regions get fine grids), on the first
-       three state columns, and are then filtered by the full distance.
-    """
-    dims = state[:3]
-    spots = queries.select(*keys, *state).dropDuplicates()
-    ranked = Ordered(cands.select(*keys, *state, F.col(tie).alias("_id"), F.col(y).alias("_y")), [*keys, *state], "_id", rows=rows)
-    kept = ranked.running({"_r": ("count", F.lit(1))}).result().filter(F.col("_r") <= k + 1)
-    points = kept.groupBy(*keys, *state).agg(F.sort_array(F.collect_list(F.struct(F.col("_id").alias("id"), F.col("_y").alias("y")))).alias("_rows"))
-
-    ends = spots.unionByName(points.select(*keys, *state)).groupBy(*keys).agg(
-        *[f(c).alias(f"_{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))])
-
-    def coded(df):
-        cells = [F.floor((F.col(c) - F.col(f"_lo_{c}")) * 65535 / F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1e-12))) for c in dims]
-        return join_keys(df, ends, keys).withColumn("_z", _morton(cells)).drop(*[f"_{n}_{c}" for c in dims for n in ("lo", "hi")])
-
-    Q, P = coded(spots).withColumn("_q", F.lit(0)), coded(points).withColumn("_q", F.lit(0))
-    item = {c: F.col(c) for c in state}
-    near = nearest_k(Q, P.select(*keys, *state, "_z", "_q"), keys, "_z", "_q", item, k, rows)
-    dist = lambda a, b: F.sqrt(sum(((a(c) - b(c)) * (a(c) - b(c)) for c in state), F.lit(0.0)))
-    ds = F.sort_array(F.transform(F.concat("_before", "_after"), lambda s: dist(lambda c: F.col(c), lambda c: s[c])))
-    near = near.withColumn("_rad", F.greatest(F.get(ds, F.lit(k - 1)), F.lit(1e-9))).drop("_before", "_after", "_q")
-    # Level: the power of two at or above the bound; no bound means the key holds fewer than k other points.
-    near = near.withColumn("_lev", F.ceil(F.log2("_rad")).cast("int"))
-    near = cut(near)  # three consumers
-    levels = near.groupBy(*keys).agg(F.collect_set("_lev").alias("_levels"), F.max(F.when(F.col("_rad").isNull(), 1)).alias("_few"))
-    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_lev")))
-    grid = join_keys(points, levels, keys).withColumn("_lev", F.explode("_levels")).withColumn("_cell", F.array(*[cell(c) for c in dims]))
-    probe = near.filter("_rad is not null")
-    # Keep only the cells the ball reaches: sum the squared gap between the point and the cell column by column.
-    side = F.pow(F.lit(2.0), F.col("_lev"))
-    probe = probe.withColumn("_gap", F.lit(0.0))
-    for c in dims:
-        at, low = F.col(c), cell(c) * side
-        options = F.array(F.struct((cell(c) - 1).alias("g"), (at - low).alias("d")), F.struct(cell(c).alias("g"), F.lit(0.0).alias("d")),
-                          F.struct((cell(c) + 1).alias("g"), (low + side - at).alias("d")))
-        probe = probe.withColumn("_o", F.explode(options)).withColumns({
-            f"_g_{c}": F.col("_o.g"), "_gap": F.col("_gap") + F.col("_o.d") * F.col("_o.d")})
-        probe = probe.filter(F.sqrt("_gap") <= F.col("_rad") + 1e-8).drop("_o")
-    probe = probe.withColumn("_cell", F.array(*[f"_g_{c}" for c in dims])).select(*keys, *state, "_rad", "_lev", "_cell")
-    ren = {c: f"_p_{c}" for c in state}
-    hits = probe.join(grid.withColumnsRenamed(ren).select(*keys, "_lev", "_cell", "_rows", *ren.values()), [*keys, "_lev", "_cell"])
-    few = near.filter("_rad is null").select(*keys, *state, "_rad").join(
-        join_keys(points, levels.filter("_few = 1"), keys, "inner").withColumnsRenamed(ren).select(*keys, "_rows", *ren.values()), keys)
-    hits = hits.select(*few.columns).unionByName(few)
-    # Distances equal to nine places are ties and go by id.
-    hits = hits.withColumn("_d", F.round(dist(lambda c: F.col(c), lambda c: F.col(f"_p_{c}")), 9)).filter(
-        F.col("_rad").isNull() | (F.col("_d") <= F.col("_rad") + 2e-9))
-    item = F.transform("_rows", lambda r: F.struct(F.col("_d").alias("d"), r["id"].alias("id"), r["y"].alias("y")))
-    best = hits.groupBy(*keys, *state).agg(F.slice(F.sort_array(F.flatten(F.collect_list(item))), 1, k + 1).alias("_state"))
-    out = join_keys(queries, best, [*keys, *state])
-    return out.withColumn("_state", F.slice(F.filter("_state", lambda s: s["id"] != F.col(tie)), 1, k))
-
-
 def weighted_state_regressor(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, scales: list[float],
                              ks: list[int], rows: int | None = None, passes: int = 2) -> DataFrame:
     """Distance-weighted nearest-state prediction with column scales and k chosen greedily by leave-one-out error over all keys.

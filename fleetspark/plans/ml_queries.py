@@ -10,13 +10,16 @@ from ..operators import folds as FO
 from ..operators import ml
 from ..operators import scoring as SC
 from ..operators.arrivals import past_block
+from ..operators.events import operating_state
+from ..operators.rolling import rolling_stats
 from ..operators.sampling import time_split
+from ..sources.store import write_predictions
 from .blend_queries import M, MEMBERS, members
 from .filter_queries import with_lives
 from .neighbor_queries import NOLAG, regime_rows
-from ..scratch import cut
+from ..scratch import cut, new_path
 from .registry import query
-from .telemetry_queries import tool_rows, ttf
+from .telemetry_queries import GAP, ROLLS, tool_rows, ttf
 from .views import FAULTS, REGIMES, runs, sql
 
 X = ["s1", "s2", "recipe_step", "runnum"]
@@ -46,6 +49,34 @@ def _(spark, sf):
     return out.select("tool", "id", *[f"pred_{k}" for k in FAULTS])
 
 
+ROW_FEATURES = ["s1", "s2", "recipe_step", "runnum", "dt", "since_gap", "since_stop", "since_recipe_change", "since_runnum_change",
+                *[f"{c}_{s}_{n}" for c in ("s1", "s2") for n in ROLLS for s in ("mean", "std", "dev")]]
+
+
+def feature_rows(spark, sf):
+    """Row features of the telemetry with the times to the next faults and the split."""
+    rows = tool_rows(spark, sf)
+    df = operating_state(ttf(spark, sf, rows), ["tool"], "t", ["id"], ["recipe", "runnum"], {"gap": GAP, "stop": 2 * GAP})
+    df = rolling_stats(df, ["tool"], "t", ["id"], [(c, n, w) for c in ("s1", "s2") for n, w in ROLLS.items()], ("mean", "std", "dev"), rows)
+    return time_split(df, ["tool"], "t", rows=rows)
+
+
+@query("saved_model_scores")
+def _(spark, sf):
+    """Fit and save one pipeline for each fault, then load each by its path, score the later rows, write the scores and read them back."""
+    df, folder = cut(feature_rows(spark, sf)), new_path(spark, "models")
+    train, out = df.filter("NOT is_val"), df.filter("is_val")
+    for k in FAULTS:
+        if train.filter(F.col(f"ttf_{k}").isNotNull()).head(1):
+            ml.fit_saved(train, ROW_FEATURES, f"ttf_{k}", 259200.0, f"{folder}/ttf_{k}", f"pred_{k}")
+            out = ml.score_saved(out, f"{folder}/ttf_{k}")
+        else:
+            out = out.withColumn(f"pred_{k}", F.lit(None).cast("double"))
+    path = new_path(spark, "scores")
+    write_predictions(out.select("tool", "id", "t", *[f"pred_{k}" for k in FAULTS]), path, "tool", "t")
+    return spark.read.schema("id long, t double, " + ", ".join(f"pred_{k} double" for k in FAULTS) + f", tool {dict(df.dtypes)['tool']}").option("header", True).csv(path)
+
+
 @query("feature_importance")
 def _(spark, sf):
     train, _ = split_rows(spark, sf)

@@ -69,7 +69,7 @@ class ArrivedLabels(Remembering):
 
     Input rows: run_id, kind (0 label, 1 run), at (arrival or request time), t (process end), y, u. A label that arrives more than
     ``lateness`` seconds behind the newest request is reported as late and not learned, and one of a run that the policy did not
-    choose is ignored. The estimate is the mean of known labels decayed over ``half_life`` hours of process time; its width is twice
+    choose is ignored, however late it comes. The estimate is the mean of known labels decayed over ``half_life`` hours of process time; its width is twice
     the mean error of the estimates whose labels came within ``horizon`` seconds. Labels are kept for a day, or the last ten.
     """
 
@@ -81,9 +81,9 @@ class ArrivedLabels(Remembering):
         self.half_life, self.horizon, self.lateness, self.policies = half_life, horizon, lateness, policies or {}
 
     def fresh(self, key):
-        return {"labels": [], "n": 0, "sum": 0.0, "decayed": [0.0, 0.0, None], "open": {}, "errors": [0, 0.0], "newest": float("-inf")}
+        return {"labels": [], "n": 0, "sum": 0.0, "decayed": [0.0, 0.0, None], "open": {}, "kept": set(), "errors": [0, 0.0], "newest": float("-inf")}
 
-    def learn(self, s: dict, run, t: float, y: float) -> None:
+    def learn(self, s: dict, t: float, y: float, guess: float | None) -> None:
         insort(s["labels"], (t, y))
         s["n"] += 1
         s["sum"] += y
@@ -94,7 +94,6 @@ class ArrivedLabels(Remembering):
         else:
             share = 0.5 ** ((top - t) / HOUR / self.half_life)
             s["decayed"] = [weight + share, total + share * y, top]
-        guess = s["open"].pop(run, (None, None))[1]
         if guess is not None:
             s["errors"] = [s["errors"][0] + 1, s["errors"][1] + abs(y - guess)]
 
@@ -121,15 +120,23 @@ class ArrivedLabels(Remembering):
             if kind == 1:
                 row = self.describe(s, at)
                 row["chosen"] = self.wanted(policy, u, row["age_h"])
-                s["open"][run] = (at, row["pred"], row["chosen"])
+                s["open"][run] = (at, row["pred"], row["chosen"], self.wanted(policy, u, 0.0))
                 s["newest"] = max(s["newest"], at)
                 out.append({"run_id": run, "kind": "run", "at": at, **row})
             elif at < s["newest"] - self.lateness:
                 out.append({"run_id": run, "kind": "late", "at": at, "n": s["n"]})
-            elif s["open"].get(run, (0, None, True))[2]:
-                s["open"][run] = s["open"].get(run, (at, None, True))[:2]
-                self.learn(s, run, t, y)
-        s["open"] = {r: v for r, v in s["open"].items() if v[0] >= s["newest"] - self.horizon}
+            elif run in s["open"]:
+                _, guess, chosen, _ = s["open"].pop(run)
+                if chosen:
+                    self.learn(s, t, y, guess)
+            elif self.wanted(policy, u, 0.0) or run in s["kept"]:
+                s["kept"].discard(run)
+                self.learn(s, t, y, None)
+        # Past the horizon a run's estimate is forgotten; that its label is wanted is kept only where the draw does not say so.
+        for r in [r for r, v in s["open"].items() if v[0] < s["newest"] - self.horizon]:
+            _, _, chosen, drawn = s["open"].pop(r)
+            if chosen and not drawn:
+                s["kept"].add(r)
         old = min(bisect_right(s["labels"], (s["newest"] - DAY, float("-inf"))), len(s["labels"]) - 10)
         del s["labels"][:max(0, old)]
         cols = ["run_id", "kind", "at", "pred", "width", "n", "mean", "last1", "mean3", "mean10", "n24", "age_h", "chosen"]

@@ -41,6 +41,19 @@ def test_labels_and_policies(spark):
         assert r["mean"] == (pytest.approx(sum(known) / len(known)) if known else None)
 
 
+def test_refused_labels_stay_unknown(spark):
+    """Labels that come eight days late: those of refused runs are not learned, those of chosen ones are."""
+    day = 86400.0
+    rows = [("s", "r", i, 1, 600.0 * i, 600.0 * i, 10.0 + i, 0.0, i / 10) for i in range(10)]
+    rows += [("s", "r", i, 0, 8 * day + 600.0 * i, 600.0 * i, 10.0 + i, 0.0, i / 10) for i in range(10)]
+    rows += [("s", "r", 100 + i, 1, t, t, 0.0, 0.0, 0.99) for i, t in enumerate((7.9 * day, 9 * day))]
+    feed = J.Feed(spark, spark.createDataFrame([], RUN).schema)
+    rows.sort(key=lambda r: r[4])
+    pieces = [spark.createDataFrame(rows[i:i + 6], RUN) for i in range(0, len(rows), 6)]
+    out = J.in_pieces(lambda s: P.arrived_labels(s, policies={"s": {"policy": "random", "budget": 0.35}}), feed, pieces).filter("run_id = 101").collect()
+    assert [(r["n"], r["mean"]) for r in out] == [(4, pytest.approx(11.5))]
+
+
 def test_service_predicts_after_the_first_refit(spark):
     rows = run_rows(60)
     feed = J.Feed(spark, spark.createDataFrame([], RUN).schema)
