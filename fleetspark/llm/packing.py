@@ -88,7 +88,7 @@ class Generations(dict):
 
     def missing(self, keys: set) -> list:
         """Those of ``keys`` that neither generation has; the others, and room for these, are in the new one afterwards."""
-        ask = keys.difference(self)
+        ask = {k for k in keys if k not in self}  # set.difference would walk the whole cache
         if len(self) + len(ask) > self.most:
             self.old = dict(self)
             super().clear()
