@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .asof import asof, mean_of, nearest_k, recent_lists
 from .ordered import WHOLE, Ordered, join_keys
-from .statesearch import state_neighbors
+from .statesearch import StateIndex, state_neighbors
 
 HOUR = 3600.0
 #: Order of the series in cell moments: with cells of half a width it is exact to rounding.
@@ -268,37 +268,35 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
 
 
 # -- nearest in state space ------------------------------------------------------------------------
+def nearest_weighted(k: int, y: str = "y") -> Column:
+    """Mean of the ``k`` nearest of ``_state``, weighted by the inverse of their distance."""
+    near = F.slice("_state", 1, k)
+    w = lambda s: 1.0 / (s["d"] + 1e-3)
+    num = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s) * s[y])
+    den = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s))
+    return F.when(F.size(near) > 0, num / den)
+
+
 def weighted_state_regressor(queries: DataFrame, cands: DataFrame, keys: list[str], state: list[str], tie: str, y: str, scales: list[float],
                              ks: list[int], rows: int | None = None, passes: int = 2) -> DataFrame:
     """Distance-weighted nearest-state prediction with column scales and k chosen greedily by leave-one-out error over all keys.
 
     Columns start at one deviation and the second of ``ks``. In each pass every column in turn takes the scale with the least
-    leave-one-out error of the candidates, then k does; a change must lower the error. All scales of a column and all k are scored in
-    one job, under the scale's number as a further key.
+    leave-one-out error of the candidates, then k does; a change must lower the error. The candidates are blocked once; all scales of a
+    column and all k are scored in one search, which weights the same squared differences.
     """
     std = cands.agg(*[F.greatest(F.stddev_samp(c), F.lit(1e-9)).alias(c) for c in state]).head()  # one row of scales
-
-    def scaled(df: DataFrame, factors: list[dict[str, float]]) -> DataFrame:
-        trials = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(f[c] / float(std[c])).alias(c) for c in state]) for i, f in enumerate(factors)])
-        x = df.withColumn("_f", F.explode(trials))
-        return x.withColumns({c: F.col(c) * F.col(f"_f.{c}") for c in state} | {"_trial": F.col("_f.i")}).drop("_f")
-
-    def neighbors(df: DataFrame, factors: list[dict[str, float]], k: int) -> DataFrame:
-        spread = sorted(state, key=lambda c: -min(f[c] for f in factors))  # cells are cut on the first columns, so not on flat ones
-        return state_neighbors(scaled(df, factors), scaled(cands, factors), [*keys, "_trial"], spread, tie, y, k, rows)
-
-    def predicted(k: int) -> Column:
-        near = F.slice("_state", 1, k)
-        w = lambda s: 1.0 / (s["d"] + 1e-3)
-        num = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s) * s["y"])
-        den = F.aggregate(near, F.lit(0.0), lambda a, s: a + w(s))
-        return F.when(F.size(near) > 0, num / den)
-
-    def losses(factors: list[dict[str, float]]) -> list[dict[int, float]]:
-        e = {k: predicted(k) - F.col(y) for k in ks}
-        per = neighbors(cands, factors, max(ks)).groupBy("_trial").agg(*[F.avg(e[k] * e[k]).alias(f"k{k}") for k in ks]).collect()  # one row a scale
+    index = StateIndex(cands, keys, state, tie, y, rows)
+    own = index.asking(cands)
+    factors = lambda trials: [[f[c] / float(std[c]) for c in state] for f in trials]
+    labels = cands.select(*keys, tie, y)
+
+    def losses(trials: list[dict[str, float]]) -> list[dict[int, float]]:
+        near = join_keys(labels, index.search(own, max(ks), factors(trials)), [*keys, tie], "inner")
+        e = {k: nearest_weighted(k) - F.col(y) for k in ks}
+        per = near.groupBy("_trial").agg(*[F.avg(e[k] * e[k]).alias(f"k{k}") for k in ks]).collect()  # one row a trial
         found = {r["_trial"]: {k: r[f"k{k}"] if r[f"k{k}"] is not None else float("inf") for k in ks} for r in per}
-        return [found.get(i, dict.fromkeys(ks, float("inf"))) for i in range(len(factors))]
+        return [found.get(i, dict.fromkeys(ks, float("inf"))) for i in range(len(trials))]
 
     best, k, now = dict.fromkeys(state, 1.0), ks[min(1, len(ks) - 1)], None
     for _ in range(passes):
@@ -309,4 +307,5 @@ def weighted_state_regressor(queries: DataFrame, cands: DataFrame, keys: list[st
                     best, now = trial, score
         for other in ks:
             k = other if now[other] < now[k] - 1e-9 else k
-    return neighbors(queries, [best], k).select(*keys, tie, y, predicted(k).alias("pred"))
+    found = index.search(index.asking(queries), k, factors([best])).drop("_trial")
+    return join_keys(queries, found, [*keys, tie]).select(*keys, tie, y, nearest_weighted(k).alias("pred"))

@@ -8,7 +8,7 @@ from ..operators import arrivals as A
 from ..operators import folds as FO
 from ..operators import neighbors as N
 from ..operators.asof import asof
-from ..operators.ordered import key_rows
+from ..operators.ordered import join_keys, key_rows
 from ..operators.runs import life_ids
 from .registry import query
 from .run_queries import LIFE_SQL
@@ -109,6 +109,28 @@ def _(spark, sf):
                       N.mean_of(F.col("_state"), "y", 3).alias("y3"), N.mean_of(F.col("_state"), "y", 10).alias("y10"))
 
 
+FACTORS = [[1.0, 1.0, 1.0], [2.0, 0.5, 0.1]]
+
+
+@query("weighted_state_at_scales", sql("runs", """+ sc AS (SELECT stddev_samp(usage) AS a, stddev_samp(pad) AS b, stddev_samp(film) AS c FROM runs WHERE is_ref),
+  fs AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 2.0, 0.5, 0.1)) v(trial, fu, fp, ff)),
+  z AS (SELECT run_id, regime, is_ref, y, trial, usage*fu/a AS u, pad*fp/b AS p, film*ff/c AS f FROM runs, sc, fs),
+  pr AS (SELECT x.run_id, x.trial, w.y, w.run_id AS j, round(sqrt((x.u-w.u)*(x.u-w.u) + (x.p-w.p)*(x.p-w.p) + (x.f-w.f)*(x.f-w.f)), 9) AS d
+    FROM z x JOIN z w ON x.regime = w.regime AND x.trial = w.trial AND x.run_id <> w.run_id AND w.is_ref),
+  tk AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY run_id, trial ORDER BY d, j) <= 8),
+  pd AS (SELECT run_id, trial, sum(y / (d + 1e-3)) / sum(1 / (d + 1e-3)) AS pred FROM tk GROUP BY ALL),
+  res AS (SELECT r.run_id, fs.trial, pred FROM runs r CROSS JOIN fs LEFT JOIN pd ON pd.run_id = r.run_id AND pd.trial = fs.trial)""", "run_id", "pred", "trial"))
+def _(spark, sf):
+    """The predictor of ``weighted_state_regressor`` at two given sets of scales, found in one search."""
+    df = runs(spark, sf)
+    ref = df.filter("is_ref")
+    sd = ref.agg(*[F.stddev_samp(c).alias(c) for c in STATE]).head()  # one row of scales
+    index = N.StateIndex(ref, ["regime"], STATE, "run_id", "y", regime_rows(spark, sf))
+    found = index.search(index.asking(df), 8, [[f / sd[c] for f, c in zip(row, STATE)] for row in FACTORS])
+    all_rows = df.select("regime", "run_id").withColumn("_trial", F.explode(F.array(F.lit(0), F.lit(1))))
+    return join_keys(all_rows, found, ["regime", "run_id", "_trial"]).select("run_id", F.col("_trial").alias("trial"), N.nearest_weighted(8).alias("pred"))
+
+
 # -- sequence and extended neighbours ---------------------------------------------------------------
 DEV_SQL = "dv AS (SELECT *, y - mu AS dev FROM (SELECT *, avg(CASE WHEN is_ref THEN y END) OVER (PARTITION BY regime) AS mu FROM {src}))"
 
