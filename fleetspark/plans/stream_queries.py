@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
+from ..streaming import history as H
 from ..streaming import jobs as J
 from ..streaming import processors as P
 from ..scratch import cut, new_path
@@ -157,10 +158,48 @@ def _(spark, sf):
     return over_requests(spark, sf, {"d1": 1.0}).filter("kind = 'run'").select("regime", "run_id", "n", "n24", *HISTORY.split())
 
 
-@query("stream_online_estimates", sql("runs", HIST_SQL.format(known="true"), "regime run_id", "last1 age_h"))
+WIDTH_SQL = HIST_SQL.format(known="true").replace("res AS", "g AS MATERIALIZED") + """,
+  er AS (SELECT g.run_id, g.regime, r.t_end, abs(r.y - g.pred) AS e FROM g JOIN runs r USING (run_id) WHERE r.measured AND g.pred IS NOT NULL),
+  wd AS (SELECT a.run_id, CASE WHEN count(*) >= 10 THEN 2*avg(e) END AS width FROM runs a JOIN er ON a.regime = er.regime AND er.t_end + 3600 < a.t_end GROUP BY a.run_id),
+  res AS (SELECT g.*, width FROM g LEFT JOIN wd USING (run_id))"""
+
+
+@query("stream_online_estimates", sql("runs", WIDTH_SQL, "regime run_id", "last1 age_h pred width"))
+def _(spark, sf):
+    """Estimates exist from the first known label on, their widths from the tenth error on."""
+    return over_requests(spark, sf, {"d1": 1.0}).filter("kind = 'run'").select("regime", "run_id", "last1", "age_h", "pred", "width")
+
+
+WAIT = 20 * 86400.0
+DECAYS = {"e05": 1800, "e2": 7200, "e8": 28800, "e24": 86400}
+
+
+def side_sql(name, regime, lead):
+    """Count and decayed means of the labels known at each run, of one side."""
+    fade = lambda s: f"pow(0.5, (a.t_end - b.t_end)/{s}.0::DOUBLE)"
+    means = ", ".join(f"CASE WHEN sum({fade(s)}) > 1e-3 THEN sum(b.y*{fade(s)})/sum({fade(s)}) END AS {lead}{k}" for k, s in DECAYS.items())
+    return f"""{name} AS (SELECT a.run_id, count(*) AS {lead}n, {means} FROM runs a JOIN runs b ON a.regime = {regime} AND b.measured AND b.t_end + 3600 < a.t_end GROUP BY a.run_id)"""
+
+
+LIFE = "floor(floor({}.t_start/3600)*3/500)"
+FULL_SQL = f"""{HIST_SQL.format(known="true").split("res AS")[0]}
+  {side_sql("own", "b.regime", "")}, {side_sql("cross_side", "CAST(b.grp AS VARCHAR) || CASE WHEN b.stage = 'A' THEN 'B' ELSE 'A' END", "x_")},
+  lf AS (SELECT a.run_id, count(*) AS life_n, avg(b.y) AS life_mean FROM runs a JOIN runs b ON a.regime = b.regime AND {LIFE.format("a")} = {LIFE.format("b")}
+    AND b.measured AND b.t_end + 3600 < a.t_end GROUP BY a.run_id),
+  pt AS (SELECT a.run_id, b.y AS partner_y, (b.t_end - a.t_end)/3600.0::DOUBLE AS partner_lag_h FROM runs a JOIN runs b ON a.wafer = b.wafer AND a.stage <> b.stage
+    AND b.measured AND b.t_end + 3600 < a.t_end AND b.t_end + 3600 >= a.t_end - {WAIT}),
+  res AS (SELECT r.regime, r.run_id, coalesce(h.n, 0) AS n, mean, last1, mean3, mean10, coalesce(n24, 0) AS n24, age_h, own.* EXCLUDE (run_id, n), coalesce(x_n, 0) AS x_n,
+      cross_side.* EXCLUDE (run_id, x_n), coalesce(life_n, 0) AS life_n, life_mean, partner_y, partner_lag_h
+    FROM runs r LEFT JOIN h USING (run_id) LEFT JOIN own USING (run_id) LEFT JOIN cross_side USING (run_id) LEFT JOIN lf USING (run_id) LEFT JOIN pt USING (run_id))"""
+FULL = f"{HISTORY} {' '.join(DECAYS)} {' '.join('x_' + k for k in DECAYS)} life_mean partner_y partner_lag_h"
+
+
+@query("stream_arrived_history", sql("runs", FULL_SQL, "regime run_id", FULL, "n n24 x_n life_n"))
 def _(spark, sf):
-    """Estimates exist from the first known label on."""
-    return over_requests(spark, sf, {"d1": 1.0}).filter("kind = 'run'").select("regime", "run_id", "last1", "age_h")
+    """Own, other stage, same life and same wafer; lives and wafers leave the state by timers during the run."""
+    df = cut(requests(table(spark, sf, "orders"), {"d1": 1.0}).withColumn("wafer", F.floor(F.col("run_id") / 2).cast("bigint")))
+    out = J.in_pieces(lambda s: H.arrived_history(s, WAIT), J.Feed(spark, df.schema), cut_by(df, F.col("at")))
+    return out.select("regime", "run_id", "n", "n24", "x_n", "life_n", *FULL.split())
 
 
 HASH_U = "CAST('0x' || substr(md5(concat_ws('_', b.run_id, 'policy')), 1, 8) AS BIGINT) / 4294967296.0"
