@@ -84,15 +84,26 @@ def _(spark, sf):
     return over_events(spark, sf, lambda s: P.since_event(s.filter("tool IS NOT NULL").select("tool", "id", "t", (F.col("recipe") == "error").alias("flag"))), False)
 
 
-@query("stream_progress")
-def _(spark, sf):
-    df, path = table(spark, sf, "events"), new_path(spark, "progress")
+def progress(spark, sf):
+    """Records of a run of daily windows over the events, a file a micro-batch."""
+    df = table(spark, sf, "events")
     feed = J.Feed(spark, df.schema)
     for part in cut_by(df, micros("ts")):
         feed.add(part)
-    q, _ = J.run_available(J.window_stats(event_columns(feed.stream()), "tool", "at", ["s1"], "1 day"), "append")
-    J.recorded(q, path)
-    return spark.read.parquet(path).drop("query")
+    with J.ProgressLog(spark, new_path(spark, "progress")) as log:
+        J.run_available(J.window_stats(event_columns(feed.stream()), "tool", "at", ["s1"], "1 day"), "append")
+    return log.records().drop("query")
+
+
+@query("stream_progress")
+def _(spark, sf):
+    return progress(spark, sf)
+
+
+@query("stream_progress_rows", sql("", f"""+m AS (SELECT epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS low, max(epoch_us(ts)) OVER () AS high FROM events),
+  res AS (SELECT least(floor((us - low)*{PIECES}/greatest(high - low, 1)), {PIECES - 1}) AS batch, count(*) AS input_rows FROM m GROUP BY 1)""", "", "", "batch input_rows"))
+def _(spark, sf):
+    return progress(spark, sf).filter("input_rows > 0").select("batch", "input_rows")
 
 
 def run_columns(s):

@@ -151,7 +151,7 @@ def both_stages(rows: DataFrame) -> DataFrame:
 
 
 def arrived_history(stream: DataFrame, wait: float, late: str = "1 hour") -> DataFrame:
-    """Stream of requests and labels keyed by (scenario, regime) to :class:`ArrivedHistory`; rows later than ``late`` are dropped."""
+    """Stream of requests and labels keyed by (scenario, regime) to :class:`ArrivedHistory`; rows later than ``late``, or not after 1970, are dropped."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     rows = both_stages(stream).withColumn("_ts", as_timestamp("at")).withWatermark("_ts", late)
     return rows.groupBy("scenario", "regime").transformWithStateInPandas(ArrivedHistory(wait), ArrivedHistory.schema, "Append", "EventTime")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..scratch import new_path
 
@@ -102,9 +104,56 @@ def delayed_label_join(preds: DataFrame, labels: DataFrame, key: str, pred_ts: s
     return p.join(l, cond, how).drop("_k")
 
 
-def recorded(q: StreamingQuery, path: str) -> None:
-    """Append the progress records that a query still holds to a table; call it after each run, before records are dropped."""
-    rows = [(str(q.id), int(p["batchId"]), int(p["numInputRows"]), int(p["durationMs"].get("triggerExecution", 0))) for p in q.recentProgress]
+class ProgressLog(StreamingQueryListener):
+    """Appends every progress record of the session's streams to a folder, one small file a micro-batch, however long a run is.
+
+    A retried micro-batch replaces its file. Leaving the block waits until the streams that started in it have reported their end.
+    """
+
     schema = "query string, batch long, input_rows long, trigger_ms long"
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.running: set[str] = set()
+        self.changed = threading.Condition()
+        self.failed: Exception | None = None
+
+    def onQueryStarted(self, event) -> None:
+        with self.changed:
+            self.running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = {"query": str(p.id), "batch": p.batchId, "input_rows": p.numInputRows, "trigger_ms": int(dict(p.durationMs).get("triggerExecution", 0))}
+        try:
+            jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p.id}-{p.batchId}.json")
+            out = path.getFileSystem(conf).create(path, True)
+            out.write(bytearray(json.dumps(row).encode()))
+            out.close()
+        except Exception as e:  # raised when the block is left: an error here would only reach the log
+            self.failed = e
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.running.discard(str(event.runId))
+            self.changed.notify_all()
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        with self.changed:
+            ended = self.changed.wait_for(lambda: not self.running, timeout=60)
+        self.spark.streams.removeListener(self)
+        if self.failed is not None:
+            raise self.failed
+        if not ended:
+            raise TimeoutError("streams have not reported their end")
+
+    def records(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).json(self.folder)
