@@ -12,7 +12,8 @@ NAMES = ["naive_answer_score", "time_to_next_fault", "since_gap_stop_and_change"
          "rolling_curve_residual", "weighted_thinning", "decide_answers", "roc_auc_and_average_precision", "densest_fault_window", "run_physics",
          "shape_timing", "resampled_trajectories", "schedule_features", "range_counts", "sequence_neighbors", "leave_one_out_kernels",
          "history_of_arrived_labels", "look_ahead_labels", "two_sided_estimates", "nested_blend", "walk_forward_blend", "paired_bootstrap",
-         "rank_correlation", "before_after_reset", "missing_patterns", "fixed_lag_smoother", "stream_window_stats", "stream_history_features"]
+         "rank_correlation", "before_after_reset", "missing_patterns", "fixed_lag_smoother", "stream_window_stats", "stream_history_features",
+         "stream_arrived_history", "stream_online_estimates", "stream_progress_rows", "nearest_in_state", "weighted_state_at_scales"]
 SLICED = ["since_gap_stop_and_change", "rolling_stats_wide", "weighted_quantile", "group_median_deviation", "life_ids", "stable_event_order",
           "asof_previous_and_next_label", "ewma_level"]
 
