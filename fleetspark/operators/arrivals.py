@@ -12,13 +12,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .asof import asof, mean_of, range_counts, recent_lists
-from .neighbors import GAUSS_REACH, HOUR, MIN_WEIGHT, ewm_states, line_estimate, numbered
+from .neighbors import GAUSS_REACH, HOUR, MIN_WEIGHT, MOMENTS, ewm_states, line_estimate, numbered
 from .ordered import Ordered, join_keys
 
 EWM_HOURS = {"ewmh05": 0.5, "ewmh2": 2.0, "ewmh8": 8.0, "ewmh24": 24.0}
 EWM_COUNTS = {"ewmn2": 2.0, "ewmn5": 5.0, "ewmn15": 15.0}
 LATE = 2 ** 62  # tie value after every real one
+DENSE_TIMES = 400.0  # distinct times in a reach beyond which moments of cells are cheaper than the times themselves
+KERNEL_DROP = 82.0  # twice the exponent at which a weight relative to the nearest label's is below 2e-18
 
 
 @dataclass(frozen=True)
@@ -140,11 +143,11 @@ def ahead_block(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock
 
 
 def two_sided(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock, widths: tuple[float, ...] = (0.25, 1.0, 4.0),
-              rows: int | None = None) -> DataFrame:
+              rows: int | None = None, dense_times: float = DENSE_TIMES) -> DataFrame:
     """Nearest visible labels (NN1, NN3), bracket interpolation (INT) and Gaussian kernel means on both sides.
 
-    The kernel is scaled by the nearest label, so only labels within its reach of the nearest past and the nearest
-    look-ahead label matter; those are matched on time buckets over distinct times.
+    Kernel weights are relative to the nearest label's, so a row far from all labels still has a mean. A kernel meets the distinct
+    times in its reach where they are at most ``dense_times`` on average, else moments of cells. Both are exact; only the work differs.
     """
     item = {"t": F.col(k.t), "y": F.col(k.y)}
     R = recent_lists(labels, keys, k.t, [k.tie], item, 3, 3, rows)
@@ -164,12 +167,83 @@ def two_sided(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock,
     bracket = p["y"] + (f["y"] - p["y"]) * (t - p["t"]) / F.greatest(f["t"] - p["t"], F.lit(1e-9 * HOUR))
     out = out.withColumns({"NN1": F.get(near, F.lit(0))["y"], "NN3": mean_of(near, "y", 3),
                            "INT": F.coalesce(bracket, p["y"], f["y"]), "_tp": p["t"], "_tf": f["t"]}).drop("_pl", "_fl")
+    out = cut(out)  # read for its rows and for the places of each kernel
+    dense = {}
     for h in widths:
-        out = _kernel(out, labels, keys, k, h, f"K{h:g}".replace(".", ""))
+        name = f"K{h:g}".replace(".", "")
+        if _times_in_reach(labels, keys, k, h) > dense_times:
+            dense[name] = h
+        else:
+            out = _kernel_of_times(out, labels, keys, k, h, name)
+    if dense:
+        out = _kernels_of_cells(out, labels, keys, k, dense, rows)
     return out.drop("_tp", "_tf", "_c")
 
 
-def _kernel(out: DataFrame, labels: DataFrame, keys: list[str], k: Clock, h: float, name: str) -> DataFrame:
+def _times_in_reach(labels: DataFrame, keys: list[str], k: Clock, h: float) -> float:
+    """Distinct label times that the average label shares a span of one reach with."""
+    times = labels.select(*keys, F.col(k.t).alias("_tc")).dropDuplicates()
+    spans = times.groupBy(*keys, F.floor(F.col("_tc") / (GAUSS_REACH * h * HOUR)).alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    return spans.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).head()[0] or 0.0  # one number
+
+
+def _kernels_of_cells(out: DataFrame, labels: DataFrame, keys: list[str], k: Clock, widths: dict[str, float],
+             rows: int | None = None) -> DataFrame:
+    """Gaussian means of all labels up to the cutoff but the row's own, with weights relative to the nearest one.
+
+    With the nearest label ``z`` widths away, only labels within ``sqrt(z^2 + KERNEL_DROP)`` widths weigh. Their cells hold moments
+    about the centre, and exp(r e) is a series in them. Far from all labels r is large, so cells shrink by four a level and the
+    series stays short. The cell of the cutoff is read from sums up to it, so no times are joined with each other.
+    """
+    d0 = F.least(F.abs(F.col(k.t) - F.col("_tp")), F.abs(F.col("_tf") - F.col(k.t)))
+    own = F.when(F.col("measured") & (F.col(k.t) <= F.col("_c")), F.col(k.y).cast("double"))
+    out = out.withColumns({"_d0": d0, "_own": own})
+    farthest = F.lit(out.agg(F.max("_d0")).head()[0] or 0.0)  # one number
+    width, each = F.col("_h"), F.explode(F.array(*[F.lit(h * HOUR) for h in widths.values()]))
+    level = lambda d: F.greatest(F.ceil(F.log(F.greatest(d / width / GAUSS_REACH, F.lit(1.0))) / F.log(F.lit(4.0))), F.lit(0)).cast("int")
+    side = width / 2 / F.pow(F.lit(4.0), F.col("_l"))
+    cell = lambda c: F.floor(c / side)
+    off = lambda c: (F.col(c) - (F.col("_b") + 0.5) * side) / width
+    points = labels.groupBy(*keys, F.col(k.t).alias("_tc")).agg(F.sum(F.col(k.y).cast("double")).alias("_y"), F.count(F.lit(1)).alias("_k"))
+    at = points.withColumn("_h", each).withColumn("_l", F.explode(F.sequence(F.lit(0), level(farthest)))).withColumn("_b", cell(F.col("_tc")))
+    at = at.withColumn("_e", off("_tc")).withColumn("_g", F.exp(-0.5 * F.col("_e") * F.col("_e")))
+    power = [F.lit(1.0)]
+    for _ in range(MOMENTS):
+        power.append(power[-1] * F.col("_e"))
+    parts = {f"{c}{j}": F.col(c) * F.col("_g") * p for c in ("_k", "_y") for j, p in enumerate(power)} | {"_n": F.col("_k")}
+    group = [*keys, "_h", "_l", "_b"]
+    whole = at.groupBy(*group).agg(*[F.sum(m).alias(n) for n, m in parts.items()])
+    upto = Ordered(at, group, "_tc", rows=rows).running({n: ("sum", m) for n, m in parts.items()}).result()
+    found = [*keys, k.t, "_d0", "_own"]
+    q = out.select(*found, "_c").filter("_d0 is not null").dropDuplicates(found).withColumn("_h", each).withColumn("_l", level(F.col("_d0")))
+    z, last = F.col("_d0") / width, cell(F.col("_c"))
+    reach = F.sqrt(z * z + KERNEL_DROP) * width
+    to = lambda x: cell(F.col(k.t) + x)
+    met = F.array_distinct(F.concat(F.sequence(to(-reach), to(-F.col("_d0"))), F.sequence(to(F.col("_d0")), to(reach))))
+    q = q.withColumn("_b", F.explode(F.filter(met, lambda b: b <= last)))
+    is_cut = F.col("_b") == last
+    inner = join_keys(q.filter(~is_cut), whole, group, "inner")
+    edge = asof(q.filter(is_cut), upto, group, F.col("_c"), F.col("_tc"), {n: F.col(n) for n in parts}, "_m", "prev", inclusive=True,
+                rows=rows)
+    both = inner.unionByName(edge.filter("_m is not null").select(*q.columns, "_m.*")).withColumn("_r", off(k.t))
+    # The row's own label weighs exp(z^2 / 2) in its cell; alone there, it leaves nothing to round.
+    mine = F.col("_own").isNotNull() & (F.col("_b") == to(F.lit(0.0)))
+    both = both.filter(~mine | (F.col("_n") > 1))
+
+    def series(c: str, own_value: Column) -> Column:
+        total = F.col(f"{c}{MOMENTS}")
+        for j in range(MOMENTS - 1, -1, -1):
+            total = F.col(f"{c}{j}") + total * F.col("_r") / float(j + 1)
+        return F.exp(0.5 * (z - F.col("_r")) * (z + F.col("_r"))) * total - F.when(mine, F.exp(0.5 * z * z) * own_value).otherwise(0.0)
+
+    both = both.select(*found, "_h", series("_k", F.lit(1.0)).alias("_sw"), series("_y", F.col("_own")).alias("_sy"))
+    of = lambda c, h: F.sum(F.when(width == h * HOUR, F.col(c)))
+    means = both.groupBy(*found).agg(*[(of("_sy", h) / of("_sw", h)).alias(n) for n, h in widths.items()])
+    return join_keys(out, means, found).drop("_d0", "_own")
+
+
+def _kernel_of_times(out: DataFrame, labels: DataFrame, keys: list[str], k: Clock, h: float, name: str) -> DataFrame:
+    """Gaussian mean from the distinct times within reach of the nearest labels, matched on time buckets."""
     reach = GAUSS_REACH * h * HOUR
     points = labels.groupBy(*keys, F.col(k.t).alias("_tc")).agg(F.sum(k.y).alias("_y"), F.count(F.lit(1)).alias("_k"))
     b = lambda c: F.floor(F.col(c) / reach)
