@@ -6,8 +6,12 @@ Candidates never include the row itself, and nothing joins all pairs of a group.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import cut
 from .asof import asof, mean_of, nearest_k, recent_lists
@@ -157,6 +161,7 @@ def neighbor_deltas(queries: DataFrame, cands: DataFrame, keys: list[str], t: st
 
 # -- kernels over a bounded horizon ---------------------------------------------------------------
 GAUSS_REACH = 9.0  # a Gaussian weight this many widths away is below 1e-17
+CELLS_A_BLOCK = 64  # cells of half a width that a task holds at once, besides a reach on both sides
 
 
 def kernel_sums(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, y: str, kernels: dict[str, tuple[str, float]],
@@ -171,14 +176,15 @@ def kernel_sums(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, y
     points = cands.groupBy(*keys, t).agg(F.sum(y).alias("_y"), F.count(F.lit(1)).alias("_k"))
     places = queries.select(*keys, t).dropDuplicates()
     at_own = points.select(*keys, t, F.col("_k").alias("_hk"), F.col("_y").alias("_hy"))
-    out = join_keys(queries, at_own, [*keys, t])
+    # file sizes say little about rows, so these joins are merges: an estimate must not send a side through the driver
+    out = join_keys(queries, at_own.hint("merge"), [*keys, t])
     mine = F.lit(0) if own is None else F.when(own, 1).otherwise(0)
     rest = F.coalesce("_hk", F.lit(0)) - mine
     own_y = F.when(rest > 0, F.coalesce("_hy", F.lit(0.0)) - mine * F.coalesce(F.col(y), F.lit(0.0))).otherwise(0.0)
     out = out.withColumns({"_rest": rest, "_own_y": own_y}).drop("_hk", "_hy")
     for name, (kind, h) in kernels.items():
         s = (_gauss_sums if kind == "gauss" else _tricube_sums)(places, points, keys, t, h * HOUR)
-        out = join_keys(out, s, [*keys, t])
+        out = join_keys(out, s.hint("merge"), [*keys, t])
         # Candidates at the query's own time weigh 1 each: the sums leave them out, all but its own label come back.
         sw = F.coalesce("_sw", F.lit(0.0)) + F.col("_rest")
         sy = F.coalesce("_sy", F.lit(0.0)) + F.col("_own_y")
@@ -198,28 +204,62 @@ def _tricube_sums(places: DataFrame, points: DataFrame, keys: list[str], t: str,
 
 
 def _gauss_sums(places: DataFrame, points: DataFrame, keys: list[str], t: str, width: float) -> DataFrame:
-    """The same for exp(-d^2 / 2), d in widths, from moments of cells of half a width."""
+    """The same for exp(-d^2 / 2), d in widths, from moments of cells of half a width.
+
+    Places and cells meet in blocks of cells, each with a margin of one reach: a place crosses the network once, not once for each
+    cell that it meets, and nothing is broadcast. A task holds the cells of a block and goes through its places batch by batch.
+    """
     cell = width / 2
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, t)])
     e = (F.col(t) - (F.col("_b") + 0.5) * cell) / width
-    near = points.withColumn("_b", F.floor(F.col(t) / cell)).withColumns({"_e": e, "_g": F.exp(-0.5 * e * e)})
+    near = points.filter(known).withColumn("_b", F.floor(F.col(t) / cell)).withColumns({"_e": e, "_g": F.exp(-0.5 * e * e)})
     power = [F.lit(1.0)]
     for _ in range(MOMENTS):
         power.append(power[-1] * F.col("_e"))
     # one array of products a row would be interpreted; sums of expressions stay compiled
-    cells = near.groupBy(*keys, "_b").agg(*[F.sum(F.col(c) * F.col("_g") * p).alias(f"_{c}{j}") for c in ("_k", "_y") for j, p in enumerate(power)])
-    reach = GAUSS_REACH * width
-    Q = places.withColumn("_b", F.explode(F.sequence(F.floor((F.col(t) - reach) / cell), F.floor((F.col(t) + reach) / cell))))
-    r = (F.col(t) - (F.col("_b") + 0.5) * cell) / width
-    met = Q.join(cells, [*keys, "_b"]).withColumn("_r", r)
-
-    def series(c: str) -> Column:
-        total = F.col(f"_{c}{MOMENTS}")
-        for j in range(MOMENTS - 1, -1, -1):
-            total = F.col(f"_{c}{j}") + total * F.col("_r") / float(j + 1)
-        return F.exp(-0.5 * F.col("_r") * F.col("_r")) * total
-    s = met.groupBy(*keys, t).agg(F.sum(series("_k")).alias("_sw"), F.sum(series("_y")).alias("_sy"))
-    here = points.select(*keys, t, F.col("_k").alias("_hk"), F.col("_y").alias("_hy"))
-    s = join_keys(s, here, [*keys, t])
+    sums = {f"_{c}{j}": F.sum(F.col(c) * F.col("_g") * p) for c in ("_k", "_y") for j, p in enumerate(power)}
+    cells = near.groupBy(*keys, "_b").agg(*[s.alias(n) for n, s in sums.items()])
+    far = round(2 * GAUSS_REACH)  # cells in a reach
+    block = lambda b: F.floor(b / CELLS_A_BLOCK)
+    b = F.col("_b")
+    moments = F.array(*[F.coalesce(n, F.lit(0.0)) for n in sums])
+    C = cells.select(*keys, F.lit(None).cast("double").alias(t), "_b", F.explode(F.sequence(block(b - far), block(b + far))).alias("_blk"), moments.alias("_m"))
+    Q = places.filter(known).select(*keys, F.col(t).cast("double").alias(t), F.floor(F.col(t) / cell).alias("_b"))
+    Q = Q.select(*keys, t, "_b", block(b).alias("_blk"), F.lit(None).cast("array<double>").alias("_m"))
+    part = [*keys, "_blk"]
+    both = Q.unionByName(C).repartition(*part).sortWithinPartitions(*part, F.col("_m").isNull())  # a block's cells come first
+    both = both.withColumn("_group", F.to_json(F.struct(*part)))
+    size = CELLS_A_BLOCK + 2 * far
+
+    def inside(batches):
+        last, kept = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            group, is_place = pdf["_group"].to_numpy(), pdf["_m"].isna().to_numpy()
+            number = np.cumsum(np.r_[False, group[1:] != group[:-1]])
+            slot = number * size + pdf["_b"].to_numpy(np.int64) - pdf["_blk"].to_numpy(np.int64) * CELLS_A_BLOCK + far
+            table = np.zeros((2 * (MOMENTS + 1), (number[-1] + 1) * size))
+            if group[0] == last:  # the block goes on from the batch before
+                table[:, :size] = kept
+            if not is_place.all():
+                table[:, slot[~is_place]] = np.stack(pdf["_m"][~is_place].to_list()).T
+            last, kept = group[-1], table[:, -size:].copy()
+            out, slot = pdf[is_place], slot[is_place]
+            mid = (out[t].to_numpy(float) - (out["_b"].to_numpy(float) + 0.5) * cell) / width
+            total = np.zeros((2, len(out)))
+            for off in range(-far, far + 1):
+                at, r = slot + off, mid - off * 0.5
+                for c in range(2):
+                    series = table[c * (MOMENTS + 1) + MOMENTS][at]
+                    for j in range(MOMENTS - 1, -1, -1):
+                        series = table[c * (MOMENTS + 1) + j][at] + series * r / (j + 1)
+                    total[c] += np.exp(-0.5 * r * r) * series
+            yield out[[*keys, t]].assign(_sw=total[0], _sy=total[1])
+
+    found = both.mapInPandas(inside, StructType([*both.select(*keys, t).schema, *StructType.fromDDL("_sw double, _sy double")]))
+    here = points.select(*keys, F.col(t).cast("double").alias(t), F.col("_k").alias("_hk"), F.col("_y").alias("_hy"))
+    s = join_keys(found, here.hint("merge"), [*keys, t])
     return s.select(*keys, t, (F.col("_sw") - F.coalesce("_hk", F.lit(0))).alias("_sw"), (F.col("_sy") - F.coalesce("_hy", F.lit(0.0))).alias("_sy"))
 
 
