@@ -1,5 +1,7 @@
 """Streams over several micro-batches with a restart, and CSV files whose columns differ."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,29 @@ def test_pairs_come_from_names(spark, tmp_path):
         for n in names:
             (tmp_path / folder / f"{n}_DC.csv").write_text("not,a,table")
     assert TE.pair_sources(spark, str(tmp_path / "s"), str(tmp_path / "l")) == (["b"], ["a"])
+
+
+def test_one_file_a_partition_unless_hot(spark, tmp_path):
+    df = spark.range(120).select((F.col("id") % 3).alias("tool"), (F.col("id") * 86400.0).alias("time"), "id")
+    files = lambda d: [f for _, _, names in os.walk(d) for f in names if f.endswith(".parquet")]
+    TE.write_partitioned(df, str(tmp_path / "a"), ["tool"], "time")
+    assert len(files(tmp_path / "a")) == 3
+    spark.conf.set("fleetspark.chunkRows", "30")
+    try:
+        TE.write_partitioned(df, str(tmp_path / "b"), ["tool"], "time")
+    finally:
+        spark.conf.unset("fleetspark.chunkRows")
+    assert len(files(tmp_path / "b")) > 3
+    for d in "ab":
+        assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / d)).collect()) == list(range(120))
+
+
+def test_headers_are_read_by_tasks(spark, tmp_path):
+    """Many files, two headers, blanks and short rows; the driver opens none of them."""
+    for i in range(40):
+        (tmp_path / f"x{i}").mkdir()
+        (tmp_path / f"x{i}" / f"t{i}_DC.csv").write_text(f"time,s1\n{i},{i + 1}\n{i}\n" if i % 2 else f"s1,extra,time\n,q,{i}\n")
+    (tmp_path / "x0" / "none_DC.csv").write_text("")
+    got = sorted((r["tool"], r["time"], r["s1"]) for r in TE.read_telemetry(spark, str(tmp_path), ["s1"]).na.fill(-1.0).collect())
+    assert got == sorted([(f"t{i}", float(i), i + 1.0) for i in range(1, 40, 2)] + [(f"t{i}", float(i), -1.0) for i in range(40)])
+    assert not hasattr(TE, "header_of") and TE.headers(spark, str(tmp_path)).count() == 40
