@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import cut
 from .asof import asof
@@ -159,6 +160,78 @@ def likelihood(filtered: DataFrame, keys: list[str], t: str, tie: str, y: str, q
     return x.groupBy(*keys).agg(n.alias("n"), v.alias("noise"), (-0.5 * (n * F.log(v) + F.sum(F.log("s")))).alias("loglik"))
 
 
+def likelihood_grid(labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float], rows: int | None = None) -> DataFrame:
+    """``likelihood`` of ``local_level`` for every (qh, qj) of a grid, one row per key and pair.
+
+    All pairs are filtered side by side in the task that holds a slice of labels, so the labels are not copied for each pair. Of a slice
+    only sums leave the task. Where a key is cut, the state that enters a slice comes from the elements of the slices before it.
+    """
+    grid = [(float(a), float(b)) for a in qhs for b in qjs]
+    qh, qj = (np.array(v) for v in zip(*grid))
+    o = Ordered(labels.select(*keys, t, tie, y), keys, t, [tie], rows).running({"_pt": ("lag", F.col(t))})
+    part = o.part
+    x = o.df.select(*part, t, tie, F.col(y).cast("double").alias("_y"), ((F.col(t) - F.col("_pt")) / 3600.0).cast("double").alias("_dt"), F.col("_pt").isNull().alias("_first"))
+    schema = x.select(*part).schema
+
+    def sorted_slices(df: DataFrame) -> DataFrame:
+        return df.repartition(*part).sortWithinPartitions(*part, F.col("_state").isNull(), t, tie).withColumn("_group", F.to_json(F.struct(*part)))
+
+    def per_slice(begin, step, end):
+        """One array of numbers for each slice, from its rows in order; ``_state`` is set in a row before them."""
+        def run(batches):
+            last, acc, head = None, None, None
+            row = lambda: pd.DataFrame([[*head, end(acc)]], columns=[*part, "_state"])
+            for pdf in batches:
+                for i, (group, state, v, dt, first) in enumerate(zip(pdf["_group"], pdf["_state"], pdf["_y"].to_numpy(float), pdf["_dt"].to_numpy(float), pdf["_first"])):
+                    if group != last:
+                        if last is not None:
+                            yield row()
+                        last, acc, head = group, begin(state), [pdf[c].iloc[i] for c in part]
+                    if state is None:
+                        step(acc, v, qh * dt + (qj if dt > GAP_HOURS else 0.0), first)
+            if last is not None:
+                yield row()
+        return run
+
+    def compose_row(acc, v, q, first):
+        one = np.ones(len(grid))
+        e = (0 * one, v * one, one, 0 * one, 0 * one) if first else (1 / (q + 1), q / (q + 1) * v, q / (q + 1), v / (q + 1), 1 / (q + 1))
+        acc[:] = [e] if not acc else [compose(acc[0], e)]
+
+    def filter_row(acc, v, q, first):
+        m, p, sums = acc
+        s, e = p + q + 1.0, v - m  # not a number where there is no label before
+        has_e, has_s = ~np.isnan(e), ~np.isnan(s)
+        both = has_e & has_s
+        sums += (has_e, both, np.where(both, e * e / s, 0.0), has_s, np.where(has_s, np.log(s), 0.0))
+        gain = (s - 1.0) / s
+        acc[0], acc[1] = (np.full(len(grid), v), np.ones(len(grid))) if first else (m + gain * e, gain)
+
+    out = StructType([*schema, *StructType.fromDDL("_state array<double>")])
+    start = x.withColumn("_state", F.lit(None).cast("array<double>"))
+    if o.split:
+        total = sorted_slices(start).mapInPandas(per_slice(lambda state: [], compose_row, lambda acc: np.concatenate(acc[0])), out)
+        order = lambda pdf: pdf.assign(_o=[tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in pdf[CHUNK]]).sort_values("_o").drop(columns="_o")
+
+        def across(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf, acc, entering = order(pdf), None, []
+            for state in pdf["_state"]:
+                entering.append(np.full(2 * len(grid), np.nan) if acc is None else np.concatenate([acc[1], acc[2]]))
+                e = np.asarray(state).reshape(5, -1)
+                acc = e if acc is None else compose(acc, e)
+            return pdf.assign(_state=entering)
+
+        carry = total.groupBy(*keys).applyInPandas(across, out)  # one row per slice of the key
+        start = start.unionByName(carry, allowMissingColumns=True)
+    begin = lambda state: [*(np.full((2, len(grid)), np.nan) if state is None else np.asarray(state, float).reshape(2, -1)), np.zeros((5, len(grid)))]
+    done = sorted_slices(start).mapInPandas(per_slice(begin, filter_row, lambda acc: acc[2].T.ravel()), out)
+    pairs = F.array(*[F.struct(F.lit(a).alias("qh"), F.lit(b).alias("qj"), F.slice("_state", 5 * i + 1, 5).alias("s")) for i, (a, b) in enumerate(grid)])
+    z = done.select(*keys, F.explode(pairs).alias("_g")).groupBy(*keys, "_g.qh", "_g.qj").agg(*[F.sum(F.col("_g.s")[i]).alias(c) for i, c in enumerate(("n", "_nv", "_v", "_ns", "_s"))])
+    noise = F.when(F.col("_nv") > 0, F.col("_v") / F.col("_nv"))
+    return z.select(*keys, "qh", "qj", F.col("n").cast("bigint").alias("n"), noise.alias("noise"),
+                    (-0.5 * (F.col("n") * F.log(noise) + F.when(F.col("_ns") > 0, F.col("_s")))).alias("loglik"))
+
+
 def fixed_lag_smoother(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qh: Column, qj: Column,
                        window: float, rows: int | None = None) -> DataFrame:
     """``fwd``, ``level``, ``level_var``: past filter, and its fusion with a backward filter over labels in ``(row, t + window]``.

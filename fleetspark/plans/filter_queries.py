@@ -98,10 +98,7 @@ def _(spark, sf):
 
 @query("noise_ratio_likelihood")
 def _(spark, sf):
-    r = regime_rows(spark, sf)
-    keys = ["regime", "qh", "qj"]
-    f = FL.local_level(FL.noise_grid(labels(spark, sf), QH_GRID, QJ_GRID), keys, "t_end", "run_id", "y", F.col("qh"), F.col("qj"), r)
-    ll = FL.likelihood(f, keys, "t_end", "run_id", "y", F.col("qh"), F.col("qj"), r)
+    ll = FL.likelihood_grid(labels(spark, sf), ["regime"], "t_end", "run_id", "y", QH_GRID, QJ_GRID, regime_rows(spark, sf))
     return ll.groupBy("regime").agg(F.max_by(F.struct("qh", "qj", "noise", "loglik", "n"), "loglik").alias("b")).select("regime", "b.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetspark.operators.asof import asof, range_counts
-from fleetspark.operators.filters import ewma_level, fixed_lag_smoother, local_level
+from fleetspark.operators.filters import ewma_level, fixed_lag_smoother, likelihood, likelihood_grid, local_level, noise_grid
 from fleetspark.operators.neighbors import ewm_features
 from fleetspark.operators.ordered import WHOLE, Ordered
 from fleetspark.operators.quantiles import quantiles
@@ -124,3 +124,20 @@ def test_groups_without_values_keep_their_row(spark):
     df = spark.createDataFrame([("a", 14.5), ("b", None)], "k string, v double")
     for rows in (1, WHOLE):
         assert sorted(tuple(r) for r in quantiles(df, ["k"], ["v"], {"m": 0.5}, rows).collect()) == [("a", 14.5), ("b", None)]
+
+
+@pytest.mark.parametrize("r", [ROWS, WHOLE])
+def test_likelihood_grid_equals_one_filter_per_pair(spark, r):
+    """Whole keys and slices, a key with one label, a label that is null; no copy of the labels for each pair."""
+    qhs, qjs = [0.01, 0.3], [0.0, 1.0]
+    rng = random.Random(4)
+    data = [("ab"[i % 3 == 0], rng.randrange(200_000) * 1.0, i, None if i == 899 else rng.uniform(1, 9)) for i in range(900)] + [("c", 5.0, 1000, 2.0)]
+    df = spark.createDataFrame(data, "k string, t double, id long, v double")
+    grid, keys = noise_grid(df, qhs, qjs), ["k", "qh", "qj"]
+    f = local_level(grid, keys, "t", "id", "v", F.col("qh"), F.col("qj"), WHOLE)
+    want = likelihood(f, keys, "t", "id", "v", F.col("qh"), F.col("qj"), WHOLE).select(*keys, "n", "noise", "loglik")
+    got = likelihood_grid(df, ["k"], "t", "id", "v", qhs, qjs, r)
+    a, b = (sorted((tuple(x) for x in d.collect()), key=lambda x: x[:3]) for d in (want, got))
+    assert len(a) == len(b) == 12
+    for x, z in zip(a, b):
+        assert x[:4] == z[:4] and all(p == q or p == pytest.approx(q, rel=1e-8) for p, q in zip(x[4:], z[4:]))
