@@ -9,7 +9,7 @@ from ..operators import filters as FL
 from ..operators.runs import life_ids
 from ..operators.ordered import key_rows
 from .blend_queries import M, members
-from .neighbor_queries import NOLAG, block_sql, regime_rows
+from .neighbor_queries import NOLAG, block_sql, narrow, regime_rows
 from .registry import query, twin
 from .run_queries import LIFE_SQL
 from .views import runs, sql
@@ -59,7 +59,8 @@ def _(spark, sf):
 
 
 def smooth(spark, sf):
-    return FL.fixed_lag_smoother(runs(spark, sf), labels(spark, sf), ["regime"], "t_end", "run_id", "y", F.lit(QH), F.lit(QJ), 18000.0, regime_rows(spark, sf))
+    df = narrow(spark, sf, "t_end", "measured")
+    return FL.fixed_lag_smoother(df, df.filter("measured"), ["regime"], "t_end", "run_id", "y", F.lit(QH), F.lit(QJ), 18000.0, regime_rows(spark, sf))
 
 
 # Backward filter over the look-ahead labels of every row as a recursive fold from the last visible label.
@@ -105,7 +106,7 @@ def _(spark, sf):
 @query("smoothed_level_inner_folds")
 def _(spark, sf):
     from ..operators.folds import inner_views, kfold
-    q, c = inner_views(kfold(runs(spark, sf), ["run_id"], 5), F.col("is_ref"), "fold", 5)
+    q, c = inner_views(kfold(narrow(spark, sf, "t_start", "is_ref"), ["run_id"], 5), F.col("is_ref"), "fold", 5)
     x = FL.fixed_lag_smoother(q, c, ["regime", "view"], "t_start", "run_id", "y", F.lit(QH), F.lit(QJ), 3 * 86400.0, regime_rows(spark, sf))
     return x.select("run_id", "fwd", "level", F.log("level_var").alias("log_var"))
 
