@@ -6,7 +6,7 @@ State is one pickled dictionary per key in the state store, bounded by time hori
 from __future__ import annotations
 
 import pickle
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,19 +17,31 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 NO_EVENT = 1e7
 HOUR = 3600.0
 DAY = 24 * HOUR
+PART = 50_000  # output rows that are held at once
+
+
+def forget(labels: list[tuple], before: float, last: int) -> None:
+    """Drop sorted (time, ...) labels from before a time, except the ``last`` ones."""
+    del labels[:max(0, min(bisect_left(labels, (before, float("-inf"))), len(labels) - last))]
+
+
+def frame(schema: str, key: tuple, out: list[dict]) -> pd.DataFrame:
+    """Rows of a key under an output schema that begins with the key's columns; what a row lacks is null."""
+    cols = [c.split() for c in schema.split(", ")]
+    res = {name: pd.Series([r.get(name) for r in out], dtype="float64" if kind == "double" else object) for name, kind in cols[len(key):]}
+    return pd.DataFrame({name: pd.Series([v] * len(out), dtype=object) for (name, _), v in zip(cols, key)} | res)
 
 
 class Remembering(StatefulProcessor):
-    """Keeps one dictionary per key; subclasses give ``fresh`` and ``work(key, rows, state) -> rows``."""
+    """Keeps one dictionary per key; subclasses give ``fresh`` and ``work(key, rows, state)``, which yields rows in frames."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.slot = handle.getValueState("state", "blob binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = pickle.loads(bytes(self.slot.get()[0])) if self.slot.exists() else self.fresh(key)
-        out = self.work(key, pd.concat(list(rows)), state)  # one key's rows of one micro-batch
+        yield from self.work(key, pd.concat(list(rows)), state)  # one key's rows of one micro-batch
         self.slot.update((pickle.dumps(state),))
-        yield out
 
     def close(self) -> None:
         pass
@@ -61,7 +73,7 @@ class SinceEvent(Remembering):
         state["newest"] = max(state["newest"], pdf["t"].max())
         old = bisect_right(events, (state["newest"] - self.lateness, float("inf")))
         del events[:max(0, old - 1)]
-        return pd.DataFrame({"tool": key[0], "id": pdf["id"].to_numpy(), "since": since})
+        yield pd.DataFrame({"tool": key[0], "id": pdf["id"].to_numpy(), "since": since})
 
 
 class ArrivedLabels(Remembering):
@@ -75,7 +87,8 @@ class ArrivedLabels(Remembering):
 
     schema = ("scenario string, regime string, run_id long, kind string, at double, pred double, width double, n long, mean double, last1 double, "
               "mean3 double, mean10 double, n24 long, age_h double, chosen boolean")
-    least = 10
+    least = 10  # errors that a width needs
+    last = 10  # labels kept however old they are
 
     def __init__(self, half_life: float = 8.0, horizon: float = 7 * DAY, lateness: float = float("inf"), policies: dict[str, dict] | None = None):
         self.half_life, self.horizon, self.lateness, self.policies = half_life, horizon, lateness, policies or {}
@@ -105,17 +118,19 @@ class ArrivedLabels(Remembering):
         return kind == "stale" and (age_h is None or age_h > policy["age_h"])
 
     def describe(self, s: dict, at: float) -> dict:
-        y = [v for _, v in s["labels"]]
+        """Reads the last ten labels and searches for the start of the day, however many labels a day has."""
+        labels, y = s["labels"], [v for _, v in s["labels"][-self.last:]]
         mean = lambda k: sum(y[-k:]) / len(y[-k:]) if y else None
         weight, total, _ = s["decayed"]
         return {"pred": total / weight if weight else None, "width": 2 * s["errors"][1] / s["errors"][0] if s["errors"][0] >= self.least else None,
-                "n": s["n"], "mean": s["sum"] / s["n"] if s["n"] else None, "last1": y[-1] if y else None, "mean3": mean(3), "mean10": mean(10),
-                "n24": len(y) - bisect_right(s["labels"], (at - DAY, float("-inf"))), "age_h": (at - s["labels"][-1][0]) / HOUR if y else None}
+                "n": s["n"], "mean": s["sum"] / s["n"] if s["n"] else None, "last1": y[-1] if y else None, "mean3": mean(3), "mean10": mean(self.last),
+                "n24": len(labels) - bisect_right(labels, (at - DAY, float("-inf"))), "age_h": (at - labels[-1][0]) / HOUR if y else None}
 
     def work(self, key, pdf, s):
         policy, out = self.policies.get(key[0], {}), []
         # At an equal time the run goes first: a label counts only from strictly after its arrival.
         pdf = pdf.assign(_k=1 - pdf["kind"]).sort_values(["at", "_k", "run_id"])
+        full = 2 * len(s["labels"]) + PART
         for run, kind, at, t, y, u in zip(*(pdf[c] for c in ("run_id", "kind", "at", "t", "y", "u"))):
             if kind == 1:
                 row = self.describe(s, at)
@@ -132,19 +147,19 @@ class ArrivedLabels(Remembering):
             elif self.wanted(policy, u, 0.0) or run in s["kept"]:
                 s["kept"].discard(run)
                 self.learn(s, t, y, None)
+            if len(s["labels"]) > full:  # rows to come are no earlier than this one
+                forget(s["labels"], min(at, s["newest"]) - DAY, self.last)
+                full = 2 * len(s["labels"]) + PART
+            if len(out) == PART:
+                yield frame(self.schema, key, out)
+                out = []
         # Past the horizon a run's estimate is forgotten; that its label is wanted is kept only where the draw does not say so.
         for r in [r for r, v in s["open"].items() if v[0] < s["newest"] - self.horizon]:
             _, _, chosen, drawn = s["open"].pop(r)
             if chosen and not drawn:
                 s["kept"].add(r)
-        old = min(bisect_right(s["labels"], (s["newest"] - DAY, float("-inf"))), len(s["labels"]) - 10)
-        del s["labels"][:max(0, old)]
-        cols = ["run_id", "kind", "at", "pred", "width", "n", "mean", "last1", "mean3", "mean10", "n24", "age_h", "chosen"]
-        res = pd.DataFrame(out, columns=cols).astype(object)
-        res = res.where(res.notna(), None)
-        res.insert(0, "regime", key[1])
-        res.insert(0, "scenario", key[0])
-        return res
+        forget(s["labels"], s["newest"] - DAY, self.last)
+        yield frame(self.schema, key, out)
 
 
 def since_event(stream: DataFrame, lateness: float = DAY) -> DataFrame:
