@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..scratch import cut
 from .asof import asof
-from .ordered import CHUNK, Ordered, join_keys
+from .ordered import CHUNK, WHOLE, Ordered, join_keys, key_rows
 
 ELEMENT = ("A", "b", "C", "eta", "J")
 GAP_HOURS = 0.25  # a pause longer than this adds jump noise
@@ -295,11 +295,186 @@ def noise_grid(df: DataFrame, qhs: list[float], qjs: list[float]) -> DataFrame:
 def select_noise(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float],
                  window: float, rows: int | None = None) -> DataFrame:
     """Per key the (qh, qj) with the least squared error of the smoothed level on the given development rows."""
+    known = labels.filter(F.col(t).isNotNull()).select(*keys, F.floor(F.col(t) / float(window or 1.0)).alias("_blk"))
+    if window > 0 and key_rows(known, [*keys, "_blk"]) == WHOLE:
+        mse = _errors_of_blocks(queries, labels, keys, t, tie, y, qhs, qjs, window)
+    else:  # the labels of one window do not fit in a task
+        mse = _errors_of_copies(queries, labels, keys, t, tie, y, qhs, qjs, window, rows)
+    return mse.groupBy(*keys).agg(F.min(F.struct("mse", "qh", "qj")).alias("_b")).select(*keys, "_b.qh", "_b.qj", "_b.mse")
+
+
+def _errors_of_copies(queries, labels, keys, t, tie, y, qhs, qjs, window, rows) -> DataFrame:
+    """Squared error of every pair, from rows copied for each pair and slices of their order."""
     x = fixed_lag_smoother(noise_grid(queries, qhs, qjs), noise_grid(labels, qhs, qjs), [*keys, "qh", "qj"], t, tie, y,
                            F.col("qh"), F.col("qj"), window, rows)
     e = F.col("level") - F.col(y)
-    mse = x.groupBy(*keys, "qh", "qj").agg(F.round(F.avg(e * e), 9).alias("mse"))
-    return mse.groupBy(*keys).agg(F.min(F.struct("mse", "qh", "qj")).alias("_b")).select(*keys, "_b.qh", "_b.qj", "_b.mse")
+    return x.groupBy(*keys, "qh", "qj").agg(F.round(F.avg(e * e), 9).alias("mse"))
+
+
+def _scanned(acc: list[np.ndarray], join: Callable) -> list[np.ndarray]:
+    """Each row of elements joined with all rows before it, by doubling."""
+    acc, step = [x.copy() for x in acc], 1
+    while step < len(acc[0]):
+        for x, v in zip(acc, join([x[:-step] for x in acc], [x[step:] for x in acc])):
+            x[step:] = v
+        step *= 2
+    return acc
+
+
+def _updates(q: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Elements of a pause that adds ``q`` followed by a label."""
+    s = q + 1.0
+    return [1.0 / s, q / s * y, q / s, y / s, 1.0 / s]
+
+
+def _pushed(m, p, e):
+    d = 1.0 / (1.0 + p * e[4])
+    return e[0] * d * (m + p * e[3]) + e[1], e[0] * e[0] * d * p + e[2]
+
+
+def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float],
+                      window: float) -> DataFrame:
+    """The same with all pairs side by side in the task that holds a block of time as long as the window.
+
+    The labels that a row may see ahead lie in its own block and the next one, so a label goes to two tasks, whatever the number of
+    pairs. The state that enters a block comes from one element for each block before it. Rows without a time have no error.
+    """
+    grid = [(float(a), float(b)) for a in qhs for b in qjs]
+    QH, QJ = (np.array(v) for v in zip(*grid))
+    group = [*keys, "_blk"]
+    has_time, block = F.col(t).isNotNull(), F.floor(F.col(t) / float(window))
+
+    def rows_of(df: DataFrame, kind: int, back: int = 0) -> DataFrame:
+        return df.filter(has_time).select(*keys, (block - back).alias("_blk"), F.lit(kind).alias("_kind"), F.col(t).cast("double").alias("_t"),
+                                          F.col(tie).cast("bigint").alias("_tie"), F.col(y).cast("double").alias("_y"))
+
+    own, ahead, asked = rows_of(labels, 0), rows_of(labels, 1, 1), rows_of(queries, 2)
+
+    def added(seconds: np.ndarray, c: slice) -> np.ndarray:
+        h = (seconds / 3600.0)[:, None]
+        return QH[c] * h + np.where(h > GAP_HOURS, QJ[c], 0.0)
+
+    def ordered(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = pdf[pdf["_kind"] == kind].sort_values(["_t", "_tie"])
+        return x["_t"].to_numpy(float), x["_tie"].to_numpy(np.int64), x["_y"].to_numpy(float)
+
+    def parts(n: int) -> list[slice]:
+        width = max(1, min(len(grid), 2_000_000 // max(n, 1)))  # pairs side by side: memory follows the rows of a block
+        return [slice(i, i + width) for i in range(0, len(grid), width)]
+
+    key_fields = list(labels.select(*keys).schema)
+    total_type = StructType([*key_fields, *StructType.fromDDL("_blk long, _t0 double, _t1 double, _y0 double, _e array<double>")])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        """First and last time, first label, and the element of the labels after the first."""
+        at, _, v = ordered(pdf, 0)
+        row, e = [np.nan] * 3 + [None], []
+        if len(at):
+            for c in parts(len(at)):
+                acc = [np.broadcast_to(x, (1, len(QH[c]))) for x in (1.0, 0.0, 0.0, 0.0, 0.0)]
+                if len(at) > 1:
+                    acc = _updates(added(np.diff(at), c), v[1:, None])
+                while len(acc[0]) > 1:
+                    two = len(acc[0]) // 2 * 2
+                    acc = [np.concatenate([a, x[two:]]) for a, x in zip(compose([x[:two:2] for x in acc], [x[1:two:2] for x in acc]), acc)]
+                e.append(np.stack([x[0] for x in acc]))
+            row = [at[0], at[-1], v[0], np.concatenate(e, axis=1).ravel()]
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in group), *row]], columns=total_type.names)
+
+    # A label without a time comes before all others: it is seen until the first of them, without a variance.
+    lead = labels.filter(~has_time).groupBy(*keys).agg(F.max_by(F.col(y).cast("double"), F.col(tie)).alias("_lead"), F.count(F.when(F.col(y).isNull(), 1)).alias("_bad"))
+    totals = own.unionByName(asked.select(*group).dropDuplicates(), allowMissingColumns=True).groupBy(*group).applyInPandas(total, total_type)
+    state_type = StructType([*key_fields, *StructType.fromDDL("_blk long, _t double, _lost double, _m array<double>, _p array<double>")])
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        lost = bool((pdf["_bad"].iloc[0] or 0) > 0)
+        m, p, last, out = np.full(len(grid), pdf["_lead"].iloc[0], float), np.full(len(grid), np.nan), np.nan, []
+        for t0, t1, y0, e in zip(pdf["_t0"], pdf["_t1"], pdf["_y0"], pdf["_e"]):
+            out.append((last, m, p))
+            if e is not None:
+                m, p = first_state(m, p, last, t0, y0, slice(None), lost)
+                m, p = _pushed(m, p, np.asarray(e).reshape(5, -1))
+                last = t1
+        return pdf[group].assign(_t=[x[0] for x in out], _lost=float((pdf["_bad"].iloc[0] or 0) > 0), _m=[x[1] for x in out], _p=[x[2] for x in out])
+
+    def first_state(m, p, last, t0, y0, c, lost):
+        if np.isnan(last):
+            return np.full(len(m), np.nan if lost else y0), np.ones(len(m))
+        q = p + added(np.array([t0 - last]), c)[0]
+        return m + q / (q + 1.0) * (y0 - m), q / (q + 1.0)
+
+    entering = join_keys(totals, lead, keys).groupBy(*keys).applyInPandas(across, state_type).withColumn("_kind", F.lit(3))
+    error_type = StructType([*key_fields, *StructType.fromDDL("_n array<long>, _s array<double>")])
+
+    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+        qt, qtie, qy = ordered(pdf, 2)
+        if not len(qt):
+            return pd.DataFrame([], columns=error_type.names)
+        (lt, ltie, ly), (nt, _, ny) = ordered(pdf, 0), ordered(pdf, 1)
+        into = pdf[pdf["_kind"] == 3].iloc[0]
+        n, k = len(lt), len(nt)
+        both_t, both_tie = np.r_[lt, qt], np.r_[ltie, qtie]
+        order = np.lexsort((both_tie, both_t))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.r_[True, (np.diff(both_t[order]) != 0) | (np.diff(both_tie[order]) != 0)])
+        before, after = np.searchsorted(rank[:n], rank[n:], "left"), np.searchsorted(rank[:n], rank[n:], "right")
+        seen = np.searchsorted(nt, qt + window, "right")  # labels of the next block in the window
+        suffix, prefix = (after < n)[:, None], (seen > 0)[:, None]
+        at, z = np.minimum(after, n - 1), np.maximum(seen - 1, 0)
+        start = np.where(after < n, lt[at] if n else np.nan, nt[0] if k else np.nan)
+        ft = np.r_[into["_t"], lt][before]
+        count, square = np.zeros(len(grid), np.int64), np.zeros(len(grid))
+        for c in parts(n + k + len(qt)):
+            wide = len(QH[c])
+            m, p = np.asarray(into["_m"], float)[None, c], np.asarray(into["_p"], float)[None, c]
+            none = np.full((1, wide), np.nan)
+            one = [np.full((1, wide), x) for x in (1.0, 0.0, 0.0, 0.0, 0.0)]
+            sm = sp = im = ip = none
+            whole = [none] * 5
+            if n:
+                m0, p0 = first_state(m[0], p[0], into["_t"], lt[0], ly[0], c, into["_lost"])
+                to, steps = [x for x in one], added(np.diff(lt), c)
+                if n > 1:
+                    to = [np.concatenate(x) for x in zip(one, _scanned(_updates(steps, ly[1:, None]), compose))]
+                fm, fp = _pushed(m0, p0, to)
+                m, p = np.concatenate([m, fm]), np.concatenate([p, fp])
+                # backwards inside the block: from a fresh start at its last label, and from the next block's state
+                rest = [x for x in one]
+                if n > 1:
+                    back = _scanned([x[::-1] for x in _updates(steps, ly[:-1, None])], compose)
+                    rest = [np.concatenate([x[::-1], o]) for x, o in zip(back, one)]
+                im, ip = _pushed(ly[-1], 1.0, rest)
+                link = added(np.array([nt[0] - lt[-1]]), c) if k else np.zeros((1, wide))
+                whole = compose(_updates(link, np.array([[ly[-1]]])), rest)
+            zm = zp = none
+            if k:
+                way = [x for x in one]
+                if k > 1:
+                    inner = _scanned(_updates(added(np.diff(nt), c), ny[:-1, None]), lambda early, late: compose(late, early))
+                    way = [np.concatenate(x) for x in zip(one, inner)]
+                zm, zp = _pushed(ny[:, None], 1.0, way)
+                zm = np.where(np.isnan(zm), ny[:, None], zm)  # a label missing below this one: its own value
+            fwd = m[before]
+            pf = p[before] + added(qt - ft, c)
+            zmq, zpq = zm[z], zp[z]
+            if n:
+                sm, sp = _pushed(zmq, zpq, [x[at] for x in whole])
+                im, ip = im[at], ip[at]
+            mb = np.where(suffix & prefix, sm, np.where(suffix, im, np.where(prefix, zmq, np.nan)))
+            pb = np.where(suffix & prefix, sp, np.where(suffix, ip, np.where(prefix, zpq, np.nan))) + added(start - qt, c)
+            w1, w2 = 1.0 / pf, 1.0 / pb
+            fused = (w1 * fwd + w2 * mb) / (w1 + w2)
+            level = np.where(~np.isnan(fused), fused, np.where(~np.isnan(fwd), fwd, mb))
+            e = level - qy[:, None]
+            count[c], square[c] = (~np.isnan(e)).sum(0), np.nansum(e * e, axis=0)
+        return pd.DataFrame([[*(pdf[x].iloc[0] for x in keys), count, square]], columns=error_type.names)
+
+    rows = own.unionByName(ahead).unionByName(asked).unionByName(entering, allowMissingColumns=True)
+    done = rows.groupBy(*group).applyInPandas(errors, error_type)
+    pairs = F.array(*[F.struct(F.lit(a).alias("qh"), F.lit(b).alias("qj"), F.col("_n")[i].alias("n"), F.col("_s")[i].alias("s")) for i, (a, b) in enumerate(grid)])
+    z = done.select(*keys, F.explode(pairs).alias("_g")).groupBy(*keys, "_g.qh", "_g.qj").agg(F.sum("_g.n").alias("_n"), F.sum("_g.s").alias("_s"))
+    return z.select(*keys, "qh", "qj", F.when(F.col("_n") > 0, F.round(F.col("_s") / F.col("_n"), 9)).alias("mse"))
 
 
 def trust_flags(df: DataFrame, active: str, age: str, n: str, members: list[str], stale: float = 8.0, disagree: float = 3.0,
