@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_left_open
+from ..scratch import cut
 from .asof import asof
 from .ordered import Ordered, join_keys
 from .quantiles import quantile_edges, quantiles
@@ -72,14 +73,20 @@ def resets(df: DataFrame, keys: list[str], t: str, tie: list[str], counter: str,
 def before_after(df: DataFrame, events: DataFrame, keys: list[str], t: str, tie: list[str], y: str, n: int = 20,
                  rows: int | None = None) -> DataFrame:
     """Welch comparison of the last ``n`` rows before and the first ``n`` at or after each event, per key and event time."""
-    from .asof import recent_lists
-    R = recent_lists(df, keys, t, tie, {"y": F.col(y)}, n, n, rows)
-    at = dict(lt=F.col("event_t"), rt=F.col(t), rtie=F.col(tie[0]), rows=rows)
-    x = asof(events.select(*keys, F.col(t).alias("event_t")).dropDuplicates(), R, keys, payload={"l": F.col("_back")}, out="_b", side="prev", **at)
-    x = asof(x, R, keys, payload={"l": F.col("_ahead")}, out="_a", side="next", inclusive=True, **at)
-    vals = lambda c: F.transform(c, lambda s: s["y"])
+    # Rows are numbered once; an event needs the number of rows before it and then meets 2 n numbers, not lists kept for every row.
+    o = Ordered(df.select(*keys, t, *tie, y), keys, t, tie, rows).running({"_rn": ("count", F.lit(1))})
+    R = cut(o.result().select(*keys, t, F.col(y).alias("y"), "_rn"))  # read for the lookup and for the values
+    x = asof(events.select(*keys, F.col(t).alias("event_t")).dropDuplicates(), R, keys, payload={"rn": F.col("_rn")}, out="_b", side="prev",
+             lt=F.col("event_t"), rt=F.col(t), rtie=F.col("_rn"), rows=rows)
+    x = x.select(*keys, "event_t", F.coalesce("_b.rn", F.lit(0)).alias("_nb"))
+    near = x.withColumn("_rn", F.explode(F.sequence(F.greatest(F.col("_nb") - n + 1, F.lit(1)), F.col("_nb") + n)))
+    near = join_keys(near, R.select(*keys, "_rn", "y"), [*keys, "_rn"], "inner")
+    lists = lambda side: F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("_rn", "y")))), lambda s: s["y"])
+    near = near.groupBy(*keys, "event_t").agg(lists(F.col("_rn") <= F.col("_nb")).alias("_vb"), lists(F.col("_rn") > F.col("_nb")).alias("_va"))
+    x = join_keys(x, near, [*keys, "event_t"])
+    some = lambda v: F.when(F.size(v) > 0, F.col(v))
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, q: a + q) / F.size(v)
-    x = x.withColumns({"_vb": vals("_b.l"), "_va": vals("_a.l")}).withColumns({"before": mean(F.col("_vb")), "after": mean(F.col("_va"))})
+    x = x.withColumns({"_vb": some("_vb"), "_va": some("_va")}).withColumns({"before": mean(F.col("_vb")), "after": mean(F.col("_va"))})
     var = lambda v, m: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, q: a + (q - F.col(m)) * (q - F.col(m))), F.size(v) - 1)
     x = x.withColumns({"_sb": var(F.col("_vb"), "before") / F.size("_vb"), "_sa": var(F.col("_va"), "after") / F.size("_va")})
     se2 = F.col("_sb") + F.col("_sa")
