@@ -133,26 +133,24 @@ def schedule(df: DataFrame, keys: list[str], t: str, t_end: str, tie: list[str],
              bound: int | None = None) -> DataFrame:
     """Gaps to neighbours, idle periods and lots, with position and length inside each of them."""
     o = Ordered(df, keys, t, tie, bound)
-    o = o.running({"_p": ("lag", F.struct(F.col(t).alias("t")))})
-    o = o.running({"prev_end": ("max", F.col(t_end))}, inclusive=False)
-    o = o.running({"_n": ("lag", F.col(t))}, reverse=True)
+    o = o.running({"_p": ("lag", F.struct(F.col(t).alias("t"))), "prev_end": ("max", F.col(t_end)), "_rn": ("count", F.lit(1))}, inclusive=False)
     gap = F.col(t) - F.col("_p.t")
     gap_end = F.col(t) - F.col("prev_end")
     idle_long = F.coalesce(gap_end > idle, F.lit(True))
     new_lot = F.coalesce(gap > lot, F.lit(True))
-    o = o.with_df(o.df.withColumns({"gap_prev": gap, "gap_prev_end": gap_end, "gap_next": F.col("_n") - F.col(t),
-                                    "log_gap_prev": F.log1p(F.greatest(gap, F.lit(0.0))), "idle_long": idle_long,
-                                    "_lot": new_lot}))
-    o = o.running({"spell": ("sum", F.when(F.col("idle_long"), 1).otherwise(0)), "lot": ("sum", F.when(F.col("_lot"), 1).otherwise(0)),
+    o = o.with_df(o.df.withColumns({"gap_prev": gap, "gap_prev_end": gap_end, "log_gap_prev": F.log1p(F.greatest(gap, F.lit(0.0))),
+                                    "idle_long": idle_long, "_lot": new_lot}).drop("_p", "prev_end"))
+    # A spell or lot starts where its flag is set: its number, place and length come from the row numbers of its start and of the next one.
+    starts = {"spell": F.col("idle_long"), "lot": F.col("_lot")}
+    o = o.running({**{n: ("sum", F.when(f, 1).otherwise(0)) for n, f in starts.items()}, **{f"_{n}0": ("last", F.when(f, F.col("_rn"))) for n, f in starts.items()},
                    "_idle_t": ("last", F.when(F.col("idle_long"), F.col(t)))})
-    out = o.with_df(o.df.withColumn("hours_since_idle", (F.col(t) - F.col("_idle_t")) / 3600.0)).result(
-        "_p", "_n", "_lot", "_idle_t", "prev_end")
-    for name in ("spell", "lot"):
-        group = [*keys, name]
-        size = out.groupBy(*group).agg(F.count(F.lit(1)).alias(f"{name}_len"))
-        ranked = Ordered(out, group, t, tie, bound).running({f"{name}_pos": ("count", F.lit(1))}).result()
-        out = join_keys(ranked.withColumn(f"{name}_pos", F.col(f"{name}_pos") - 1), size, group)
-    return out
+    o = o.running({"_n": ("lag", F.col(t)), "_left": ("count", F.lit(1)), **{f"_{n}1": ("last", F.when(f, F.col("_rn"))) for n, f in starts.items()}},
+                  reverse=True, inclusive=False)
+    end = F.col("_rn") + 1 + F.col("_left")
+    out = o.df.withColumns({"gap_next": F.col("_n") - F.col(t), "hours_since_idle": (F.col(t) - F.col("_idle_t")) / 3600.0,
+                            **{f"{n}_pos": F.col("_rn") - F.col(f"_{n}0") for n in starts},
+                            **{f"{n}_len": F.coalesce(F.col(f"_{n}1"), end) - F.col(f"_{n}0") for n in starts}})
+    return o.with_df(out).result("_rn", "_left", "_n", "_lot", "_idle_t", *[f"_{n}{i}" for n in starts for i in (0, 1)])
 
 
 def partner_lookup(df: DataFrame, wafer: str, stage: str, ref: Column, payload: dict[str, Column]) -> DataFrame:

@@ -270,7 +270,7 @@ SCHED = "gap_prev gap_prev_end gap_next log_gap_prev hours_since_idle"
     row_number() OVER (PARTITION BY grp, lot ORDER BY t_start, run_id) - 1 AS lot_pos, count(*) OVER (PARTITION BY grp, lot) AS lot_len FROM c)""",
                                 "run_id idle_long", "gap_prev gap_prev_end gap_next hours_since_idle", "spell lot spell_pos spell_len lot_pos lot_len"))
 def _(spark, sf):
-    out = R.schedule(runs(spark, sf), ["grp"], "t_start", "t_end", ["run_id"], idle=900.0, bound=grp_rows(spark, sf))
+    out = R.schedule(runs(spark, sf).select("run_id", "grp", "t_start", "t_end"), ["grp"], "t_start", "t_end", ["run_id"], idle=900.0, bound=grp_rows(spark, sf))
     return out.select("run_id", "idle_long", "gap_prev", "gap_prev_end", "gap_next", "hours_since_idle", "spell", "lot", "spell_pos",
                       "spell_len", "lot_pos", "lot_len")
 
