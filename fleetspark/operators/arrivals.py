@@ -59,36 +59,45 @@ def _past(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock, payl
                 by_position=True, rows=rows)
 
 
-def label_states(labels: DataFrame, keys: list[str], k: Clock, back: int, ahead: int, rows: int | None) -> DataFrame:
+def label_states(labels: DataFrame, keys: list[str], k: Clock, back: int, ahead: int, rows: int | None, decays: bool = True) -> DataFrame:
     """Running count and sum, recent lists and decayed sums on the label rows."""
     o = Ordered(labels, keys, k.t, [k.tie], rows).running({"_n": ("count", F.lit(1)), "_sum": ("sum", F.col(k.y)),
                                                            "_lo": ("min", F.col(k.y)), "_hi": ("max", F.col(k.y))})
-    out = ewm_states(o.result(), keys, k.t, [k.tie], k.y, {n: h * HOUR for n, h in EWM_HOURS.items()}, EWM_COUNTS, rows)
+    out = o.result()
+    if decays:
+        out = ewm_states(out, keys, k.t, [k.tie], k.y, {n: h * HOUR for n, h in EWM_HOURS.items()}, EWM_COUNTS, rows)
     return recent_lists(out, keys, k.t, [k.tie], {"t": F.col(k.t), "y": F.col(k.y), "id": F.col(k.tie)}, back, ahead, rows)
 
 
 def past_block(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock, prefix: str = "P_",
-               rows: int | None = None) -> DataFrame:
-    """Count, last, means of 3/10/all, age, labels in 24 h, decayed means and trends of the visible past."""
-    states = label_states(labels, keys, k, 40, 0, rows)
-    names = [*EWM_HOURS, *EWM_COUNTS]
-    pay = {"t": F.col(k.t), "n": F.col("_n"), "sum": F.col("_sum"), "lo": F.col("_lo"), "hi": F.col("_hi"),
-           "l": F.reverse("_back"), **{f"{a}_{n}": F.col(f"{a}_{n}") for n in names for a in ("s", "w")}}
+               rows: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """Count, last, means of 3/10/all, age, labels in 24 h, decayed means and trends of the visible past.
+
+    ``only`` names the columns that are made, all by default; states and lists that no column needs are neither made nor carried.
+    """
+    asked = lambda *names: only is None or any(f"{prefix}{n}" in only for n in names)
+    decayed = [n for n in [*EWM_HOURS, *EWM_COUNTS] if asked(n)]
+    trends = [n for n in (15, 40) if asked(f"trend{n}")]
+    states = label_states(labels, keys, k, max([10, *trends]), 0, rows, bool(decayed))
+    newest = F.reverse("_back")
+    pay = {"t": F.col(k.t), "n": F.col("_n"), "sum": F.col("_sum"), "lo": F.col("_lo"), "hi": F.col("_hi"), "last1": F.get(newest, F.lit(0))["y"],
+           "mean3": mean_of(newest, "y", 3), "mean10": mean_of(newest, "y", 10),
+           **({"l": newest} if trends else {}), **{f"{a}_{n}": F.col(f"{a}_{n}") for n in decayed for a in ("s", "w")}}
     out = _past(queries, states, keys, k, pay, "_h", rows)
-    day = range_counts(queries, keys, k.t, [k.tie], {"_old": (-1e18, True, -24 * HOUR, True)}, source=labels, rows=rows)
-    out = join_keys(out, day, [k.tie])
     age = (F.col(k.t) - F.col("_h.t")) / HOUR
-    cols = {f"{prefix}n": F.coalesce(F.col("_h.n"), F.lit(0)), f"{prefix}last1": F.get("_h.l", F.lit(0))["y"],
-            f"{prefix}mean3": mean_of(F.col("_h.l"), "y", 3), f"{prefix}mean10": mean_of(F.col("_h.l"), "y", 10),
-            f"{prefix}mean_all": F.col("_h.sum") / F.col("_h.n"), f"{prefix}age1": age,
-            f"{prefix}n24": F.when(F.col("_h.n").isNotNull(), F.greatest(F.col("_h.n") - F.col("_old"), F.lit(0)))}
-    for n in names:
+    cols = {"n": F.coalesce(F.col("_h.n"), F.lit(0)), "last1": F.col("_h.last1"), "mean3": F.col("_h.mean3"), "mean10": F.col("_h.mean10"),
+            "mean_all": F.col("_h.sum") / F.col("_h.n"), "age1": age}
+    if asked("n24"):
+        day = range_counts(queries, keys, k.t, [k.tie], {"_old": (-1e18, True, -24 * HOUR, True)}, source=labels, rows=rows)
+        out = join_keys(out, day, [k.tie])
+        cols["n24"] = F.when(F.col("_h.n").isNotNull(), F.greatest(F.col("_h.n") - F.col("_old"), F.lit(0)))
+    for n in decayed:
         decay = F.pow(F.lit(0.5), age / EWM_HOURS[n]) if n in EWM_HOURS else F.lit(1.0)
         w = F.col(f"_h.w_{n}")
-        cols[f"{prefix}{n}"] = F.when(w * decay > MIN_WEIGHT, F.col(f"_h.s_{n}") / w)
-    for n in (15, 40):
-        cols[f"{prefix}trend{n}"] = line_estimate(F.col("_h.l"), n, F.col(k.t), least=5)[0]
-    return out.withColumns(cols).drop("_h", "_old")
+        cols[n] = F.when(w * decay > MIN_WEIGHT, F.col(f"_h.s_{n}") / w)
+    for n in trends:
+        cols[f"trend{n}"] = line_estimate(F.col("_h.l"), n, F.col(k.t), least=5)[0]
+    return out.withColumns({f"{prefix}{n}": c for n, c in cols.items() if asked(n)}).drop("_h", "_old")
 
 
 def life_block(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock, life: str, prefix: str = "P_",

@@ -31,8 +31,9 @@ def recursive(text):
     return twin(text.replace("WITH ", "WITH RECURSIVE ", 1), text.places)
 
 
-def with_lives(spark, sf):
-    return life_ids(runs(spark, sf), ["grp"], "t_start", ["run_id"], "usage", 200, bound=key_rows(runs(spark, sf), ["grp"]))
+def with_lives(spark, sf, *cols):
+    df = runs(spark, sf)
+    return life_ids(df.select(*cols) if cols else df, ["grp"], "t_start", ["run_id"], "usage", 200, bound=key_rows(runs(spark, sf), ["grp"]))
 
 
 @query("ewma_level", recursive(sql("runs", f"+{LIFE_SQL}, " + rec_sql("y AS level", "0.3*s.y + 0.7*rc.level", "level"), "run_id", "level")))

@@ -88,8 +88,10 @@ HX = ["usage", "pad", "film", "P_last1", "P_mean3", "P_mean10", "P_age1"]
 
 
 def history_table(spark, sf):
-    df = with_lives(spark, sf)
-    return past_block(df, df.filter("measured"), ["regime"], NOLAG, rows=regime_rows(spark, sf)).select("run_id", "regime", "split", "is_ref", "y", *HX)
+    df = with_lives(spark, sf, "run_id", "grp", "regime", "t_start", "t_end", "usage", "pad", "film", "split", "is_ref", "measured", "y")
+    labels = df.filter("measured").select("run_id", "regime", "t_end", "y")
+    out = past_block(df.drop("grp", "t_start", "measured"), labels, ["regime"], NOLAG, rows=regime_rows(spark, sf), only=HX)
+    return out.select("run_id", "regime", "split", "is_ref", "y", *HX)
 
 
 @query("screened_member_per_regime")
