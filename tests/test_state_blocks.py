@@ -1,0 +1,23 @@
+"""Blocks of the state index stay small and their boxes are not carried by the rows; ties, far points, several keys and factors."""
+
+import random
+
+from fleetspark.operators import statesearch as S
+
+
+def test_blocks_do_not_grow_and_results_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "MOST_BLOCKS", 2, raising=False)
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), float(r.randrange(6)), r.random() * 9, r.gauss(0, 1) * (50 if i % 40 == 0 else 1), float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, a double, b double, c double, y double")
+    index = S.StateIndex(df.filter("id % 3 > 0"), ["g"], ["a", "b", "c"], "id", "y")
+    asking = index.asking(df)
+    assert "_boxes" not in asking.columns and index.blocks.count() > 20
+    factors = [[1.0, 1.0, 1.0], [2.0, 0.0, 0.3]]
+    got = {(x["id"], x["_trial"]): [(n["d"], n["id"]) for n in x["_state"]] for x in index.search(asking, 4, factors).collect()}
+    for trial, f in enumerate(factors):
+        for i, g, *p, _ in rows:
+            near = sorted((round(sum((w * (u - v)) ** 2 for w, u, v in zip(f, p, q)) ** 0.5, 9), j) for j, h, *q, _ in rows if h == g and j % 3 and j != i)[:4]
+            assert [n[1] for n in got[i, trial]] == [n[1] for n in near]
+    assert len(got) == 1000
