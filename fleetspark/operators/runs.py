@@ -140,6 +140,7 @@ def schedule(df: DataFrame, keys: list[str], t: str, t_end: str, tie: list[str],
     new_lot = F.coalesce(gap > lot, F.lit(True))
     o = o.with_df(o.df.withColumns({"gap_prev": gap, "gap_prev_end": gap_end, "log_gap_prev": F.log1p(F.greatest(gap, F.lit(0.0))),
                                     "idle_long": idle_long, "_lot": new_lot}).drop("_p", "prev_end"))
+    o.tie = [*o.tie, "_rn"]  # equal rows keep one order in all scans
     # A spell or lot starts where its flag is set: its number, place and length come from the row numbers of its start and of the next one.
     starts = {"spell": F.col("idle_long"), "lot": F.col("_lot")}
     o = o.running({**{n: ("sum", F.when(f, 1).otherwise(0)) for n, f in starts.items()}, **{f"_{n}0": ("last", F.when(f, F.col("_rn"))) for n, f in starts.items()},

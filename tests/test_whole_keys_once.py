@@ -68,3 +68,16 @@ def test_past_block_makes_what_is_asked(spark, monkeypatch):
     monkeypatch.setattr(A, "range_counts", lambda *a, **k: pytest.fail("counts for nothing"))
     out = A.past_block(df, df, ["g"], clock, only=some)
     assert out.columns == [*df.columns, *some] and sorted(out.select("id", *some).collect()) == sorted(whole)
+
+
+@pytest.mark.parametrize("chunk", [1000000, 200])
+def test_equal_rows_keep_one_order(spark, chunk):
+    _, df = made(spark, 400)
+    df = df.unionByName(df).withColumn("e", F.col("t") + 100)
+    spark.conf.set("fleetspark.chunkRows", str(chunk))
+    try:
+        out = runs.schedule(df, ["g"], "t", "e", ["id"], 900.0).groupBy("g", "spell").agg(F.count(F.lit(1)).alias("n"), F.min("spell_len").alias("a"), F.max("spell_len").alias("b"),
+                                                                                          F.countDistinct("spell_pos").alias("p")).collect()
+    finally:
+        spark.conf.unset("fleetspark.chunkRows")
+    assert out and all(r["n"] == r["a"] == r["b"] == r["p"] for r in out)
