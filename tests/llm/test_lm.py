@@ -145,6 +145,32 @@ def test_seating_keeps_every_customer_and_follows_the_exact_law():
     assert all((x[[0, 1, 2, 4]] >= 1).all() and x[3] == 0 and (x <= [10**9, 2, 1, 0, 50_000]).all() for x in big)
 
 
+def mean_tables(c, elsewhere, d, p):
+    """Expected tables of one dish of c customers with its restaurant's other tables given: weights of all numbers of tables, by recursion."""
+    t, w = np.arange(c + 2), np.zeros(c + 2)
+    w[0] = 1
+    for n in range(c):
+        w = w * np.maximum(n - d * t, 0) + np.append(0, w[:-1])
+        w /= w.max()
+    w = np.log(w[1:c + 1] + 1e-300) + np.cumsum(np.log((1 + d * (elsewhere + np.arange(c))) * p))
+    w = np.exp(w - w.max())
+    return (w * np.arange(1, c + 1)).sum() / w.sum()
+
+
+def test_a_sweep_moves_every_customer():
+    """Dishes of 60 customers, held one by one or as tables' sizes, reach the exact mean in the default number of sweeps."""
+    n, want = 2000, mean_tables(60, 40, 0.8, 0.1)
+    seat = lambda s: np.mean(lm.seat(np.full(n, 60), np.arange(n), np.full(n, 0.1), np.full(n, 40.0), 0.8, s))
+    single = lm.SINGLE
+    got = [seat(1)]
+    try:
+        lm.SINGLE = 50
+        got.append(seat(2))
+    finally:
+        lm.SINGLE = single
+    assert got == pytest.approx([want] * 2, rel=0.06)
+
+
 def test_first_seating_has_no_cap():
     """A dish of three million customers, where a new table is likely, starts at the expected number of tables: above two million."""
     t = lm.seat(np.array([3_000_000]), np.array([0]), np.array([1.0]), np.array([5e6]), 0.7, 1, samples=1, burn=0)[0]
