@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -232,13 +233,19 @@ def likelihood_grid(labels: DataFrame, keys: list[str], t: str, tie: str, y: str
                     (-0.5 * (F.col("n") * F.log(noise) + F.when(F.col("_ns") > 0, F.col("_s")))).alias("loglik"))
 
 
-def fixed_lag_smoother(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qh: Column, qj: Column,
+def fixed_lag_smoother(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qh: Column | float, qj: Column | float,
                        window: float, rows: int | None = None) -> DataFrame:
     """``fwd``, ``level``, ``level_var``: past filter, and its fusion with a backward filter over labels in ``(row, t + window]``.
 
     The backward window slides, so it is built from two parts of fixed blocks as long as the window: the rest of the
     row's own block and the start of the next one. Both parts are scans, whatever the number of labels in a window.
+    Where ``qh`` and ``qj`` are numbers and the labels of every block fit in a task, a task scans a whole block.
     """
+    if window > 0 and not isinstance(qh, Column) and not isinstance(qj, Column):
+        known = labels.filter(F.col(t).isNotNull()).select(*keys, F.floor(F.col(t) / float(window)).alias("_blk"))
+        if key_rows(known, [*keys, "_blk"]) == WHOLE:
+            return _levels_of_blocks(queries, labels, keys, t, tie, y, float(qh), float(qj), window, rows)
+    qh, qj = (c if isinstance(c, Column) else F.lit(float(c)) for c in (qh, qj))
     f = local_level(labels, keys, t, tie, y, qh, qj, rows)
     pay = {"m": F.col("m"), "p": F.col("p"), "t": F.col(t)}
     at = dict(rtie=F.col(tie), by_position=True, rows=rows)
@@ -332,31 +339,33 @@ def _pushed(m, p, e):
     return e[0] * d * (m + p * e[3]) + e[1], e[0] * e[0] * d * p + e[2]
 
 
-def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float],
-                      window: float) -> DataFrame:
-    """The same with all pairs side by side in the task that holds a block of time as long as the window.
+def _blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float],
+            window: float, carry: bool = False) -> tuple[DataFrame, list[str], Callable]:
+    """(rows, their group, smoother of a group's rows): all pairs are smoothed side by side in the task that holds a block of time as long as the window.
 
     The labels that a row may see ahead lie in its own block and the next one, so a label goes to two tasks, whatever the number of
-    pairs. The state that enters a block comes from one element for each block before it. Rows without a time have no error.
+    pairs. The state that enters a block comes from one element for each block before it. Rows without a time are left out.
+    The smoother gives the queries' places and labels, then for each slice of pairs the past filter, the level and its variance.
+    ``carry`` brings the whole query rows along in ``_row``.
     """
     grid = [(float(a), float(b)) for a in qhs for b in qjs]
     QH, QJ = (np.array(v) for v in zip(*grid))
     group = [*keys, "_blk"]
     has_time, block = F.col(t).isNotNull(), F.floor(F.col(t) / float(window))
 
-    def rows_of(df: DataFrame, kind: int, back: int = 0) -> DataFrame:
+    def rows_of(df: DataFrame, kind: int, back: int = 0, more: list[Column] = ()) -> DataFrame:
         return df.filter(has_time).select(*keys, (block - back).alias("_blk"), F.lit(kind).alias("_kind"), F.col(t).cast("double").alias("_t"),
-                                          F.col(tie).cast("bigint").alias("_tie"), F.col(y).cast("double").alias("_y"))
+                                          F.col(tie).cast("bigint").alias("_tie"), F.col(y).cast("double").alias("_y"), *more)
 
-    own, ahead, asked = rows_of(labels, 0), rows_of(labels, 1, 1), rows_of(queries, 2)
+    own, ahead, asked = rows_of(labels, 0), rows_of(labels, 1, 1), rows_of(queries, 2, more=[F.struct("*").alias("_row")] if carry else [])
 
     def added(seconds: np.ndarray, c: slice) -> np.ndarray:
         h = (seconds / 3600.0)[:, None]
         return QH[c] * h + np.where(h > GAP_HOURS, QJ[c], 0.0)
 
     def ordered(pdf: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = pdf[pdf["_kind"] == kind].sort_values(["_t", "_tie"])
-        return x["_t"].to_numpy(float), x["_tie"].to_numpy(np.int64), x["_y"].to_numpy(float)
+        x = pdf[pdf["_kind"] == kind].sort_values(["_t", "_tie"], na_position="first")
+        return x["_t"].to_numpy(float), x["_tie"].fillna(np.iinfo(np.int64).min).to_numpy(np.int64), x["_y"].to_numpy(float)
 
     def parts(n: int) -> list[slice]:
         width = max(1, min(len(grid), 2_000_000 // max(n, 1)))  # pairs side by side: memory follows the rows of a block
@@ -383,7 +392,9 @@ def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t:
 
     # A label without a time comes before all others: it is seen until the first of them, without a variance.
     lead = labels.filter(~has_time).groupBy(*keys).agg(F.max_by(F.col(y).cast("double"), F.col(tie)).alias("_lead"), F.count(F.when(F.col(y).isNull(), 1)).alias("_bad"))
-    totals = own.unionByName(asked.select(*group).dropDuplicates(), allowMissingColumns=True).groupBy(*group).applyInPandas(total, total_type)
+    # blocks are the work and their rows are small: dealt over all partitions, not merged by size
+    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    totals = spread(own.unionByName(asked.select(*group).dropDuplicates(), allowMissingColumns=True)).groupBy(*group).applyInPandas(total, total_type)
     state_type = StructType([*key_fields, *StructType.fromDDL("_blk long, _t double, _lost double, _m array<double>, _p array<double>")])
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -405,12 +416,13 @@ def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t:
         return m + q / (q + 1.0) * (y0 - m), q / (q + 1.0)
 
     entering = join_keys(totals, lead, keys).groupBy(*keys).applyInPandas(across, state_type).withColumn("_kind", F.lit(3))
-    error_type = StructType([*key_fields, *StructType.fromDDL("_n array<long>, _s array<double>")])
 
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+    def smoothed(pdf: pd.DataFrame):
+        """The queries' labels in the order of (time, tie), then (pairs, past filter, level, variance) for each slice of pairs."""
         qt, qtie, qy = ordered(pdf, 2)
+        yield qy
         if not len(qt):
-            return pd.DataFrame([], columns=error_type.names)
+            return
         (lt, ltie, ly), (nt, _, ny) = ordered(pdf, 0), ordered(pdf, 1)
         into = pdf[pdf["_kind"] == 3].iloc[0]
         n, k = len(lt), len(nt)
@@ -424,7 +436,6 @@ def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t:
         at, z = np.minimum(after, n - 1), np.maximum(seen - 1, 0)
         start = np.where(after < n, lt[at] if n else np.nan, nt[0] if k else np.nan)
         ft = np.r_[into["_t"], lt][before]
-        count, square = np.zeros(len(grid), np.int64), np.zeros(len(grid))
         for c in parts(n + k + len(qt)):
             wide = len(QH[c])
             m, p = np.asarray(into["_m"], float)[None, c], np.asarray(into["_p"], float)[None, c]
@@ -466,17 +477,59 @@ def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t:
             w1, w2 = 1.0 / pf, 1.0 / pb
             fused = (w1 * fwd + w2 * mb) / (w1 + w2)
             level = np.where(~np.isnan(fused), fused, np.where(~np.isnan(fwd), fwd, mb))
+            var = 1.0 / (w1 + w2)
+            yield c, fwd, level, np.where(~np.isnan(var), var, np.where(~np.isnan(pf), pf, pb))
+
+    rows = own.unionByName(ahead).unionByName(asked, allowMissingColumns=True).unionByName(entering, allowMissingColumns=True)
+    return spread(rows), group, smoothed
+
+
+def _errors_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qhs: list[float], qjs: list[float],
+                      window: float) -> DataFrame:
+    """The same with all pairs side by side in the task that holds a block; see :func:`_blocks`. Rows without a time have no error."""
+    grid = [(float(a), float(b)) for a in qhs for b in qjs]
+    rows, group, smoothed = _blocks(queries, labels, keys, t, tie, y, qhs, qjs, window)
+    error_type = StructType([*labels.select(*keys).schema, *StructType.fromDDL("_n array<long>, _s array<double>")])
+
+    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = smoothed(pdf)
+        qy = next(found)
+        if not len(qy):
+            return pd.DataFrame([], columns=error_type.names)
+        count, square = np.zeros(len(grid), np.int64), np.zeros(len(grid))
+        for c, _, level, _ in found:
             e = level - qy[:, None]
             count[c], square[c] = (~np.isnan(e)).sum(0), np.nansum(e * e, axis=0)
         return pd.DataFrame([[*(pdf[x].iloc[0] for x in keys), count, square]], columns=error_type.names)
 
-    rows = own.unionByName(ahead).unionByName(asked).unionByName(entering, allowMissingColumns=True)
     done = rows.groupBy(*group).applyInPandas(errors, error_type)
     pairs = F.array(*[F.struct(F.lit(a).alias("qh"), F.lit(b).alias("qj"), F.col("_n")[i].alias("n"), F.col("_s")[i].alias("s")) for i, (a, b) in enumerate(grid)])
     z = done.select(*keys, F.explode(pairs).alias("_g")).groupBy(*keys, "_g.qh", "_g.qj").agg(F.sum("_g.n").alias("_n"), F.sum("_g.s").alias("_s"))
     return z.select(*keys, "qh", "qj", F.when(F.col("_n") > 0, F.round(F.col("_s") / F.col("_n"), 9)).alias("mse"))
 
 
+def _levels_of_blocks(queries: DataFrame, labels: DataFrame, keys: list[str], t: str, tie: str, y: str, qh: float, qj: float, window: float,
+                      rows: int | None) -> DataFrame:
+    """``fixed_lag_smoother`` with a block in one task; see :func:`_blocks`. A row crosses the network once, a label three times."""
+    names = ["fwd", "level", "level_var"]
+    parts, group, smoothed = _blocks(queries, labels, keys, t, tie, y, [qh], [qj], window, carry=True)
+
+    def levels(table: pa.Table) -> pa.Table:
+        pdf = table.drop_columns(["_row"]).to_pandas()
+        asked = pdf[pdf["_kind"] == 2].sort_values(["_t", "_tie"], na_position="first").index.to_numpy()
+        found = smoothed(pdf)
+        next(found)
+        columns = [np.concatenate(x).ravel() for x in zip(*[x[1:] for x in found])] if len(asked) else [np.zeros(0)] * 3
+        return pa.table({"_row": table["_row"].take(pa.array(asked)), **{n: pa.array(v, from_pandas=True) for n, v in zip(names, columns)}})
+
+    out_type = StructType([*parts.select("_row").schema, *StructType.fromDDL(", ".join(f"{n} double" for n in names))])
+    out = parts.groupBy(*group).applyInArrow(levels, out_type).select("_row.*", *names)
+    timeless = queries.filter(F.col(t).isNull())
+    if timeless.head(1):  # they see labels without a time only
+        out = out.unionByName(fixed_lag_smoother(timeless, labels.filter(F.col(t).isNull()), keys, t, tie, y, F.lit(qh), F.lit(qj), window, rows))
+    return out
+
+
 def trust_flags(df: DataFrame, active: str, age: str, n: str, members: list[str], stale: float = 8.0, disagree: float = 3.0,
                 cold: int = 30) -> DataFrame:
     """no_active, stale, disagree and cold flags from run activity, history age and count, and member spread."""

@@ -108,7 +108,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.folds import inner_views, kfold
     q, c = inner_views(kfold(narrow(spark, sf, "t_start", "is_ref"), ["run_id"], 5), F.col("is_ref"), "fold", 5)
-    x = FL.fixed_lag_smoother(q, c, ["regime", "view"], "t_start", "run_id", "y", F.lit(QH), F.lit(QJ), 3 * 86400.0, regime_rows(spark, sf))
+    x = FL.fixed_lag_smoother(q, c, ["regime", "view"], "t_start", "run_id", "y", QH, QJ, 3 * 86400.0, regime_rows(spark, sf))
     return x.select("run_id", "fwd", "level", F.log("level_var").alias("log_var"))
 
 
