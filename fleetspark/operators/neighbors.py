@@ -6,9 +6,12 @@ Candidates never include the row itself, and nothing joins all pairs of a group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -334,9 +337,16 @@ def _gauss_sums(places: DataFrame, points: DataFrame, keys: list[str], t: str, w
     return s.select(*keys, t, (F.col("_sw") - F.coalesce("_hk", F.lit(0))).alias("_sw"), (F.col("_sy") - F.coalesce("_hy", F.lit(0.0))).alias("_sy"))
 
 
+LINE_TIMES = 400.0  # distinct times in a reach beyond which moments of cells are cheaper than pairs of times
+LINE_CELLS, LINE_BLOCK = 8, 4  # cells in a reach; reaches of places that a task holds at once, besides one on both sides
+
+
 def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, tie: str, y: str, half: float, own: Column,
-               prefix: str) -> DataFrame:
-    """Tricube-weighted local line: value at the query clipped to its neighbours' range, and slope per hour."""
+               prefix: str, dense_times: float = LINE_TIMES) -> DataFrame:
+    """Tricube-weighted local line: value at the query clipped to its neighbours' range, and slope per hour.
+
+    A time meets the distinct label times in its reach where they are at most ``dense_times`` on average, else moments of cells.
+    """
     reach = half * HOUR
     # The two smallest and two largest labels per time keep the range exact once the query's own label is taken out.
     per_label = cands.groupBy(*keys, t, F.col(y).alias("_ly")).agg(F.count(F.lit(1)).alias("_k"))
@@ -349,18 +359,9 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
         F.sum(F.col("_ly") * F.col("_k")).alias("_y"), F.sum("_k").alias("_k"),
         F.slice(F.sort_array(F.flatten(F.collect_list(F.when(edge, rep("x"))))), 1, 2).alias("_lo"),
         F.slice(F.sort_array(F.flatten(F.collect_list(F.when(top, rep("x")))), False), 1, 2).alias("_hi")))
-    b = lambda c: F.floor(F.col(c) / reach)
-    P = points.select(*keys, F.col(t).alias("_tc"), "_y", "_k", "_lo", "_hi", b(t).alias("_b"))
-    Q = queries.select(*keys, t).dropDuplicates().withColumn("_b", F.explode(F.array(b(t) - 1, b(t), b(t) + 1)))
-    d = (F.col(t) - F.col("_tc")) / HOUR
-    u = F.abs(d) / half
-    w = F.pow(1 - u * u * u, F.lit(3.0))
-    near = Q.join(P, [*keys, "_b"]).filter(u < 1)
-    at_self = F.col("_tc") == F.col(t)
-    s = near.groupBy(*keys, t).agg(
-        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_k"))).alias("_s0"), F.sum(w * d * F.col("_k")).alias("_s1"), F.sum(w * d * d * F.col("_k")).alias("_s2"),
-        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_y"))).alias("_t0"), F.sum(w * d * F.col("_y")).alias("_t1"),
-        F.min(F.when(~at_self, F.get("_lo", F.lit(0)))).alias("_mn"), F.max(F.when(~at_self, F.get("_hi", F.lit(0)))).alias("_mx"))
+    spans = points.groupBy(*keys, F.floor(F.col(t) / reach)).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    each = spans.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).head()[0] or 0.0  # one number
+    s = (_line_of_cells if each > dense_times else _line_of_pairs)(queries.select(*keys, t).dropDuplicates(), points, keys, t, half)
     # The point at the query's own time comes by a join: an array in the sums above would sort all pairs instead of adding them up.
     here = points.select(*keys, t, F.struct("_lo", "_hi", "_k", "_y").alias("_here"))
     x = join_keys(join_keys(queries, s, [*keys, t]), here, [*keys, t])
@@ -379,6 +380,97 @@ def local_line(queries: DataFrame, cands: DataFrame, keys: list[str], t: str, ti
         "_s0", "_s1", "_s2", "_t0", "_t1", "_mn", "_mx", "_here")
 
 
+def _line_of_pairs(places: DataFrame, points: DataFrame, keys: list[str], t: str, half: float) -> DataFrame:
+    """Weighted sums for the line at each place and the range of its labels, those at its own time left out."""
+    reach = half * HOUR
+    b = lambda c: F.floor(F.col(c) / reach)
+    P = points.select(*keys, F.col(t).alias("_tc"), "_y", "_k", "_lo", "_hi", b(t).alias("_b"))
+    Q = places.withColumn("_b", F.explode(F.array(b(t) - 1, b(t), b(t) + 1)))
+    d = (F.col(t) - F.col("_tc")) / HOUR
+    u = F.abs(d) / half
+    w = F.pow(1 - u * u * u, F.lit(3.0))
+    near = Q.join(P, [*keys, "_b"]).filter(u < 1)
+    at_self = F.col("_tc") == F.col(t)
+    return near.groupBy(*keys, t).agg(
+        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_k"))).alias("_s0"), F.sum(w * d * F.col("_k")).alias("_s1"), F.sum(w * d * d * F.col("_k")).alias("_s2"),
+        F.sum(F.when(at_self, 0.0).otherwise(w * F.col("_y"))).alias("_t0"), F.sum(w * d * F.col("_y")).alias("_t1"),
+        F.min(F.when(~at_self, F.get("_lo", F.lit(0)))).alias("_mn"), F.max(F.when(~at_self, F.get("_hi", F.lit(0)))).alias("_mx"))
+
+
+def _line_of_cells(places: DataFrame, points: DataFrame, keys: list[str], t: str, half: float) -> DataFrame:
+    """The same without pairs: the weights are polynomials on either side of a place, so their sums follow from moments of cells.
+
+    Labels of a block of time lie sorted in one task, with a reach on both sides. Running sums of their moments about the centre of
+    their cell give any part of a cell; ranges of labels come from minima and maxima over powers of two.
+    """
+    reach, known = half * HOUR, reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, t)])
+    block, part = lambda c: F.floor(c / (LINE_BLOCK * reach)), [*keys, "_blk"]
+    P = points.filter(known).select(*keys, F.explode(F.sequence(block(F.col(t) - reach), block(F.col(t) + reach))).alias("_blk"), F.col(t).cast("double").alias("_x"), F.col("_k").cast("double").alias("_k"),
+                                    F.col("_y").cast("double").alias("_y"), F.get("_lo", F.lit(0)).cast("double").alias("_lo"), F.get("_hi", F.lit(0)).cast("double").alias("_hi"))
+    Q = places.filter(known).select(*keys, t, block(F.col(t)).alias("_blk"))
+    powers, side, cell = 12, LINE_CELLS + 1, reach / LINE_CELLS
+    # v^q (1 - v^3)^3 about r = v + e as a polynomial in r for each power of e; on the right of a place v runs the other way
+    tricube = {0: 1.0, 3: -3.0, 6: 3.0, 9: -1.0}
+    about = {}
+    for q in range(3):
+        for sign in (1, -1):
+            m = about[q, sign] = np.zeros((powers, powers))
+            for j, c in ((n + q, c) for n, c in tricube.items()):
+                for i in range(j + 1):
+                    m[j - i, i] += c * sign**j * comb(j, i) * (-1) ** i
+
+    def tables(v: np.ndarray, least: Callable) -> list[np.ndarray]:
+        out = [v]
+        while 2 << len(out) - 1 <= len(v):
+            step = 1 << len(out) - 1
+            out.append(least(out[-1][:-step], out[-1][step:]))
+        return out
+
+    def extreme(table: list[np.ndarray], a: np.ndarray, b: np.ndarray, least: Callable) -> np.ndarray:
+        """Over [a, b) of each row, not a number where that is empty."""
+        out, level = np.full(len(a), np.nan), np.frexp(np.maximum(b - a, 1))[1] - 1
+        for k, values in enumerate(table):
+            i = np.flatnonzero((level == k) & (b > a))
+            out[i] = least(values[a[i]], values[b[i] - (1 << k)])
+        return out
+
+    def sums(places: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        labels = labels.sort_values("_x")
+        x, k, y = (labels[c].to_numpy(float) for c in ("_x", "_k", "_y"))
+        number = np.floor(x / cell).astype(np.int64)
+        e = (x - (number + 0.5) * cell) / reach
+        moments = np.cumsum(np.stack([w * e**j for w in (k, np.nan_to_num(y)) for j in range(powers)], axis=1), axis=0)
+        moments = np.concatenate([np.zeros((1, 2 * powers)), moments])
+        low, high = tables(labels["_lo"].to_numpy(float), np.fmin), tables(labels["_hi"].to_numpy(float), np.fmax)
+        found = []
+        for at in range(0, len(places), 20_000):
+            some = places.iloc[at:at + 20_000]
+            p = some[t].to_numpy(float)
+            first, before, after, end = (np.searchsorted(x, v, s) for v, s in ((p - reach, "right"), (p, "left"), (p, "right"), (p + reach, "left")))
+            own, total = np.floor(p / cell).astype(np.int64), np.zeros((5, len(p)))
+            for off in range(-side, side + 1):
+                c = own + off
+                a, b = np.searchsorted(number, c, "left"), np.searchsorted(number, c, "right")
+                r = ((p - (c + 0.5) * cell) / reach)[:, None] ** np.arange(powers)
+                for sign, lo, hi in ((1, first, before), (-1, after, end)):
+                    lo, hi = np.maximum(a, lo), np.minimum(b, hi)
+                    if sign * off <= 0 and (hi > lo).any():
+                        m = moments[np.maximum(hi, lo)] - moments[lo]
+                        for q in range(3):
+                            way = (sign * half) ** q * (r @ about[q, sign])
+                            total[q] += (way * m[:, :powers]).sum(1)
+                            if q < 2:
+                                total[3 + q] += (way * m[:, powers:]).sum(1)
+            mn = np.fmin(extreme(low, first, before, np.fmin), extreme(low, after, end, np.fmin))
+            mx = np.fmax(extreme(high, first, before, np.fmax), extreme(high, after, end, np.fmax))
+            found.append(some[[*keys, t]].assign(**dict(zip(("_s0", "_s1", "_s2", "_t0", "_t1"), total)), _mn=mn, _mx=mx)[end > first])
+        return pd.concat(found) if found else places[[*keys, t]].iloc[:0].assign(**dict.fromkeys(("_s0", "_s1", "_s2", "_t0", "_t1", "_mn", "_mx"), 0.0))
+
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = StructType([*Q.select(*keys, t).schema, *StructType.fromDDL(", ".join(f"{c} double" for c in ("_s0", "_s1", "_s2", "_t0", "_t1", "_mn", "_mx")))])
+    return Q.repartition(n, *part).groupBy(*part).cogroup(P.repartition(n, *part).groupBy(*part)).applyInPandas(sums, out)
+
+
 # -- nearest in state space ------------------------------------------------------------------------
 def nearest_weighted(k: int, y: str = "y") -> Column:
     """Mean of the ``k`` nearest of ``_state``, weighted by the inverse of their distance."""
