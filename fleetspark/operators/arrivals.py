@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import cut
 from .asof import asof, mean_of, range_counts, recent_lists
-from .neighbors import GAUSS_REACH, HOUR, MIN_WEIGHT, MOMENTS, ewm_states, line_estimate
+from .neighbors import GAUSS_REACH, HOUR, MIN_WEIGHT, MOMENTS, ewm_states, line_estimate, line_of_sums, line_sums
 from .ordered import Ordered, join_keys
 
 EWM_HOURS = {"ewmh05": 0.5, "ewmh2": 2.0, "ewmh8": 8.0, "ewmh24": 24.0}
@@ -61,8 +61,7 @@ def _past(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock, payl
 
 def label_states(labels: DataFrame, keys: list[str], k: Clock, back: int, ahead: int, rows: int | None, decays: bool = True) -> DataFrame:
     """Running count and sum, recent lists and decayed sums on the label rows."""
-    o = Ordered(labels, keys, k.t, [k.tie], rows).running({"_n": ("count", F.lit(1)), "_sum": ("sum", F.col(k.y)),
-                                                           "_lo": ("min", F.col(k.y)), "_hi": ("max", F.col(k.y))})
+    o = Ordered(labels, keys, k.t, [k.tie], rows).running({"_n": ("count", F.lit(1)), "_sum": ("sum", F.col(k.y))})
     out = o.result()
     if decays:
         out = ewm_states(out, keys, k.t, [k.tie], k.y, {n: h * HOUR for n, h in EWM_HOURS.items()}, EWM_COUNTS, rows)
@@ -80,9 +79,9 @@ def past_block(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock,
     trends = [n for n in (15, 40) if asked(f"trend{n}")]
     states = label_states(labels, keys, k, max([10, *trends]), 0, rows, bool(decayed))
     newest = F.reverse("_back")
-    pay = {"t": F.col(k.t), "n": F.col("_n"), "sum": F.col("_sum"), "lo": F.col("_lo"), "hi": F.col("_hi"), "last1": F.get(newest, F.lit(0))["y"],
+    pay = {"t": F.col(k.t), "n": F.col("_n"), "sum": F.col("_sum"), "last1": F.get(newest, F.lit(0))["y"],
            "mean3": mean_of(newest, "y", 3), "mean10": mean_of(newest, "y", 10),
-           **({"l": newest} if trends else {}), **{f"{a}_{n}": F.col(f"{a}_{n}") for n in decayed for a in ("s", "w")}}
+           **{f"l{n}": line_sums(newest, n, F.col(k.t)) for n in trends}, **{f"{a}_{n}": F.col(f"{a}_{n}") for n in decayed for a in ("s", "w")}}
     out = _past(queries, states, keys, k, pay, "_h", rows)
     age = (F.col(k.t) - F.col("_h.t")) / HOUR
     cols = {"n": F.coalesce(F.col("_h.n"), F.lit(0)), "last1": F.col("_h.last1"), "mean3": F.col("_h.mean3"), "mean10": F.col("_h.mean10"),
@@ -96,7 +95,7 @@ def past_block(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock,
         w = F.col(f"_h.w_{n}")
         cols[n] = F.when(w * decay > MIN_WEIGHT, F.col(f"_h.s_{n}") / w)
     for n in trends:
-        cols[f"trend{n}"] = line_estimate(F.col("_h.l"), n, F.col(k.t), least=5)[0]
+        cols[f"trend{n}"] = line_of_sums(F.col(f"_h.l{n}"), age, least=5)[0]
     return out.withColumns({f"{prefix}{n}": c for n, c in cols.items() if asked(n)}).drop("_h", "_old")
 
 

@@ -42,9 +42,19 @@ def _line(lst: Column, n: int, at: Column) -> dict[str, Column]:
 
 def line_estimate(lst: Column, n: int, at: Column, least: int = 1) -> tuple[Column, Column]:
     """(value at ``at`` clipped to the neighbours' range, slope per hour) of a line over the first ``n`` items."""
-    s = _line(lst, n, at)
+    return line_of_sums(_line(lst, n, at), F.lit(0.0), least)
+
+
+def line_sums(lst: Column, n: int, at: Column) -> Column:
+    """The sums of ``line_estimate`` as a struct, for rows that carry a line on: as large for 40 items as for one."""
+    return F.struct(*[v.alias(c) for c, v in _line(lst, n, at).items()])
+
+
+def line_of_sums(s: dict[str, Column] | Column, hours: Column, least: int = 1) -> tuple[Column, Column]:
+    """``line_estimate`` from sums about a time that is ``hours`` before."""
     mx, my = s["sx"] / s["n"], s["sy"] / s["n"]
     slope = (s["sxy"] - s["sx"] * my) / F.greatest(s["sxx"] - s["sx"] * mx, F.lit(1e-9))
+    mx = mx - hours
     ok = s["n"] >= least
     return F.when(ok, F.least(F.greatest(my - slope * mx, s["lo"]), s["hi"])), F.when(ok, slope)
 

@@ -86,3 +86,19 @@ def test_a_crowded_day_is_history_in_one_pass():
         return sum(map(len, p.handleInputRows(("s", "4A"), iter([crowded(n)]), None)))
     assert run(2000) == 2000
     assert seconds(lambda: run(16000)) < 20 * seconds(lambda: run(2000))
+
+
+def test_history_lookups_carry_sums_of_lines_not_lists(spark, monkeypatch):
+    """Trends over 40 labels are sums on the label row, so a lookup sorts and stores numbers only."""
+    from fleetspark.operators import arrivals as A
+    carried, past = [], A._past
+
+    def seen(queries, labels, keys, k, payload, out, rows):
+        carried.extend(t for _, t in labels.select(*[v.alias(n) for n, v in payload.items()]).dtypes)
+        return past(queries, labels, keys, k, payload, out, rows)
+
+    monkeypatch.setattr(A, "_past", seen)
+    df = spark.createDataFrame([("a", float(i), i, float(i % 5), True) for i in range(30)], "regime string, t_end double, run_id long, y double, measured boolean")
+    out = A.past_block(df, df, ["regime"], A.Clock(delay=1.0))
+    assert carried and not [t for t in carried if "array" in t]
+    assert out.filter("P_trend40 is not null").count() == 25
