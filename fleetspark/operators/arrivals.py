@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import cut
 from .asof import asof, mean_of, range_counts, recent_lists
@@ -21,6 +24,8 @@ EWM_HOURS = {"ewmh05": 0.5, "ewmh2": 2.0, "ewmh8": 8.0, "ewmh24": 24.0}
 EWM_COUNTS = {"ewmn2": 2.0, "ewmn5": 5.0, "ewmn15": 15.0}
 LATE = 2 ** 62  # tie value after every real one
 DENSE_TIMES = 400.0  # distinct times in a reach beyond which moments of cells are cheaper than the times themselves
+NEAR = 6.0  # widths to the nearest label up to which a place meets the labels of its block
+BLOCK_WIDTHS = 32.0  # widths of a block of places, besides a margin of labels on both sides
 KERNEL_DROP = 82.0  # twice the exponent at which a weight relative to the nearest label's is below 2e-18
 
 
@@ -182,7 +187,7 @@ def two_sided(queries: DataFrame, labels: DataFrame, keys: list[str], k: Clock,
         else:
             out = _kernel_of_times(out, labels, keys, k, h, name)
     if dense:
-        out = _kernels_of_cells(out, labels, keys, k, dense, rows)
+        out = _kernels_of_blocks(out, labels, keys, k, dense, rows)
     return out.drop("_tp", "_tf", "_c")
 
 
@@ -193,6 +198,74 @@ def _times_in_reach(labels: DataFrame, keys: list[str], k: Clock, h: float) -> f
     return spans.agg(F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).head()[0] or 0.0  # one number
 
 
+def _kernels_of_blocks(out: DataFrame, labels: DataFrame, keys: list[str], k: Clock, widths: dict[str, float], rows: int | None = None) -> DataFrame:
+    """``_kernels_of_cells`` with the rows and labels of a block of time in one task.
+
+    A row crosses the network once with all widths, a label about twice. Running sums of moments about the centres of cells of half a
+    width give the labels of a cell up to the cutoff, and those before and after the row's own time. Rows whose nearest label is more
+    than ``NEAR`` of the smallest widths away are left to ``_kernels_of_cells``.
+    """
+    d0 = F.least(F.abs(F.col(k.t) - F.col("_tp")), F.abs(F.col("_tf") - F.col(k.t)))
+    is_far = F.coalesce(d0 > NEAR * min(widths.values()) * HOUR, F.lit(False))
+    names, cells = list(widths), int(2 * (NEAR**2 + KERNEL_DROP) ** 0.5) + 1
+    wide, size = max(widths.values()) * HOUR, MOMENTS + 1
+    block, part = lambda c: F.floor(c / (BLOCK_WIDTHS * wide)), [*keys, "_blk"]
+    margin = (cells + 1) / 2 * wide
+    Q = out.filter(~is_far).select(*keys, block(F.col(k.t)).alias("_blk"), F.col(k.t).cast("double").alias("_p"), F.col("_c").cast("double").alias("_cut"), d0.cast("double").alias("_d0"),
+                                   F.when(F.col("measured"), 1.0).otherwise(0.0).alias("_mine"), F.coalesce(F.col(k.y).cast("double"), F.lit(0.0)).alias("_own"), F.struct(*out.columns).alias("_row"))
+    P = labels.filter(F.col(k.t).isNotNull()).groupBy(*keys, F.col(k.t).cast("double").alias("_x")).agg(
+        F.count(F.lit(1)).cast("double").alias("_k"), F.coalesce(F.sum(F.col(k.y).cast("double")), F.lit(0.0)).alias("_y"))
+    P = P.withColumn("_blk", F.explode(F.sequence(block(F.col("_x") - margin), block(F.col("_x") + margin))))
+
+    def means(rows: pa.Table, labels: pa.Table) -> pa.Table:
+        get = lambda table, *names: [table[n].to_numpy().astype(float) for n in names]
+        x, k, y = get(labels, "_x", "_k", "_y")
+        order = np.argsort(x)
+        x, k, y = x[order], k[order], y[order]
+        place, until, nearest, mine, own = get(rows, "_p", "_cut", "_d0", "_mine", "_own")
+        found = {}
+        for name, h in widths.items():
+            h, out = h * HOUR, np.full(len(place), np.nan)
+            found[name] = out
+            if not len(x):
+                continue
+            number = np.floor(x / (h / 2)).astype(np.int64)
+            e = (x - (number + 0.5) * (h / 2)) / h
+            g = [np.exp(-0.5 * e * e)]
+            for j in range(1, size):
+                g.append(g[-1] * e / j)
+            sums = np.concatenate([np.zeros((1, 2 * size)), np.cumsum(np.stack([w * v for w in (k, y) for v in g], axis=1), axis=0)])
+            asked = np.flatnonzero(~np.isnan(nearest))
+            for at in range(0, len(asked), 10_000):
+                i = asked[at:at + 10_000]
+                p, z = place[i], nearest[i] / h
+                before, after, end = np.searchsorted(x, p, "left"), np.searchsorted(x, p, "right"), np.searchsorted(x, until[i], "right")
+                cell, sw, sy = np.floor(p / (h / 2)).astype(np.int64), np.zeros(len(i)), np.zeros(len(i))
+                for off in range(-cells, cells + 1):
+                    a, b = np.searchsorted(number, cell + off, "left"), np.minimum(np.searchsorted(number, cell + off, "right"), end)
+                    r = (p - (cell + off + 0.5) * (h / 2)) / h
+                    power = np.ones((len(i), size))
+                    for j in range(1, size):
+                        power[:, j] = power[:, j - 1] * r
+                    power *= np.exp(0.5 * (z - r) * (z + r))[:, None]
+                    for lo, hi in [(a, np.minimum(b, before))] * (off <= 0) + [(np.maximum(a, after), b)] * (off >= 0):
+                        m = sums[np.maximum(lo, hi)] - sums[lo]
+                        sw += np.einsum("ij,ij->i", power, m[:, :size])
+                        sy += np.einsum("ij,ij->i", power, m[:, size:])
+                here = np.minimum(before, len(x) - 1)
+                others = np.where((after > before) & (end >= after), k[here] - mine[i], 0.0)  # labels at the row's own time but its own
+                sw += np.where(others > 0, others, 0.0)
+                sy += np.where(others > 0, y[here] - mine[i] * own[i], 0.0)
+                out[i] = np.divide(sy, sw, out=np.full(len(i), np.nan), where=sw > 0)
+        return pa.table({"_row": rows["_row"], **{n: pa.array(v, from_pandas=True) for n, v in found.items()}})
+
+    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = StructType([*Q.select("_row").schema, *StructType.fromDDL(", ".join(f"`{c}` double" for c in names))])
+    near = Q.repartition(n, *part).groupBy(*part).cogroup(P.repartition(n, *part).groupBy(*part)).applyInArrow(means, kind).select("_row.*", *names)
+    far = out.filter(is_far)
+    return near.unionByName(_kernels_of_cells(far, labels, keys, k, widths, rows)) if far.head(1) else near
+
+
 def _kernels_of_cells(out: DataFrame, labels: DataFrame, keys: list[str], k: Clock, widths: dict[str, float],
              rows: int | None = None) -> DataFrame:
     """Gaussian means of all labels up to the cutoff but the row's own, with weights relative to the nearest one.
