@@ -239,11 +239,14 @@ def fixed_lag_smoother(queries: DataFrame, labels: DataFrame, keys: list[str], t
 
     The backward window slides, so it is built from two parts of fixed blocks as long as the window: the rest of the
     row's own block and the start of the next one. Both parts are scans, whatever the number of labels in a window.
-    Where ``qh`` and ``qj`` are numbers and the labels of every block fit in a task, a task scans a whole block.
+    Where ``qh`` and ``qj`` are numbers, no label repeats and those of every block fit in a task, a task scans a whole block.
     """
     if window > 0 and not isinstance(qh, Column) and not isinstance(qj, Column):
-        known = labels.filter(F.col(t).isNotNull()).select(*keys, F.floor(F.col(t) / float(window)).alias("_blk"))
-        if key_rows(known, [*keys, "_blk"]) == WHOLE:
+        known = labels.filter(F.col(t).isNotNull())
+        blocks = known.select(*keys, F.floor(F.col(t) / float(window)).alias("_blk"))
+        # scans order labels that repeat in their own way, so these stay with them
+        once = not known.groupBy(F.xxhash64(*keys, t, tie).alias("_label")).count().filter("count > 1").head(1)
+        if once and key_rows(blocks, [*keys, "_blk"]) == WHOLE:
             return _levels_of_blocks(queries, labels, keys, t, tie, y, float(qh), float(qj), window, rows)
     qh, qj = (c if isinstance(c, Column) else F.lit(float(c)) for c in (qh, qj))
     f = local_level(labels, keys, t, tie, y, qh, qj, rows)
